@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -19,8 +19,11 @@ def joined_text(cols: list[Column], hyphens: bool = False) -> Column:
 
 
 def contains_any(col: Column, tokens) -> Column:
-    """True when any token occurs anywhere in the text (no word boundaries)."""
-    return reduce(lambda a, b: a | b, [F.contains(col, F.lit(t)) for t in tokens])
+    """True when any token occurs anywhere in the text (no word boundaries).
+
+    One pattern, so that the text expression appears once in the plan.
+    """
+    return F.rlike(col, F.lit("|".join(re.escape(t) for t in tokens)))
 
 
 def matched_tokens(col: Column, tokens) -> Column:

@@ -60,14 +60,13 @@ def longest_run(df: DataFrame, key: list[str], ts: str, tie: str, high: Column,
 
 def longest_gap(df: DataFrame, key: list[str], ts: str, unit: str = "hour") -> DataFrame:
     """Longest time between neighbouring entries in seconds, per key."""
-    secs = F.unix_micros(F.col(ts)) / 1e6
-    rows = df.select(*key, slice_of(F.col(ts), unit).alias("g_slice"), secs.alias("t"))
+    rows = df.select(*key, slice_of(F.col(ts), unit).alias("g_slice"), F.unix_micros(F.col(ts)).alias("t"))
     prev = F.lag("t").over(Window.partitionBy(*key, "g_slice").orderBy("t"))
     slices = rows.withColumn("gap", F.col("t") - prev).groupBy(*key, "g_slice").agg(
         F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("gap").alias("gap"))
     between = F.col("lo") - F.lag("hi").over(Window.partitionBy(*key).orderBy("g_slice"))
     return slices.withColumn("between", between).groupBy(*key).agg(
-        F.max(F.greatest("gap", "between")).alias("longest_gap"))
+        (F.max(F.greatest("gap", "between")) / 1e6).alias("longest_gap"))
 
 
 def symptom_flags(df: DataFrame, person: str, symptom: str, ts: str, tie: str, severity: str,

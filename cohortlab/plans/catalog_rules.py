@@ -66,10 +66,8 @@ PRIORS = " UNION ALL ".join(gaussian_sql(n) for n in (2, 3, 4))
 def uniforms_sql(source: str, key: str, seed: int, index: str, count: int) -> str:
     """The draws in SQL: ``u0..`` for rows of ``source`` keyed by the SQL text ``key``."""
     lanes = range(count)
-    keep = ", ".join(f"u{d}" for d in lanes)
-    del keep
     sql = (f"SELECT *, ('0x' || substr(hk, 1, 8))::BIGINT AS s_a, ('0x' || substr(hk, 9, 8))::BIGINT AS s_b "
-           f"FROM (SELECT *, md5({key}) AS hk FROM ({source}))").replace("{seed}", str(seed))
+           f"FROM (SELECT *, md5({key}) AS hk FROM ({source}))")
     step = lambda inner, f: "SELECT * REPLACE (" + ", ".join(f"{f(f'u{d}')} AS u{d}" for d in lanes) + f") FROM ({inner})"
     mix = lambda u: f"(xor({u}, {u} >> 16) * {draws.MULTIPLIER}) & {draws.MASK}"
     sql = "SELECT *, " + ", ".join(f"(s_a + {index} * {draws.LANES} + {d}) & {draws.MASK} AS u{d}" for d in lanes) + f" FROM ({sql})"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.operators.posterior import log_likelihood, weights
+from cohortlab.operators.scale import attach
 
 
 def touched_weights(measurements: DataFrame, trajectories: DataFrame, touched: DataFrame, noise: float) -> DataFrame:
@@ -41,5 +42,5 @@ def run(spark: SparkSession, arriving: DataFrame, trajectories: DataFrame, store
 
 def latest(updates: DataFrame) -> DataFrame:
     """The newest weights of each case (``updates`` carries ``batch_id``)."""
-    newest = updates.groupBy("case_id").agg(F.max("batch_id").alias("batch_id"))
-    return updates.join(newest, ["case_id", "batch_id"], "left_semi")
+    newest = updates.groupBy("case_id").agg(F.max("batch_id").alias("newest"), F.count("*").alias("n"))
+    return attach(updates, newest, ["case_id"]).filter(F.col("batch_id") == F.col("newest")).drop("newest")
