@@ -77,3 +77,12 @@ def stage(df: DataFrame, wanted: dict[str, Column]) -> tuple[DataFrame, dict[str
                          for n in names})
     helpers = [f"x_{n}{tail}" for n in names for tail in ("", "_s", "_t", "_k", "_n")]
     return df, {n: Value(F.col(f"x_{n}_k"), F.col(f"x_{n}_t"), F.col(f"x_{n}_n")) for n in names}, helpers
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Stop the optimizer from moving later filters into the steps before.
+
+    A filter on a parsed value would otherwise be rewritten in terms of the raw row,
+    with every intermediate step spelled out again for each place it is used.
+    """
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("fenced")).select("fenced.*")

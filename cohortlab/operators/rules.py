@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions import markers
-from cohortlab.functions.context import Context, Value, stage
+from cohortlab.functions.context import Context, Value, fence, stage
 from cohortlab.functions.gauss import COVS, MEANS
 from cohortlab.functions.text import contains_any, joined_text, normalize_text
 
@@ -242,7 +242,7 @@ def with_facts(df: DataFrame, ctx: Context | None = None) -> DataFrame:
             F.when(imaging & F.col("low_bad"), "low_enhancement_invalid"),
             F.when(imaging & (F.col("volume_bad") | F.col("ftv_bad")), "volume_invalid"),
             F.when(imaging & both & ((F.col("anatomic_ml") <= 0) | (F.col("functional_ml") < 0)), "volume_range")))})
-    return df.drop(*helpers, "ki67_bad", "grade_bad", "std_bad", "low_bad", "volume_bad", "ftv_bad", "std_any", "low_any")
+    return fence(df.drop(*helpers, "ki67_bad", "grade_bad", "std_bad", "low_bad", "volume_bad", "ftv_bad", "std_any", "low_any"))
 
 
 def layer_rules(layer: int, rules=RULES) -> list[Rule]:

@@ -24,8 +24,7 @@ def layered_priors(facts: DataFrame, keep: list[str], layers=(2, 3, 4)) -> DataF
     """One row per usable case and layer with its Gaussian.
 
     The layers are chained in one row and only then fanned out, so there is no
-    shuffle between them. Unusable cases fan out to nothing: a filter would be pushed
-    below the facts and make Spark evaluate them twice.
+    shuffle between them. Unusable cases fan out to nothing.
     """
     df = facts.withColumns(priors.population_columns())
     df = df.withColumn("g2", F.struct(F.lit(2).alias("layer"), *GAUSS))

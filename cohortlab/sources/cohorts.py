@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortlab.functions.context import Context, stage
+from cohortlab.functions.context import Context, fence, stage
 from cohortlab.operators.checks import with_reasons
 
 # Aliases of the cohort fields, first usable one wins.
@@ -108,8 +108,8 @@ def cases(rows: DataFrame) -> DataFrame:
         ("invalid_time_order", F.col("final_day") > F.col("baseline_day")),
         ("early_point_incomplete", F.col("early_day").isNull() == F.col("early_volume_ml").isNull())])
     keep = [c for c in rows.columns if c != "row" and c not in helpers]
-    return df.select(F.col("out_id").alias("case_id"), "baseline_day", "baseline_volume_ml", "early_day", "early_volume_ml",
-                     "final_day", "final_volume_ml", "n_points", "reasons", F.col("row").alias("context"), *keep)
+    return fence(df.select(F.col("out_id").alias("case_id"), "baseline_day", "baseline_volume_ml", "early_day", "early_volume_ml",
+                           "final_day", "final_volume_ml", "n_points", "reasons", F.col("row").alias("context"), *keep))
 
 
 def case_context() -> Context:
