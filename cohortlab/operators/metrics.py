@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.numeric import ratio_or
-from cohortlab.operators.scale import HOT_ROWS, exact_quantiles
+from cohortlab.operators.scale import HOT_ROWS, exact_quantiles, fits_in_buffers
 
 SWEEP_METRICS = ("ess", "ess_fraction", "fit_prior_rmse_ml", "fit_posterior_rmse_ml",
                  "rmse_improvement_fraction", "posterior_heldout_error_ml", "prior_heldout_error_ml")
@@ -89,16 +89,23 @@ def sweep_medians(runs: DataFrame, groupings: dict[str, str], metrics=SWEEP_METR
 
     ``groupings`` maps a label to a column. The three groupings share one scan.
     """
-    long = (runs.select(F.explode(F.array(*[
-        F.struct(F.lit(label).alias("grouping"), F.col(c).cast("string").alias("value"))
-        for label, c in groupings.items()])).alias("g"), *metrics)
-        .select("g.*", F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("m"))
-        .select("grouping", "value", "m.*"))
-    medians = exact_quantiles(long, ["grouping", "value", "metric"], "x", {"q50": 0.5}, hot_rows)
-    return medians.groupBy("grouping", "value").agg(
+    labels, columns = list(groupings), list(groupings.values())
+    groups = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("value"))
+                                 for i, c in enumerate(columns)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).cast("double").alias("x"))
+                                for i, m in enumerate(metrics)]))
+    per_group = runs.select(groups.alias("k"), *metrics).select("k.*", *metrics)
+    label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("g") + 1)
+    # a group has the same number of runs for every metric, so the sizes need no unpivot
+    sizes = per_group.groupBy("g", "value").agg(F.count("*").alias("n"))
+    if fits_in_buffers(sizes, hot_rows):
+        return per_group.groupBy(label.alias("grouping"), "value").agg(
+            F.count("*").alias("n_runs"), *[F.percentile(m, 0.5).alias(f"median_{m}") for m in metrics])
+    long = per_group.select("g", "value", cells.alias("c")).select("g", "value", "c.*")
+    medians = exact_quantiles(long, ["g", "value", "m"], "x", {"q50": 0.5}, hot_rows, sizes=sizes)
+    return medians.groupBy(label.alias("grouping"), "value").agg(
         F.max("n").alias("n_runs"),
-        *[F.max(F.when(F.col("metric") == m, F.col("q50"))).alias(f"median_{m}") for m in metrics])
+        *[F.max(F.when(F.col("m") == i, F.col("q50"))).alias(f"median_{m}") for i, m in enumerate(metrics)])
 
 
 def parameter_stability(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -100,9 +100,25 @@ def prefix_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, Co
     return run.select(*cols)
 
 
+def fits_in_buffers(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> bool:
+    """Whether every group of ``sizes(keys.., n)`` is small enough for one aggregate buffer."""
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= hot_rows
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
-    """Interpolated quantiles at position (n - 1) p per group, plus the count ``n``."""
+                    hot_rows: int = HOT_ROWS, slices: int = SLICES, sizes: DataFrame | None = None) -> DataFrame:
+    """Interpolated quantiles at position (n - 1) p per group, plus the count ``n``.
+
+    Where no group has more than ``hot_rows`` rows, Spark's own exact ``percentile``
+    holds each group in one aggregate buffer. Beyond that the order statistics are
+    read from running totals, which no single task has to hold. ``sizes(keys.., n)``
+    saves the counting pass when the caller knows the group sizes.
+    """
+    counted = sizes if sizes is not None else df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    if fits_in_buffers(counted, hot_rows):
+        q = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
+        got = df.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q")).filter(F.col("n") > 0)
+        return got.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
     runs = prefix_totals(df, keys, value, {"n": F.count("*")}, hot_rows, slices)
     v, n, cum, first = F.col(value).cast("double"), F.col("all_n"), F.col("cum_n"), F.col("cum_n") - F.col("n")
     picks = [F.max("all_n").alias("n")]

@@ -34,15 +34,20 @@ def layered_priors(facts: DataFrame, keep: list[str], layers=(2, 3, 4)) -> DataF
     return df.select(*keep, F.explode(F.when(F.col("usable"), chosen)).alias("g")).select(*keep, "g.*")
 
 
-def layer_bands(facts: DataFrame, case: str, n: int, seed: int, layers=(2, 3, 4)) -> DataFrame:
+def layer_bands(facts: DataFrame, case: str, n: int, seed: int, layers=(2, 3, 4), carry=()) -> DataFrame:
     """Prior-predictive bands per case and layer.
 
     Needs ``baseline_volume_ml`` and ``days``; cases out of scope or with unusable
-    facts have no bands.
+    facts have no bands. ``carry`` names per-case columns to keep.
     """
-    long = layered_priors(facts, [case, "baseline_volume_ml", "days"], layers)
-    sampled = priors.particles(long, n, seed, [case, "layer"])
-    return priors.predictive_bands(sampled, [case, "layer"], n)
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [case, "layer", *carry]
+    long = layered_priors(facts, [case, "baseline_volume_ml", "days", *carry], layers)
+    # Shuffle the one small row per case and layer before it fans out: the particles are
+    # then already grouped where they are drawn and never cross the network. The number
+    # of partitions is explicit, because the rows are tiny here and n times more later.
+    sampled = priors.particles(long.repartition(parts, case, "layer"), n, seed, [case, "layer"])
+    return priors.predictive_bands(sampled, key, n)
 
 
 def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int = 2026,
@@ -50,28 +55,29 @@ def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int =
     """Baselines and layers against the held-out final volumes.
 
     ``cases`` holds the key points and ``context``. Out-of-scope cases still count in
-    the baselines, so methods differ in ``n``.
+    the baselines, so methods differ in ``n``. The checked cases and the forecasts are
+    each written once, since several results read them.
     """
     if n < 100:
         raise ValueError("n must be at least 100")
-    df = scoped(with_reasons(cases, case_constraints(), "case_errors"), ctx).filter(F.size("case_errors") == 0)
-    df = df.withColumn("days", F.col("final_day") - F.col("baseline_day"))
-    simple = trends.long_forecasts(trends.two_point_forecasts(df), trends.TWO_POINT, [case], "final_volume_ml")
-    bands = layer_bands(df, case, n, seed)
-    observed = df.select(case, F.col("final_volume_ml").alias("observed"))
+    df = with_reasons(cases, case_constraints(), "case_errors")
+    df = df.withColumns({"days": F.col("final_day") - F.col("baseline_day"), "observed": F.col("final_volume_ml")})
+    df = materialize(df.filter(F.size("case_errors") == 0).drop("case_errors"))
+    simple = trends.long_forecasts(trends.two_point_forecasts(df), trends.TWO_POINT, [case], "observed")
     name = F.lit(None).cast("string")
     for layer, label in priors.LAYER_NAMES.items():
         name = F.when(F.col("layer") == layer, label).otherwise(name)
-    layered = bands.join(observed, case).withColumn("method", name).drop("layer")
+    layered = layer_bands(scoped(df, ctx), case, n, seed, carry=("observed",)).withColumn("method", name).drop("layer")
     forecasts = materialize(simple.drop("abs_error").unionByName(layered, allowMissingColumns=True))
+    scope = rules.scope(df, ctx)
     return {
         "forecasts": forecasts,
         "metrics": metrics.forecast_metrics(forecasts, ["method"]),
         "deltas": metrics.paired_delta(forecasts, [
             ("layer3_vs_layer2", "layer3_pathology", "layer2_population"),
             ("layer4_vs_layer3", "layer4_mri_qc", "layer3_pathology")], case),
-        "skipped": df.filter(F.col("contract_id") != "tnbc_chemo").select(
+        "skipped": scope.filter(F.col("contract_id") != "tnbc_chemo").select(
             F.col(case).cast("string").alias("case_id"), "contract_id", "scope_warning"),
-        "counts": df.agg(F.count("*").alias("case_count"),
-                         F.count_if(F.col("contract_id") == "tnbc_chemo").alias("in_scope_case_count")),
+        "counts": scope.agg(F.count("*").alias("case_count"),
+                            F.count_if(F.col("contract_id") == "tnbc_chemo").alias("in_scope_case_count")),
     }
