@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.functions.numeric import text_number
+from cohortlab.functions.numeric import NUMBER
 
 # Nested maps that override the top level, last one wins.
 NESTED = ("pathology", "mri_features", "biomarkers")
@@ -44,22 +44,28 @@ class Context:
     nested: tuple[str, ...] = NESTED
     defaults: dict[str, Column] = field(default_factory=dict)
 
+    def _paths(self, name: str) -> list[str]:
+        outers = [f"{outer}." for outer in reversed(self.nested)] + [""]
+        return [f"try_variant_get({self.column}, '$.{outer}{name}', 'variant')" for outer in outers]
+
     def get(self, name: str) -> Column:
-        paths = [f"$.{outer}.{name}" for outer in reversed(self.nested)] + [f"$.{name}"]
-        found = [F.try_variant_get(self.column, path, "variant") for path in paths]
-        if name in self.defaults:
-            found.append(self.defaults[name].cast("variant"))
-        return F.coalesce(*found)
+        return self.first((name,))
 
     def first(self, names) -> Column:
-        return F.coalesce(*[self.get(name) for name in names])
+        """First present key among the aliases; nested maps before the top level, defaults last."""
+        parts, texts = [], []
+        for name in names:
+            texts += self._paths(name)
+            if name in self.defaults:
+                parts += [F.expr(f"coalesce({', '.join(texts)})"), self.defaults[name].cast("variant")]
+                texts = []
+        if texts:
+            parts.append(F.expr(f"coalesce({', '.join(texts)})"))
+        return parts[0] if len(parts) == 1 else F.coalesce(*parts)
 
 
-def kind_of(schema: Column) -> Column:
-    return (F.when(schema.isNull(), F.lit(None).cast("string")).when(schema == "BOOLEAN", "BOOLEAN")
-            .when(schema == "STRING", "TEXT").when(schema == "VOID", "NULL")
-            .when(F.rlike(schema, F.lit("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")), "NUMBER")
-            .otherwise("OTHER"))
+KINDS = """CASE WHEN {0} IS NULL THEN NULL WHEN {0} = 'BOOLEAN' THEN 'BOOLEAN' WHEN {0} = 'STRING' THEN 'TEXT' WHEN {0} = 'VOID' THEN 'NULL'
+  WHEN {0} RLIKE '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)' THEN 'NUMBER' ELSE 'OTHER' END"""
 
 
 def stage(df: DataFrame, wanted: dict[str, Column]) -> tuple[DataFrame, dict[str, Value], list[str]]:
@@ -70,11 +76,11 @@ def stage(df: DataFrame, wanted: dict[str, Column]) -> tuple[DataFrame, dict[str
     """
     names = list(wanted)
     df = df.withColumns({f"x_{n}": wanted[n] for n in names})
-    df = df.withColumns({**{f"x_{n}_s": F.schema_of_variant(f"x_{n}") for n in names},
-                         **{f"x_{n}_t": F.try_variant_get(f"x_{n}", "$", "string") for n in names}})
-    df = df.withColumns({f"x_{n}_k": kind_of(F.col(f"x_{n}_s")) for n in names})
-    df = df.withColumns({f"x_{n}_n": F.when(F.col(f"x_{n}_k").isin("NUMBER", "TEXT"), text_number(F.col(f"x_{n}_t")))
-                         for n in names})
+    df = df.withColumns({**{f"x_{n}_s": F.expr(f"schema_of_variant(x_{n})") for n in names},
+                         **{f"x_{n}_t": F.expr(f"try_variant_get(x_{n}, '$', 'string')") for n in names}})
+    df = df.withColumns({f"x_{n}_k": F.expr(KINDS.format(f"x_{n}_s")) for n in names})
+    df = df.withColumns({f"x_{n}_n": F.expr(
+        f"CASE WHEN x_{n}_k IN ('NUMBER', 'TEXT') AND x_{n}_t RLIKE r'{NUMBER}' THEN try_cast(trim(x_{n}_t) AS double) END") for n in names})
     helpers = [f"x_{n}{tail}" for n in names for tail in ("", "_s", "_t", "_k", "_n")]
     return df, {n: Value(F.col(f"x_{n}_k"), F.col(f"x_{n}_t"), F.col(f"x_{n}_n")) for n in names}, helpers
 

@@ -68,11 +68,10 @@ class Rule:
     evidence: str
     driver: bool
 
-    def holds(self) -> Column:
-        fact = F.col(self.fact)
-        test = {"is": lambda: fact, ">=": lambda: fact >= self.threshold,
-                "<=": lambda: fact <= self.threshold}[self.op]()
-        return F.coalesce(test, F.lit(False))
+    @property
+    def holds(self) -> str:
+        """The condition as SQL text; a NULL fact does not hold."""
+        return f"coalesce({self.fact}, false)" if self.op == "is" else f"coalesce({self.fact} {self.op} {self.threshold}, false)"
 
     def effect(self, name: str) -> float:
         return dict(self.effects).get(name, 1.0)
@@ -253,29 +252,26 @@ def hits(layer: int, rules=RULES) -> Column:
     """The rules of a layer that hold, in order, as ``array<struct>``."""
     entries = []
     for order, r in enumerate(layer_rules(layer, rules), 1):
-        effects = F.array(*[F.struct(F.lit(k).alias("effect"), F.lit(v).alias("multiplier")) for k, v in r.effects]) \
-            if r.effects else F.expr("cast(array() as array<struct<effect:string,multiplier:double>>)")
-        entries.append(F.when(r.holds(), F.struct(
-            F.lit(layer).alias("layer"), F.lit(order).alias("ord"), F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.family).alias("rule_family"), F.lit(r.evidence).alias("evidence_level"),
-            F.lit(r.driver).alias("uncertainty_driver"), effects.alias("effects"))))
-    return F.array_compact(F.array(*entries))
+        effects = ", ".join(f"named_struct('effect', '{k}', 'multiplier', {v}D)" for k, v in r.effects)
+        array = f"array({effects})" if effects else "cast(array() as array<struct<effect:string,multiplier:double>>)"
+        entries.append(f"CASE WHEN {r.holds} THEN named_struct('layer', {layer}, 'ord', {order}, 'rule_id', '{r.rule_id}', "
+                       f"'rule_family', '{r.family}', 'evidence_level', '{r.evidence}', 'uncertainty_driver', {str(r.driver).lower()}, "
+                       f"'effects', {array}) END")
+    return F.expr(f"array_compact(array({', '.join(entries)}))")
 
 
 def apply_layer(df: DataFrame, layer: int, rules=RULES) -> DataFrame:
     """Fold a layer's rules into ``m*`` and ``c*`` (shift of means, product of variances)."""
     chosen = layer_rules(layer, rules)
 
-    def fold(name: str, start: float, combine, value):
-        used = [(r, r.effect(name)) for r in chosen if name in dict(r.effects)]
-        return reduce(lambda e, rv: combine(e, F.when(rv[0].holds(), value(rv[1])).otherwise(start)),
-                      used, F.lit(start))
+    def fold(name: str, start: str, sign: str, value) -> str:
+        used = [r for r in chosen if name in dict(r.effects)]
+        return f" {sign} ".join([start] + [f"CASE WHEN {r.holds} THEN {value(r.effect(name))!r}D ELSE {start} END" for r in used])
 
-    shifts = {m: F.col(m) + fold(s, 0.0, lambda a, b: a + b, math.log) for m, s in zip(MEANS, SHIFTS)}
-    spreads = {f"v{i}": fold(s, 1.0, lambda a, b: a * b, float) for i, s in enumerate(SPREADS)}
+    shifts = {m: F.expr(f"{m} + {fold(s, '0.0D', '+', math.log)}") for m, s in zip(MEANS, SHIFTS)}
+    spreads = {f"v{i}": F.expr(fold(s, "1.0D", "*", float)) for i, s in enumerate(SPREADS)}
     df = df.withColumns({**shifts, **spreads})
-    return df.withColumns({c: F.col(c) * F.sqrt(F.col(f"v{c[1]}")) * F.sqrt(F.col(f"v{c[2]}"))
-                           for c in COVS}).drop("v0", "v1", "v2")
+    return df.withColumns({c: F.expr(f"{c} * sqrt(v{c[1]}) * sqrt(v{c[2]})") for c in COVS}).drop("v0", "v1", "v2")
 
 
 def with_trace(df: DataFrame, layers: list[int], rules=RULES) -> DataFrame:

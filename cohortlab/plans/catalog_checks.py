@@ -305,10 +305,10 @@ def cohort_documents(spark, sf):
 
 @query("schedule_documents", f"""SELECT schedule_id::VARCHAR AS schedule_id, count(*) AS n_events, {R('sum(relative_dose)', 12)} AS total_dose, count(DISTINCT drug) AS n_drugs FROM ({S.DOSES}) GROUP BY schedule_id""")
 def schedule_documents(spark, sf):
-    """Schedule documents written from the dose events (one per schedule and day), read back and added up."""
-    d = S.doses(spark, sf).select("schedule_id", "drug", "day", "relative_dose", F.floor("day").alias("whole"))
-    docs = d.groupBy("schedule_id", "whole").agg(F.collect_list(F.struct("drug", "day", "relative_dose")).alias("events"))
-    text = docs.select(F.to_json(F.struct(F.col("schedule_id").cast("string").alias("schedule_id"), F.lit("ac-t").alias("regimen_name"), "events")).alias("value"))
+    """Schedule documents written from the dose events (one document per event), read back and added up."""
+    d = S.doses(spark, sf).select(F.col("schedule_id").cast("string").alias("schedule_id"), F.lit("ac-t").alias("regimen_name"),
+                                  F.array(F.struct("drug", "day", "relative_dose")).alias("events"))
+    text = d.select(F.to_json(F.struct("*")).alias("value"))
     headers, events = cohorts.schedules(text, "value")
     per = events.groupBy("schedule_id", "drug").agg(F.count("*").alias("n"), F.sum("relative_dose").alias("dose"))
     got = per.groupBy("schedule_id").agg(F.sum("n").alias("n_events"), F.sum("dose").alias("total_dose"), F.count("*").alias("n_drugs"))

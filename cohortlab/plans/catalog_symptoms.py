@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -80,8 +80,7 @@ def burden(spark, sf):
 
 
 def _fresh(spark) -> str:
-    return tempfile.mkdtemp(prefix="stream-", dir=checkpoint_dir(spark)) if spark.sparkContext.master.startswith("local") \
-        else f"{checkpoint_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events_stream(spark, sf):
@@ -116,8 +115,7 @@ def stream_sessions(spark, sf):
     return got.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_entries"))
 
 
-@query("stream_update", f"SELECT case_id, particle_id, {R('weight')} AS weight FROM ({weights_sql('day % 16 = 7')})".replace(
-    "avg(predicted) + 0.5 AS observed", "avg(predicted) + 0.5 AS observed"))
+@query("stream_update", f"SELECT case_id, particle_id, {R('weight')} AS weight FROM ({weights_sql('day % 16 = 7')})")
 def stream_update(spark, sf):
     """Measurements arrive as a stream of two files; the weights after the last batch."""
     pred = predictions(spark, sf)

@@ -78,17 +78,13 @@ DOSES = """SELECT user_id AS schedule_id, event_type AS drug,
 def doses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("schedule_id"), F.col("event_type").alias("drug"),
-        ((F.unix_micros(_utc("ts")) - F.lit(1704067200000000)) / F.lit(86400000000.0)).alias("day"),
+        (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / F.lit(86400000000.0)).alias("day"),
         (F.col("value") / 512.0).alias("relative_dose"))
 
 
-def _utc(name: str):
-    return F.col(name).cast("timestamp")
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "events")
-    return df.withColumn("ts", _utc("ts"))
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # ---- forecasts with intervals: one per line item ---------------------------------------
