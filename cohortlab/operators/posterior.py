@@ -10,6 +10,16 @@ from cohortlab.session import materialize
 DEFAULT_NOISE = 0.12
 
 
+def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Predictions that have an observation on the same case and day.
+
+    ``observed(keys.., observed)`` has one row per key. A case with very many particles
+    meets its few observations in a bounded broadcast.
+    """
+    sizes = predictions.groupBy(*keys).agg(F.count("*").alias("n"))
+    return attach(predictions, observed.join(sizes, keys), keys, hot_rows).filter(F.col("observed").isNotNull())
+
+
 def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str], noise: Column) -> DataFrame:
     """``loglik`` per particle over rows that hold ``predicted`` and ``observed``."""
     sd = F.greatest(noise * F.greatest(F.col("observed"), F.lit(1.0)), F.lit(0.25))

@@ -134,7 +134,7 @@ def observations(pred):
 
 def weighted(spark, sf, keep=None):
     pred = predictions(spark, sf)
-    met = pred.join(observations(pred), ["case_id", "day"])
+    met = posterior.with_observed(pred, observations(pred), ["case_id", "day"])
     if keep is not None:
         met = met.filter(keep)
     return posterior.weights(posterior.log_likelihood(met, ["case_id"], ["particle_id"], F.lit(0.2)), ["case_id"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.operators.posterior import log_likelihood, weights
+from cohortlab.operators.posterior import log_likelihood, weights, with_observed
 from cohortlab.operators.scale import attach
 
 
@@ -20,7 +20,7 @@ def touched_weights(measurements: DataFrame, trajectories: DataFrame, touched: D
     """
     observed = measurements.join(touched, "case_id", "left_semi").groupBy("case_id", "day").agg(
         F.avg("volume_ml").alias("observed"))
-    met = trajectories.join(observed, ["case_id", "day"])
+    met = with_observed(trajectories, observed, ["case_id", "day"])
     return weights(log_likelihood(met, ["case_id"], ["particle_id"], F.lit(noise)), ["case_id"])
 
 

@@ -74,13 +74,14 @@ def test_correlation_of_constants_is_zero(spark):
     assert got["b"]["dominant"] and got["a"]["prior_dominated"]
 
 
-def test_exposure_against_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 5])
+def test_exposure_against_brute_force(spark, hot_rows):
     rnd = random.Random(4)
     doses = [(s, d, round(rnd.uniform(0, 40), 3), rnd.uniform(0, 2)) for s in (1, 2) for d in ("a", "b") for _ in range(15)] + [(3, "a", 7.0, 1.0), (3, "a", 0.0, 1.0)]
     df = spark.createDataFrame(doses, "schedule_id int, drug string, day double, relative_dose double")
     sched = spark.createDataFrame([(1, 40.0), (2, 33.0), (3, 14.0)], "schedule_id int, total_days double")
     decay = {"a": 0.25, "b": 0.06}
-    got = exposure.exposure(df, sched, F.when(F.col("drug") == "a", 0.25).otherwise(0.06)).collect()
+    got = exposure.exposure(df, sched, F.when(F.col("drug") == "a", 0.25).otherwise(0.06), hot_rows=hot_rows).collect()
     totals = {1: 40.0, 2: 33.0, 3: 14.0}
     assert len(got) == 2 * 7 + 2 * 6 + 3
     for r in got:
@@ -114,6 +115,15 @@ def test_weights_sum_to_one_and_shift_means(spark, hot_rows):
     assert fit["posterior_rmse"] < fit["prior_rmse"] and 0 < fit["improvement_fraction"] <= 1
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 3])
+def test_predictions_meet_their_observations(spark, hot_rows):
+    pred = spark.createDataFrame([(c, p, d, float(p)) for c in (1, 2) for p in range(6) for d in (0, 7)], "case_id int, particle_id int, day int, predicted double")
+    obs = spark.createDataFrame([(1, 0, 5.0), (2, 7, 6.0), (3, 0, 1.0)], "case_id int, day int, observed double")
+    got = posterior.with_observed(pred, obs, ["case_id", "day"], hot_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pred.join(obs, ["case_id", "day"]).select(got.columns).collect()))
+    assert got.count() == 12
+
+
 def test_underflow_of_likelihoods_is_survived(spark):
     df = spark.createDataFrame([("c", 1, -5000.0), ("c", 2, -5001.0)], "case_id string, particle_id int, loglik double")
     got = {r["particle_id"]: r["weight"] for r in posterior.weights(df, ["case_id"]).collect()}
