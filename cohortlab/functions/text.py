@@ -27,5 +27,9 @@ def contains_any(col: Column, tokens) -> Column:
 
 
 def matched_tokens(col: Column, tokens) -> Column:
-    """The tokens that occur in the text, in list order."""
-    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(col, t))
+    """The tokens that occur in the text, in list order.
+
+    Written out per token rather than as a lambda, so that the text expression is
+    evaluated once per row.
+    """
+    return F.array_compact(F.array(*[F.when(F.contains(col, F.lit(t)), F.lit(t)) for t in tokens]))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.numeric import is_finite
@@ -154,8 +152,5 @@ def grid_consistency(df: DataFrame, case: list[str], particle: list[str], day: s
 
 def phrase_scan(df: DataFrame, text: str, phrases=UNSAFE_PHRASES) -> DataFrame:
     """Add the phrases found anywhere in the whole text."""
-    return df.withColumn("phrases", matched_tokens(F.lower(F.col(text)), phrases))
-
-
-def any_missing(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [c.isNull() for c in cols])
+    lowered = df.withColumn("lowered_text", F.lower(F.col(text)))
+    return lowered.withColumn("phrases", matched_tokens(F.col("lowered_text"), phrases)).drop("lowered_text")
