@@ -42,8 +42,8 @@ def key_points(df: DataFrame, case: str = "case_id", day: str = "day", volume: s
 def two_point_forecasts(cases: DataFrame) -> DataFrame:
     """Add the three baselines that need at most a baseline and an early point.
 
-    NULL where the reference point is not a forecast at all: a zero day gap, a
-    non-positive early volume, or a result beyond the range of a double.
+    NULL where there is no forecast: a zero day gap, a non-positive early volume, or a
+    result beyond the range of a double.
     """
     base, early = F.col("baseline_volume_ml"), F.col("early_volume_ml")
     elapsed = F.col("early_day") - F.col("baseline_day")

@@ -81,12 +81,12 @@ def trend_two_point(spark, sf):
                    5, ["linear_early", "ln_exponential_early"])
 
 
-@query("trend_locf_slope_ols_exp", f"""SELECT case_id, n_fit, held_day, last_observation, {R('last_slope')} AS last_slope,
-  {R('linear', 6)} AS linear, {R('ln(exponential)', 6)} AS ln_exponential FROM ({SERIES})""")
+@query("trend_locf_slope_ols_exp", f"""SELECT case_id, n_fit, held_day, last_observation, {R('last_slope', 4)} AS last_slope,
+  {R('linear', 6)} AS linear, {R('CASE WHEN exponential > 0 THEN ln(exponential) END', 6)} AS ln_exponential FROM ({SERIES})""")
 def trend_series(spark, sf):
     df = series(spark, sf).select("case_id", "n_fit", "held_day", "last_observation", "last_slope", "linear",
                                   F.ln("exponential").alias("ln_exponential"))
-    return rounded(rounded(df, 6, ["linear", "ln_exponential"]), 8, ["last_slope"])
+    return rounded(rounded(df, 6, ["linear", "ln_exponential"]), 4, ["last_slope"])
 
 
 @query("leaderboard_methods", f"""SELECT m.method, m.n, {R('m.mae_ml', 6)} AS mae_ml, {R('m.rmse_ml', 6)} AS rmse_ml,
@@ -154,9 +154,9 @@ def layer_delta(spark, sf):
     return rounded(metrics.paired_delta(series_long(spark, sf), pairs), 6)
 
 
-RUN_METRICS = {"ess": "l_quantity", "ess_fraction": "l_quantity / 64.0::DOUBLE", "fit_prior_rmse_ml": "l_extendedprice / 1024.0::DOUBLE",
-               "fit_posterior_rmse_ml": "l_extendedprice * l_discount / 1024.0::DOUBLE", "rmse_improvement_fraction": "1 - l_discount",
-               "posterior_heldout_error_ml": "l_extendedprice * l_tax / 1024.0::DOUBLE", "prior_heldout_error_ml": "l_extendedprice / 2048.0::DOUBLE"}
+RUN_METRICS = {"ess": "l_quantity", "ess_fraction": "l_quantity / 64.0::DOUBLE", "fit_prior_rmse_ml": "l_extendedprice / 1000.0::DOUBLE",
+               "fit_posterior_rmse_ml": "l_extendedprice * l_discount / 1000.0::DOUBLE", "rmse_improvement_fraction": "1 - l_discount",
+               "posterior_heldout_error_ml": "l_extendedprice * l_tax / 1000.0::DOUBLE", "prior_heldout_error_ml": "l_extendedprice / 2000.0::DOUBLE"}
 RUNS = "SELECT l_discount AS noise, ceil(l_quantity / 10)::INT AS particles, l_returnflag AS variant, " + ", ".join(
     f"{e} AS {m}" for m, e in RUN_METRICS.items()) + " FROM lineitem"
 
@@ -168,14 +168,14 @@ def runs(spark, sf):
         *[F.expr(e.replace("::DOUBLE", "D")).alias(m) for m, e in RUN_METRICS.items()])
 
 
-@query("sweep_medians", f"""SELECT grouping, value, n_runs, {', '.join(f"{R(f'median_{m}')} AS median_{m}" for m in RUN_METRICS)} FROM (
+@query("sweep_medians", f"""SELECT grouping, value, n_runs, {', '.join(f"{R(f'median_{m}', 9)} AS median_{m}" for m in RUN_METRICS)} FROM (
   SELECT CASE WHEN grouping(noise) = 0 THEN 'noise' WHEN grouping(particles) = 0 THEN 'particles' ELSE 'variant' END AS grouping,
     CASE WHEN grouping(noise) = 0 THEN noise::VARCHAR WHEN grouping(particles) = 0 THEN particles::VARCHAR ELSE variant END AS value,
     count(*) AS n_runs, {', '.join(f'quantile_cont({m}, 0.5) AS median_{m}' for m in RUN_METRICS)}
   FROM ({RUNS}) GROUP BY GROUPING SETS ((noise), (particles), (variant)))""")
 def sweep_medians(spark, sf):
     return rounded(metrics.sweep_medians(runs(spark, sf), {"noise": "noise", "particles": "particles", "variant": "variant"},
-                                         tuple(RUN_METRICS)))
+                                         tuple(RUN_METRICS)), 9)
 
 
 @query("param_stability", f"""SELECT variant, param, {R('avg(v)', 6)} AS mean, {R('coalesce(stddev_samp(v), 0)', 6)} AS stddev, min(v) AS min, max(v) AS max,

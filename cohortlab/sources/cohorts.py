@@ -82,7 +82,7 @@ def cases(rows: DataFrame) -> DataFrame:
                       lambda m: F.schema_of_variant(m).startswith("OBJECT"))
     df = df.withColumn("series", F.array_sort(F.transform(listed, point)))
     df = df.withColumns({
-        "listed": F.col("series").isNotNull(), "n_points": F.size("series"),
+        "listed": F.col("series").isNotNull(), "n_points": F.when(F.col("series").isNotNull(), F.size("series")),
         "p_first": F.try_element_at("series", F.lit(1)), "p_second": F.try_element_at("series", F.lit(2)),
         "p_last": F.try_element_at("series", F.lit(-1))})
     fields = {"b_day": ("baseline_day",), "b_vol": BASELINE, "f_day": FINAL_DAY, "f_vol": FINAL, "e_day": EARLY_DAY, "e_vol": EARLY}

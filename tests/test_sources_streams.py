@@ -46,7 +46,7 @@ def test_layered_evaluation_of_a_tiny_cohort(spark, tmp_path):
     path = tmp_path / "c.jsonl"
     path.write_text("\n".join(json.dumps(c) for c in COHORT))
     cases = cohorts.cases(cohorts.read_rows(spark, str(path))).filter(F.size("reasons") == 0).drop("reasons", "source_file")
-    got = evaluation.evaluate(cases.withColumn("n_points", F.lit(2)), n=200, ctx=cohorts.case_context())
+    got = evaluation.evaluate(cases, n=200, ctx=cohorts.case_context())
     scores = {r["method"]: r for r in got["metrics"].collect()}
     assert scores["baseline_no_change"]["n"] == 3
     for layer in ("layer2_population", "layer3_pathology", "layer4_mri_qc"):
