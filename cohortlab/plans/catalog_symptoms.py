@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from cohortlab.operators import symptoms
 from cohortlab.plans import standins as S
 from cohortlab.plans.catalog_ensemble import predictions, weights_sql
 from cohortlab.plans.registry import R, query, rounded, table
-from cohortlab.session import checkpoint_dir
+from cohortlab.session import scratch
 from cohortlab.streaming import checkins, updates
 
 HIGH, N_HIGH, RISE, GAP = 60.0, 2, 40.0, 86400.0 * 5
@@ -80,7 +79,7 @@ def burden(spark, sf):
 
 
 def _fresh(spark) -> str:
-    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _events_stream(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,20 +29,21 @@ def build(master: str | None = None, partitions: int | None = None, **extra: str
     return builder.getOrCreate()
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's setting, or a fresh one in tests."""
+    """The shared folder for intermediate tables: the cluster's setting, else one beside the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _LOCAL[app]
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; whatever is written there goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/cohortlab-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -52,6 +52,6 @@ def materialize(df: DataFrame) -> DataFrame:
     It is computed once, survives the loss of executors, and later steps plan against
     a plain Parquet scan that reads only their columns.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/cohortlab-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
