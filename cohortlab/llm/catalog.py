@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.llm import chat, line_dedup, quality, sharding, url_filter
+from cohortlab.llm import bpe, chat, line_dedup, packing, quality, sharding, topk, toxicity, url_filter
 from cohortlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -107,3 +108,39 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_chat_format")
 def chat_query(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.format_turns(_turns(spark, sf)))
+
+
+@query("op4_best_fit_packing")
+def packing_query(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_bpe_codec")
+def bpe_query(spark: SparkSession, sf: str) -> DataFrame:
+    out = bpe.encode_texts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_toxicity")
+def toxicity_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+TOP_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda c: coalesce(NOT isfinite(c), true)), true)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10"""
+
+
+@query("op9_topk", TOP_SQL)
+def topk_query(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf, "embeddings"))
+    return topk.search(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
