@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,7 +26,7 @@ LETTERS = {b: c for c, b in byte_letters().items()}
 #: Rows of one (length, salt) group on average at most.
 GROUP_ROWS = 20_000
 #: Nodes of the search; the best packing found so far stands when they are used up.
-MAX_NODES = 20_000
+MAX_NODES = 3_000
 #: Fillings that one node tries, those of least waste first.
 MAX_FILLINGS = 20
 
@@ -181,42 +182,51 @@ def pack(counts: dict[int, int], capacity: int) -> tuple[Bins, int]:
     """As few sequences as the search finds for pieces of these lengths, and the bound it proved.
 
     Best fit is the first incumbent. While it is above the bound, bin completion goes depth first:
-    the largest piece left takes each undominated filling, as often as pieces for it last, and a
-    branch ends when its waste leaves no room for a better packing; best fit of what is left
-    makes new incumbents on the way.
+    the largest piece left takes each undominated filling in turn, as often as pieces for it last,
+    and a branch ends when its waste leaves no room for a better packing; best fit of what is
+    left makes new incumbents on the way. One copy of the counts is changed and changed back.
     """
-    counts = {n: c for n, c in counts.items() if c}
-    bound, total = lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
-    best = best_fit(counts, capacity)
+    left = {n: c for n, c in counts.items() if c}
+    bound, total = lower_bound(left, capacity), sum(n * c for n, c in left.items())
+    best = best_fit(left, capacity)
     size = lambda bins: sum(c for _, c in bins)
-    budget, n_best = MAX_NODES, size(best)
-    stack: list[tuple[dict[int, int], Bins, int]] = [(counts, [], 0)]
-    while stack and n_best > bound and budget:
-        left, done, waste = stack.pop()
-        budget -= 1
-        spare = (n_best - 1) * capacity - total - waste
-        if spare < 0 or not left:
+    n_best, waste, path, nodes = size(best), 0, [], 0
+
+    def branches() -> Iterator[tuple[int, ...]]:
+        top = max(left)
+        take(((top,), 1), -1)
+        found = fillings(left, capacity - top, (n_best - 1) * capacity - total - waste)
+        take(((top,), 1), 1)
+        return iter([(top, *f) for f in found])
+
+    def take(bin_: tuple[tuple[int, ...], int], sign: int) -> None:
+        for n in bin_[0]:
+            left[n] = left.get(n, 0) + sign * bin_[1]
+            if not left[n]:
+                del left[n]
+
+    frames = [branches()] if left and n_best > bound else []
+    while frames and n_best > bound and nodes < MAX_NODES:
+        fill = next(frames[-1], None)
+        if fill is None:
+            frames.pop()
+            if path:
+                take(path[-1], 1)
+                waste -= path[-1][1] * (capacity - sum(path[-1][0]))
+                path.pop()
             continue
-        if budget % 16 == 0 or len(left) < 40:
-            tried = done + best_fit(left, capacity)
+        nodes += 1
+        need = Counter(fill)
+        done = (fill, min(left[n] // c for n, c in need.items()))
+        take(done, -1)
+        path.append(done)
+        waste += done[1] * (capacity - sum(fill))
+        if not left or len(left) < 40 or nodes & (nodes - 1) == 0:
+            tried = path + best_fit(left, capacity)
             if size(tried) < n_best:
-                best, n_best = tried, size(tried)
-                continue
-        top = max(left)
-        rest = left | {top: left[top] - 1}
-        branches = []
-        for f in fillings({n: c for n, c in rest.items() if c}, capacity - top, spare):
-            need = Counter((top, *f))
-            times = min(left[n] // c for n, c in need.items())
-            lost = capacity - top - sum(f)
-            after = {n: left[n] - times * need.get(n, 0) for n in left}
-            branches.append(({n: c for n, c in after.items() if c}, [*done, ((top, *f), times)], waste + times * lost))
-        for after, bins, lost in reversed(branches):
-            if not after:
-                if size(bins) < n_best:
-                    best, n_best = bins, size(bins)
-            elif lost <= (n_best - 1) * capacity - total:
-                stack.append((after, bins, lost))
+                best, n_best = list(tried), size(tried)
+        hopeful = left and waste <= (n_best - 1) * capacity - total
+        frames.append(branches() if hopeful else iter(()))
     return best, bound
 
 

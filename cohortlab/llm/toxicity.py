@@ -16,7 +16,7 @@ BITS = 24
 CLASS_ROWS = 6000
 #: Bytes of a word's beginning that count as features beside the word, so that inflected forms meet.
 STEMS = (4, 5, 6)
-ALPHA, BETA, L1, L2, EPOCHS, BIAS = 0.2, 1.0, 0.6, 0.5, 3, 0
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 0.1, 4
 
 WORD, STEM, PAIR, SKIP = (np.uint64(s) for s in (0x51, 0x7A3, 0x1F29, 0x2C8D))
 ODD = np.uint64(0x9E3779B97F4A7C15)
