@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.llm import bpe, chat, line_dedup, packing, quality, sharding, topk, toxicity, url_filter
+from cohortlab.llm import bpe, chat, line_dedup, minhash, packing, quality, sharding, topk, toxicity, url_filter
 from cohortlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -144,3 +144,8 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10"""
 def topk_query(spark: SparkSession, sf: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf, "embeddings"))
     return topk.search(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+@query("op7_minhash")
+def minhash_query(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), size=4, percent=80)

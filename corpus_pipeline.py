@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.llm import line_dedup, quality
+from cohortlab.llm import line_dedup, minhash, packing, quality, toxicity
 from cohortlab.session import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of being toxic is below 0.3; learned from the labelled documents among ``docs``."""
+    weights = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*COLUMNS), weights).filter("score < 0.3").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
@@ -21,7 +28,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_lines)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of similarity 0.8 on five-word shingles; texts without words stay."""
+    gone = minhash.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: the place of every piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("quality_rules", quality_rules), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("packing", best_fit)]
 
 #: Learned scores, sketches and packing have no SQL form; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
