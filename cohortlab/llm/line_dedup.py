@@ -217,6 +217,7 @@ def rebuild(docs: DataFrame, gone: DataFrame) -> DataFrame:
     lists = lists.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "_gone")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    docs = docs.drop("n_lines", "n_dropped", "kept", "_doc", "_mark", "_gone")
     return (docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_mark() == F.col("_mark")), "left")
             .withColumn("n_lines", F.size(lines).cast("long"))
             .withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
@@ -227,8 +228,8 @@ def rebuild(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """Lines found in ``min_docs`` documents stay only in the largest doc_id that holds them.
 
-    ``docs`` needs doc_id and text; other columns pass (none may be called n_lines, n_dropped or
-    kept). Null and empty texts are one empty line. A null doc_id is smaller than any other.
+    ``docs`` needs doc_id and text; other columns pass (those called n_lines, n_dropped or kept are
+    replaced). Null and empty texts are one empty line. A null doc_id is smaller than any other.
     Equal rows count as documents of their own and share their fate. No rows give no rows.
     """
     return rebuild(docs, dropped(insert(None, docs, min_chars), min_docs))

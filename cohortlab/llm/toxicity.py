@@ -90,7 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
 
     At most ``class_rows`` documents of each class are learned from, so one task holds them; their
     features are drawn where the texts are. The driver sees only the weights that are not zero.
-    Labels that are null, or whose document is missing, teach nothing; without any, all scores are one half.
+    Labels that are null, or whose document is missing, teach nothing; without any, nothing is known to be toxic and all scores are 0.
     """
     arrow.prepare(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().filter(~held_out())
@@ -116,8 +116,10 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
 def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
     """``docs`` with ``score``, the chance that a text is toxic; null and empty texts score by the bias alone.
 
-    A text's features count once each. Needs a column text; a column score is replaced.
+    A text's features count once each. Needs a column text; a column score is replaced. Without weights scores are 0.
     """
+    if not weights:
+        return docs.withColumn("score", F.lit(0.0))
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((np.array([a for a, _ in weights], np.int64), np.array([w for _, w in weights], np.float32)))
     table: dict[str, np.ndarray] = {}
