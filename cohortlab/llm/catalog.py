@@ -36,7 +36,7 @@ def line_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
 # The site rules of the production list.
 SITES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Own patterns for what no site rule decides: advertising and log-in pages, programs.
-PATTERNS = [url_filter.pattern(r"\A(?:[^\n]*\.)?ads?\.", "block", "ads"), url_filter.pattern(r"\n/(?:[^\n]*/)?login/", "block", "login"),
+PATTERNS = [url_filter.pattern(r"\A(?:[^/]*\.)?ads\.", "block", "ads"), url_filter.pattern(r"(?s)\A[^/]*//(?:.*/)?login/", "block", "login"),
             url_filter.pattern(r"\.(?:exe|msi)\Z", "block")]
 
 URL_SQL = f"""
@@ -48,7 +48,7 @@ fit AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM parted JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, CASE
-  WHEN regexp_matches(host, '^(.*\\.)?ads\\.') OR regexp_matches(path, '^/(.*/)?login/') OR regexp_matches(path, '\\.(exe|msi)$') THEN 'block'
+  WHEN regexp_matches(host, '(?s)^(.*\\.)?ads\\.') OR regexp_matches(path, '(?s)^/(.*/)?login/') OR regexp_matches(path, '\\.(exe|msi)$') THEN 'block'
   ELSE 'allow' END) AS verdict
 FROM parted LEFT JOIN fit USING (page_id)"""
 

@@ -30,12 +30,13 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def _is(data: np.ndarray, what: bytes) -> np.ndarray:
-    """Where ``what`` begins."""
+def _is(data: np.ndarray, starts: np.ndarray, what: bytes) -> np.ndarray:
+    """Where ``what`` begins and ends inside one row."""
     n = len(data) - len(what) + 1
     out = np.zeros(len(data), bool)
     if n > 0:
-        out[:n] = np.logical_and.reduce([data[k : k + n] == b for k, b in enumerate(what)])
+        left = np.repeat(starts[1:], np.diff(starts))[:n] - np.arange(n)
+        out[:n] = np.logical_and.reduce([left >= len(what), *(data[k : k + n] == b for k, b in enumerate(what))])
     return out
 
 
@@ -53,7 +54,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     """One buffer for all turns; where each turn begins (and the end), and where its text begins and ends."""
     role, role_at = _bytes(roles)
     text, text_at = _bytes(texts)
-    text_risk = (text == ESCAPE) | _is(text, b"###") | _is(text, b"</turn>")
+    text_risk = (text == ESCAPE) | _is(text, text_at, b"###") | _is(text, text_at, b"</turn>")
     role_risk = (role == ESCAPE) | (role == 10) | (role == ord("#")) | (role == ord("<"))
     grown = lambda at, risk: np.diff(at) + np.diff(np.r_[0, np.cumsum(risk)][at])
     role_len, text_len = grown(role_at, role_risk), grown(text_at, text_risk)

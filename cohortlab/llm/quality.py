@@ -106,3 +106,9 @@ def judge(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
     out = measured(own).withColumn("base_failed", base_failed())
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(out, order)))
     return out.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def survivors(judged: DataFrame) -> DataFrame:
+    """The kept rows. The optimizer moves no condition below a random column; moved below the measures,
+    the condition would hold all their expressions many times over and evaluate them as often."""
+    return judged.withColumn("_fence", F.rand()).filter(F.when(F.col("_fence") >= 0, F.col("kept"))).drop("_fence")

@@ -17,7 +17,7 @@ MAX_RULES = 1_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is what results show, ``regex`` runs on ``host`` + newline + ``path``, ``tokens`` are
+    """``name`` is what results show, ``regex`` runs on ``host`` + "/" + ``path`` (a host has no slash), ``tokens`` are
     whole tokens of every URL it fits, ``rank`` decides between fitting rules (the larger wins)."""
 
     name: str
@@ -32,8 +32,8 @@ def site(host: str, path: str, verdict: str) -> Rule:
     """Fits the host, all its subdomains, and paths that start with ``path``."""
     tokens = re.findall(TOKEN, host.lower())
     # The last token of a path prefix may go on in the URL, so it is no whole token.
-    tokens += [m[0] for m in re.finditer(TOKEN, path) if m.end() < len(path)]
-    return Rule(host + path, verdict, rf"(?s)\A(?:[^\n]*\.)?{re.escape(host.lower())}\n{re.escape(path)}", tuple(tokens), len(host + path))
+    tokens += [m[0] for m in re.finditer(TOKEN, path.lower()) if m.end() < len(path)]
+    return Rule(host + path, verdict, rf"\A(?:[^/]*\.)?{re.escape(host.lower())}/{re.escape(path)}", tuple(tokens), len(host + path))
 
 
 def pattern(regex: str, verdict: str, *tokens: str) -> Rule:
@@ -53,7 +53,7 @@ def path() -> Column:
 
 def tokens() -> Column:
     """Distinct tokens of host and path (A-Z in the path as in the URL and folded)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", "host", "path")), F.lit(TOKEN), 0))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(TOKEN), 0))
 
 
 def frequencies(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
         out = []
         rules, by, always = held.value
         for h, p in zip(hosts, paths, strict=True):
-            what = f"{h}\n{p}"
+            what = f"{h}/{p}"
             tried = [i for t in set(re.findall(TOKEN, what.lower())) for i in by.get(t, ())] + always
             fit = [rules[i] for i in tried if fits(i, what)]
             sites = [r for r in fit if not r.pattern]
