@@ -176,7 +176,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     sized = pairs.join(sizes, "pivot")
     pivots = sized.groupBy("id").agg(F.collect_list(F.struct("pivot", "blocks")).alias("pivots"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pivots, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pivots.hint("merge"), "id")  # one plan at every size
     held = arrow.map_batches(texts.select("id", "pivots", "text"), lambda b: _sets(b, size), "id long, pivots array<struct<pivot: long, blocks: int>>, shingles binary")
     each = held.select("id", "shingles", F.explode("pivots").alias("p")).select("id", "shingles", "p.*")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")

@@ -31,7 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of similarity 0.8 on five-word shingles; texts without words stay."""
     gone = minhash.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")  # one plan at every size
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
