@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.operators.checks import with_reasons
-from cohortlab.operators.scale import HOT_ROWS, attach
+from cohortlab.operators.scale import attach
 
+#: Positions of a stretch that one window holds.
+STRETCH = 4096
 
-def flag_duplicates(df: DataFrame, case: str = "case_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def flag_duplicates(df: DataFrame, case: str = "case_id") -> DataFrame:
     """Add ``copies``: how many rows carry the case id."""
     sizes = df.groupBy(case).agg(F.count("*").alias("n"), F.count("*").alias("copies"))
-    return attach(df, sizes, [case], hot_rows)
+    return attach(df, sizes, [case])
 
 
 def exclusion_reasons(df: DataFrame) -> DataFrame:
@@ -137,11 +140,16 @@ def manifest(sources: dict[str, DataFrame], required: list[str]) -> DataFrame:
 
 
 def days_ordered(df: DataFrame, case: list[str], position: str, day: str) -> DataFrame:
-    """Whether days never fall with the position, per case.
+    """Rows per case, and how often a day is below that of the row before it by position (gaps do not matter).
 
-    Compared as counts of inversions between neighbouring positions: each row meets
-    only its successor by key, so no case is sorted in one task.
+    Neighbours are looked up inside stretches of positions; the ends of the stretches are compared
+    after that, so no window holds a whole case.
     """
-    nxt = df.select(*case, (F.col(position) - 1).alias(position), F.col(day).alias("next_day"))
-    met = df.join(nxt, [*case, position], "left")
-    return met.groupBy(*case).agg(F.count("*").alias("n_rows"), F.count_if(F.col("next_day") < F.col(day)).alias("n_falls"))
+    rows = df.withColumn("d_part", F.floor(F.col(position) / STRETCH))
+    inside = Window.partitionBy(*case, "d_part").orderBy(position)
+    parts = rows.withColumn("d_before", F.lag(day).over(inside)).groupBy(*case, "d_part").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col(day) < F.col("d_before")).alias("n_falls"),
+        F.min_by(day, position).alias("d_first"), F.max_by(day, position).alias("d_last"))
+    ends = Window.partitionBy(*case).orderBy("d_part")
+    return parts.withColumn("d_before", F.lag("d_last").over(ends)).groupBy(*case).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_falls") + F.coalesce((F.col("d_first") < F.col("d_before")).cast("int"), F.lit(0))).alias("n_falls"))

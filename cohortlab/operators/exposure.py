@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.operators.scale import HOT_ROWS, attach
+from cohortlab.operators.scale import attach
 
 
 def output_days(total: Column, step: int = 7) -> Column:
@@ -18,7 +18,7 @@ def grid_rows(schedules: DataFrame, schedule: str = "schedule_id", total: str =
 
 
 def exposure(doses: DataFrame, schedules: DataFrame, decay: Column, schedule: str = "schedule_id",
-             total: str = "total_days", step: int = 7, hot_rows: int = HOT_ROWS) -> DataFrame:
+             total: str = "total_days", step: int = 7) -> DataFrame:
     """``(schedule, drug, grid_day, exposure)``: decayed sum of the doses given so far.
 
     Doses are first added up within the grid cell they fall into, decayed to the end
@@ -28,7 +28,7 @@ def exposure(doses: DataFrame, schedules: DataFrame, decay: Column, schedule: st
     """
     ends = schedules.select(schedule, F.col(total).cast("double").alias("s_total"))
     sizes = doses.groupBy(schedule).agg(F.count("*").alias("n"))
-    rows = attach(doses, ends.join(sizes, schedule), [schedule], hot_rows)
+    rows = attach(doses, ends.join(sizes, schedule), [schedule])
     # grid day at or after the dose; beyond the last full step it is the total itself
     cell = F.least(F.ceil(F.col("day") / step) * step, F.col("s_total")).cast("double")
     cells = (rows.filter(F.col("day") <= F.col("s_total"))

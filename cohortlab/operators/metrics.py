@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.numeric import ratio_or
-from cohortlab.operators.scale import HOT_ROWS, exact_quantiles, fits_in_buffers
+from cohortlab.operators.scale import attach, exact_quantiles
 
 SWEEP_METRICS = ("ess", "ess_fraction", "fit_prior_rmse_ml", "fit_posterior_rmse_ml",
                  "rmse_improvement_fraction", "posterior_heldout_error_ml", "prior_heldout_error_ml")
@@ -30,12 +30,12 @@ def interval_sums() -> list[Column]:
             F.avg(F.col("hi80") - F.col("lo80")).alias("width_80_ml")]
 
 
-def forecast_metrics(df: DataFrame, keys: list[str], intervals: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+def forecast_metrics(df: DataFrame, keys: list[str], intervals: bool = True) -> DataFrame:
     """Error and interval scores per group, with the median absolute percentage error."""
     df = df.filter(F.col("point").isNotNull())
     sums = df.groupBy(*keys).agg(*error_sums(), *(interval_sums() if intervals else []))
     ape = df.select(*keys, (F.abs(F.col("point") - F.col("observed")) / F.col("observed")).alias("ape"))
-    medians = exact_quantiles(ape, keys, "ape", {"median_ape": 0.5}, hot_rows).drop("n")
+    medians = exact_quantiles(ape, keys, "ape", {"median_ape": 0.5}).drop("n")
     return sums.join(medians, keys, "left")
 
 
@@ -68,7 +68,7 @@ def paired_delta(df: DataFrame, comparisons: list[tuple[str, str, str]], case: s
         F.coalesce(F.avg("delta"), F.lit(0.0)).alias("mean_mae_delta_ml"))
 
 
-def method_comparison(df: DataFrame, run: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def method_comparison(df: DataFrame, run: list[str]) -> DataFrame:
     """Median and mean absolute error and win count per method.
 
     The smallest error of a run wins; ties go to the alphabetically first method.
@@ -76,18 +76,18 @@ def method_comparison(df: DataFrame, run: list[str], hot_rows: int = HOT_ROWS) -
     df = df.filter(F.col("abs_error").isNotNull())
     wins = (df.groupBy(*run).agg(F.min(F.struct("abs_error", "method"))["method"].alias("method"))
             .groupBy("method").agg(F.count("*").alias("win_count")))
-    medians = exact_quantiles(df, ["method"], "abs_error", {"median_abs_error": 0.5}, hot_rows)
+    medians = exact_quantiles(df, ["method"], "abs_error", {"median_abs_error": 0.5})
     means = df.groupBy("method").agg(F.avg("abs_error").alias("mean_abs_error"))
     return means.join(medians, "method").join(wins, "method", "left").select(
         "method", F.col("n"), "median_abs_error", "mean_abs_error",
         F.coalesce("win_count", F.lit(0)).alias("win_count"))
 
 
-def sweep_medians(runs: DataFrame, groupings: dict[str, str], metrics=SWEEP_METRICS,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+def sweep_medians(runs: DataFrame, groupings: dict[str, str], metrics=SWEEP_METRICS) -> DataFrame:
     """Run count and metric medians for each single grouping of one run table.
 
-    ``groupings`` maps a label to a column. The three groupings share one scan.
+    ``groupings`` maps a label to a column; they share one scan. A group counts all its runs, and a metric
+    that is NULL in all of them has a NULL median.
     """
     labels, columns = list(groupings), list(groupings.values())
     groups = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("value"))
@@ -96,16 +96,11 @@ def sweep_medians(runs: DataFrame, groupings: dict[str, str], metrics=SWEEP_METR
                                 for i, m in enumerate(metrics)]))
     per_group = runs.select(groups.alias("k"), *metrics).select("k.*", *metrics)
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("g") + 1)
-    # a group has the same number of runs for every metric, so the sizes need no unpivot
-    sizes = per_group.groupBy("g", "value").agg(F.count("*").alias("n"))
-    if fits_in_buffers(sizes, hot_rows):
-        return per_group.groupBy(label.alias("grouping"), "value").agg(
-            F.count("*").alias("n_runs"), *[F.percentile(m, 0.5).alias(f"median_{m}") for m in metrics])
+    n_runs = per_group.groupBy("g", "value").agg(F.count("*").alias("n_runs"))
     long = per_group.select("g", "value", cells.alias("c")).select("g", "value", "c.*")
-    medians = exact_quantiles(long, ["g", "value", "m"], "x", {"q50": 0.5}, hot_rows, sizes=sizes)
-    return medians.groupBy(label.alias("grouping"), "value").agg(
-        F.max("n").alias("n_runs"),
+    medians = exact_quantiles(long, ["g", "value", "m"], "x", {"q50": 0.5}).groupBy("g", "value").agg(
         *[F.max(F.when(F.col("m") == i, F.col("q50"))).alias(f"median_{m}") for i, m in enumerate(metrics)])
+    return attach(n_runs, medians, ["g", "value"]).select(label.alias("grouping"), "value", "n_runs", *[f"median_{m}" for m in metrics])
 
 
 def parameter_stability(df: DataFrame, keys: list[str], value: str) -> DataFrame:

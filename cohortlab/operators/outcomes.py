@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.numeric import CENTRAL_Z
-from cohortlab.operators.scale import HOT_ROWS, attach, order_statistic, prefix_totals
+from cohortlab.operators.scale import attach, order_statistic, prefix_totals
 
 EDGE_SALTS = 16
 
@@ -52,38 +52,37 @@ def binary_scores(df: DataFrame, keys: list[str], score: str, label: str, cut: f
                       ((sens + spec) / 2).alias("balanced_accuracy"))
 
 
-def roc_auc(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve with ties counted half, from running class totals."""
     y = F.col(label).cast("bigint")
-    runs = prefix_totals(df, keys, score, {"pos": F.sum(y), "neg": F.sum(1 - y)}, hot_rows)
+    runs = prefix_totals(df, keys, score, {"pos": F.sum(y), "neg": F.sum(1 - y)})
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2
     got = runs.groupBy(*keys).agg(F.sum(F.col("pos") * below).alias("won"), F.max("all_pos").alias("p"),
                                   F.max("all_neg").alias("q"))
     return got.select(*keys, F.try_divide(F.col("won"), F.col("p") * F.col("q")).alias("auc"))
 
 
-def conformal_width(calibration: DataFrame, strata: list[str], miss: float = 0.2, hot_rows: int = HOT_ROWS) -> DataFrame:
+def conformal_width(calibration: DataFrame, strata: list[str], miss: float = 0.2) -> DataFrame:
     """Half-width that covers 1 - miss of the absolute residuals per stratum.
 
     The value of rank ceil((n + 1)(1 - miss)); NULL when a stratum is too small for it.
     """
     rows = calibration.withColumn("half_width", F.abs(F.col("observed") - F.col("point")))
     rank = F.ceil((F.col("all_n") + 1) * F.lit(1.0 - miss))
-    return order_statistic(rows, strata, "half_width", rank, hot_rows)
+    return order_statistic(rows, strata, "half_width", rank)
 
 
-def ks_two_sample(df: DataFrame, keys: list[str], value: str, first: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ks_two_sample(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
     """Largest gap between the two running shares, with both sample sizes."""
-    runs = prefix_totals(df, keys, value, {"a": F.count_if(first), "b": F.count_if(~first)}, hot_rows)
+    runs = prefix_totals(df, keys, value, {"a": F.count_if(first), "b": F.count_if(~first)})
     gap = F.abs(F.col("cum_a") / F.col("all_a") - F.col("cum_b") / F.col("all_b"))
     return runs.filter((F.col("all_a") > 0) & (F.col("all_b") > 0)).groupBy(*keys).agg(
         F.max("all_a").alias("n_a"), F.max("all_b").alias("n_b"), F.max(gap).alias("ks"))
 
 
-def truth_ranks(particles: DataFrame, truths: DataFrame, case: list[str], value: str, truth: str,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def truth_ranks(particles: DataFrame, truths: DataFrame, case: list[str], value: str, truth: str) -> DataFrame:
     """Rank of the truth among its particles. ``truths`` has one row per case and count ``n``."""
-    rows = attach(particles, truths, case, hot_rows)
+    rows = attach(particles, truths, case)
     return rows.filter(F.col(truth).isNotNull()).groupBy(*case).agg(
         F.count("*").alias("n_particles"), F.count_if(F.col(value) < F.col(truth)).alias("rank"))
 

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.operators.scale import HOT_ROWS, attach, exact_quantiles, weighted_quantiles
+from cohortlab.operators.scale import attach, exact_quantiles, weighted_quantiles
 from cohortlab.session import materialize
 
 DEFAULT_NOISE = 0.12
 
 
-def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions that have an observation on the same case and day.
 
     ``observed(keys.., observed)`` has one row per key. A case with very many particles
     meets its few observations in a bounded broadcast.
     """
     sizes = predictions.groupBy(*keys).agg(F.count("*").alias("n"))
-    return attach(predictions, observed.join(sizes, keys), keys, hot_rows).filter(F.col("observed").isNotNull())
+    return attach(predictions, observed.join(sizes, keys), keys).filter(F.col("observed").isNotNull())
 
 
 def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str], noise: Column) -> DataFrame:
@@ -28,16 +28,16 @@ def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str],
     return rows.groupBy(*case, *particle).agg(F.sum(part).alias("loglik"), F.count("*").alias("n_obs"))
 
 
-def weights(loglik: DataFrame, case: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def weights(loglik: DataFrame, case: list[str]) -> DataFrame:
     """Add ``weight``, summing to one per case; the maximum is taken off before exp.
 
     The likelihoods are read three times, so they are written once.
     """
     loglik = materialize(loglik)
     top = loglik.groupBy(*case).agg(F.max("loglik").alias("top"), F.count("*").alias("n"))
-    rows = attach(loglik, top, case, hot_rows).withColumn("raw", F.exp(F.col("loglik") - F.col("top")))
+    rows = attach(loglik, top, case).withColumn("raw", F.exp(F.col("loglik") - F.col("top")))
     total = rows.groupBy(*case).agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
-    return attach(rows, total, case, hot_rows).withColumn("weight", F.col("raw") / F.col("total")).drop(
+    return attach(rows, total, case).withColumn("weight", F.col("raw") / F.col("total")).drop(
         "raw", "total", "top")
 
 
@@ -61,11 +61,10 @@ def mean_predictions(df: DataFrame, keys: list[str], predicted: str = "predicted
                                  F.sum(F.col(predicted) * F.col("weight")).alias("posterior_mean"))
 
 
-def parameter_widths(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight",
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def parameter_widths(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
     """Prior and posterior 80% widths of each parameter and their ratio (1 for a constant)."""
-    prior = exact_quantiles(df, keys, value, {"p10": 0.1, "p90": 0.9}, hot_rows)
-    post = weighted_quantiles(df, keys, value, weight, {"w10": 0.1, "w90": 0.9}, hot_rows)
+    prior = exact_quantiles(df, keys, value, {"p10": 0.1, "p90": 0.9})
+    post = weighted_quantiles(df, keys, value, weight, {"w10": 0.1, "w90": 0.9})
     ends = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("value_range"))
     got = prior.join(post, keys).join(ends, keys)
     widths = got.withColumns({"prior_width_80": F.col("p90") - F.col("p10"),

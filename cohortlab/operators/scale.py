@@ -1,12 +1,10 @@
 """Operations on groups of any size: one key may hold a third of all rows.
 
-A group is called hot when it holds more than ``1 / HOT_SHARE`` of the rows (and
-more than ``hot_rows``), so there are fewer than ``HOT_SHARE`` hot groups whatever
-the data. That bound is what makes broadcasting the hot-group tables safe. All other
-groups are at most the size of an ordinary shuffle partition.
+Nothing here looks at row counts: one path serves every size, and no job runs while a
+query is built.
 
 ``attach``          join per-group values back to the rows
-``prefix_totals``   running totals by value, hot groups cut into slices
+``prefix_totals``   running totals by value, every group cut into slices of the value range
 ``exact_quantiles`` interpolated quantiles from the running totals
 ``weighted_quantiles``, ``order_statistic`` likewise
 ``first_rows``      first k rows per group
@@ -16,12 +14,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_SHARE = 1024
-HOT_ROWS = 1_000_000
-SLICES = 4096
-COARSE = 64
+#: Fine slices of a coarse one, as a power of two.
+FINE_BITS = 20
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -29,97 +25,62 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_groups(sizes: DataFrame, hot_rows: int, share: int = HOT_SHARE) -> list[Row]:
-    """The rows of ``sizes(keys.., n)`` above the share, on the driver: fewer than ``share``."""
-    total = sizes.agg(F.sum("n")).scalar()
-    return sizes.filter((F.col("n") > hot_rows) & (F.col("n") * share > total)).collect()
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of per-group ``stats`` onto the rows of ``df``; its count ``n`` is not kept.
 
-
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join of per-group ``stats`` (with row count ``n``) onto the rows of ``df``.
-
-    Rows of hot groups meet their values in a bounded broadcast and are then spread
-    by a hash of the row, so that the shuffled join for the rest stays balanced.
-    The column ``n`` of ``stats`` is not kept. Sizing the groups runs ``stats`` once.
+    A hot group is split at run time: the session turns on skew joins.
     """
     values = [c for c in stats.columns if c not in keys and c != "n"]
-    hot = hot_groups(stats, hot_rows)
-    cold = stats.select(*[F.col(k).alias(f"ck_{k}") for k in keys], F.struct(*values).alias("c_vals"))
-    if not hot:
-        on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(cold[f"ck_{k}"]) for k in keys])
-        return df.join(cold, on, "left").select(*df.columns, "c_vals.*")
-    local = df.sparkSession.createDataFrame(hot, stats.schema)
-    local = local.select(*[F.col(k).alias(f"hk_{k}") for k in keys], F.struct(*values).alias("h_vals"))
-    on_hot = reduce(lambda a, b: a & b, [df[k].eqNullSafe(local[f"hk_{k}"]) for k in keys])
-    rows = df.join(F.broadcast(local), on_hot, "left").drop(*[f"hk_{k}" for k in keys])
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)]), F.lit(HOT_SHARE)) + 1
-    rows = rows.withColumn("h_salt", F.when(F.col("h_vals").isNotNull(), spread).otherwise(F.lit(0)).cast("bigint"))
-    cold = cold.withColumn("c_salt", F.lit(0).cast("bigint"))
-    on_cold = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(cold[f"ck_{k}"]) for k in keys])
-    out = rows.join(cold, on_cold & (rows["h_salt"] == cold["c_salt"]), "left")
-    return out.select(*df.columns, F.coalesce("h_vals", "c_vals").alias("a_vals")).select(
-        *df.columns, "a_vals.*")
-
-
-def prefix_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column],
-                  hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
+    one = stats.select(*[F.col(k).alias(f"ck_{k}") for k in keys], F.struct(*values).alias("c_vals"))
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(one[f"ck_{k}"]) for k in keys])
+    return df.join(one, on, "left").select(*df.columns, "c_vals.*")
+
+
+def _slice(value: Column) -> Column:
+    """A whole number that never falls as the value rises: about a million slices for each thousandth of its logarithm."""
+    x = value.cast("double")
+    code = F.signum(x) * F.log1p(F.abs(x) * 1e6) * float(1024 << FINE_BITS)
+    most = float(1 << 50)
+    return F.when(F.isnan(x), F.lit(most)).otherwise(F.least(F.greatest(F.floor(F.when(F.abs(x) < 1e300, code).otherwise(F.signum(x) * most)), F.lit(-most)), F.lit(most))).cast("bigint")
+
+
+def prefix_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """One row per (keys, value) with totals, running totals and group totals.
 
-    For each measure ``s``: ``s`` (at this value), ``cum_s`` (values up to and
-    including it) and ``all_s`` (whole group). Rows are first added up per distinct
-    value. Hot groups are then cut at approximate quantiles: the cuts only decide
-    how evenly the work is spread, the totals are exact. Sizing the groups is one
-    count over the keys of ``df``.
+    For each measure ``s``: ``s`` (at this value), ``cum_s`` (values up to and including it) and
+    ``all_s`` (whole group). Rows are first added up per distinct value. The values of a group
+    are cut twice by their size, into coarse and fine slices; each window runs inside a
+    fine slice, over the fine slices of a coarse one, or over coarse slices, so none of them
+    grows with the group beyond the number of doubles of nearly one size.
     """
-    keyed = [F.col(k).alias(f"w_key{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("w_key0")]
-    work = [f"w_key{i}" for i in range(len(keyed))]
+    work = [f"w_key{i}" for i in range(len(keys))] or ["w_key0"]
+    keyed = [F.col(k).alias(w) for k, w in zip(keys, work)] or [F.lit(0).alias("w_key0")]
     names = list(sums)
-    rows = df.filter(F.col(value).isNotNull())
-    hot = hot_groups(rows.groupBy(*keyed).agg(F.count("*").alias("n")), hot_rows)
-    per_value = rows.groupBy(*keyed, F.col(value).alias("w_value")).agg(*[e.alias(f"w_{s}") for s, e in sums.items()])
-    if hot:
-        cuts = _cut_points(per_value, hot, work, slices)
-        sliced = _with_slices(per_value, cuts, work)
-        offsets = _slice_offsets(sliced, work, names)
-    else:
-        sliced, offsets = per_value.withColumn("w_slice", F.lit(0)), None
-    part = Window.partitionBy(*work, "w_slice")
-    upto = part.orderBy("w_value").rowsBetween(Window.unboundedPreceding, 0)
-    run = sliced.withColumns({**{f"in_{s}": F.sum(f"w_{s}").over(upto) for s in names},
-                              **{f"sl_{s}": F.sum(f"w_{s}").over(part) for s in names}})
-    if offsets is not None:
-        run = run.join(F.broadcast(offsets), _match(run, offsets, work) & (run["w_slice"] == offsets["t_slice"]), "left")
+    added = lambda cols: [F.sum(f"w_{s}").alias(f"w_{s}") for s in cols]
+    per_value = df.filter(F.col(value).isNotNull()).groupBy(*keyed, F.col(value).alias("w_value")).agg(*[e.alias(f"w_{s}") for s, e in sums.items()])
+    sliced = per_value.withColumn("w_fine", _slice(F.col("w_value"))).withColumn("w_coarse", F.shiftright("w_fine", FINE_BITS))
+    fine = sliced.groupBy(*work, "w_coarse", "w_fine").agg(*added(names))
+    coarse = fine.groupBy(*work, "w_coarse").agg(*added(names))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    coarse = coarse.select(*[F.col(w).alias(f"c_{w}") for w in (*work, "w_coarse")],
+                           *[F.coalesce(F.sum(f"w_{s}").over(before(*work, "w_coarse")), none).alias(f"off_{s}") for s in names],
+                           *[F.sum(f"w_{s}").over(Window.partitionBy(*work)).alias(f"tot_{s}") for s in names])
+    fine = fine.select(*work, "w_coarse", "w_fine", *[F.coalesce(F.sum(f"w_{s}").over(before(*work, "w_coarse", "w_fine")), none).alias(f"in_{s}") for s in names])
+    ends = fine.join(coarse, _match(fine, coarse, [*work, "w_coarse"], "c_")).select(
+        *[F.col(w).alias(f"t_{w}") for w in (*work, "w_fine")], *[(F.col(f"off_{s}") + F.col(f"in_{s}")).alias(f"off_{s}") for s in names], *[f"tot_{s}" for s in names])
+    upto = Window.partitionBy(*work, "w_fine").orderBy("w_value").rowsBetween(Window.unboundedPreceding, 0)
+    run = sliced.withColumns({f"run_{s}": F.sum(f"w_{s}").over(upto) for s in names})
+    run = run.join(ends, _match(run, ends, [*work, "w_fine"], "t_"))
     cols = [F.col(w).alias(k) for k, w in zip(keys, work)] + [F.col("w_value").alias(value)]
     for s in names:
-        if offsets is None:
-            before, whole = F.col(f"in_{s}"), F.col(f"sl_{s}")
-        else:
-            before = F.col(f"in_{s}") + F.coalesce(f"off_{s}", F.lit(0))
-            whole = F.coalesce(f"tot_{s}", f"sl_{s}")
-        cols += [F.col(f"w_{s}").alias(s), before.alias(f"cum_{s}"), whole.alias(f"all_{s}")]
+        cols += [F.col(f"w_{s}").alias(s), (F.col(f"run_{s}") + F.col(f"off_{s}")).alias(f"cum_{s}"), F.col(f"tot_{s}").alias(f"all_{s}")]
     return run.select(*cols)
 
 
-def fits_in_buffers(sizes: DataFrame, hot_rows: int = HOT_ROWS) -> bool:
-    """Whether every group of ``sizes(keys.., n)`` is small enough for one aggregate buffer."""
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= hot_rows
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    hot_rows: int = HOT_ROWS, slices: int = SLICES, sizes: DataFrame | None = None) -> DataFrame:
-    """Interpolated quantiles at position (n - 1) p per group, plus the count ``n``.
-
-    Where no group has more than ``hot_rows`` rows, Spark's own exact ``percentile``
-    holds each group in one aggregate buffer. Beyond that the order statistics are
-    read from running totals, which no single task has to hold. ``sizes(keys.., n)``
-    saves the counting pass when the caller knows the group sizes.
-    """
-    counted = sizes if sizes is not None else df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    if fits_in_buffers(counted, hot_rows):
-        q = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
-        got = df.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q")).filter(F.col("n") > 0)
-        return got.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
-    runs = prefix_totals(df, keys, value, {"n": F.count("*")}, hot_rows, slices)
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles at position (n - 1) p per group, plus the count ``n`` of values."""
+    runs = prefix_totals(df, keys, value, {"n": F.count("*")})
     v, n, cum, first = F.col(value).cast("double"), F.col("all_n"), F.col("cum_n"), F.col("cum_n") - F.col("n")
     picks = [F.max("all_n").alias("n")]
     for name, p in probs.items():
@@ -134,19 +95,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return got.select(*keys, "n", *[e.alias(k) for k, e in out.items()])
 
 
-def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, probs: dict[str, float],
-                       hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, probs: dict[str, float]) -> DataFrame:
     """First value whose cumulative weight reaches p of the total, else the last value."""
-    runs = prefix_totals(df, keys, value, {"w": F.sum(weight)}, hot_rows, slices)
+    runs = prefix_totals(df, keys, value, {"w": F.sum(weight)})
     picks = [F.coalesce(F.min(F.when(F.col("cum_w") >= F.lit(p) * F.col("all_w"), F.col(value))),
                         F.max(value)).alias(name) for name, p in probs.items()]
     return runs.groupBy(*keys).agg(*picks)
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column,
-                    hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
+def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
     """The value of the given 1-based rank (an expression of ``all_n``), with ``n``."""
-    runs = prefix_totals(df, keys, value, {"n": F.count("*")}, hot_rows, slices)
+    runs = prefix_totals(df, keys, value, {"n": F.count("*")})
     hit = (F.col("cum_n") - F.col("n") < rank) & (rank <= F.col("cum_n"))
     return runs.groupBy(*keys).agg(F.max("all_n").alias("n"), F.max(F.when(hit, F.col(value))).alias(value))
 
@@ -161,53 +120,5 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank
         F.col(rank) <= k)
 
 
-def _match(left: DataFrame, right: DataFrame, work: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[w].eqNullSafe(right[f"t_{w}"]) for w in work])
-
-
-def _cut_points(per_value: DataFrame, hot: list[Row], work: list[str], slices: int) -> DataFrame:
-    """Cuts per hot group, in number proportional to its size: below ``HOT_SHARE + slices`` in all."""
-    spark = per_value.sparkSession
-    fields = {f.name: f.dataType.simpleString() for f in per_value.schema.fields}
-    shape = ", ".join(f"t_{w} {fields[w]}" for w in work)
-    total = sum(r["n"] for r in hot)
-    keys = spark.createDataFrame([tuple(r[w] for w in work) + (max(2, -(-r["n"] * slices // total)),) for r in hot],
-                                 f"{shape}, g_k bigint")
-    # one text literal that folds to a constant array, rather than thousands of literals
-    grid = F.split(F.lit(",".join(str(i / slices) for i in range(1, slices))), ",").cast("array<double>")
-    sketch = (per_value.join(F.broadcast(keys), _match(per_value, keys, work))
-              .groupBy(*[f"t_{w}" for w in work]).agg(
-                  F.percentile_approx("w_value", grid, 4 * slices).alias("w_all"), F.max("g_k").alias("g_k")))
-    at = f"i -> element_at(w_all, greatest(1, int(i * {slices} / g_k)))"
-    sketch = sketch.withColumn("w_cuts", F.expr(f"array_distinct(transform(sequence(1, int(g_k) - 1), {at}))"))
-    rows = sketch.select(*[f"t_{w}" for w in work], "w_cuts")
-    # bounded by construction, so it comes to the driver and goes out as a broadcast
-    local = spark.createDataFrame(rows.collect(), rows.schema)
-    coarse = f"transform(sequence({COARSE}, greatest({COARSE}, size(w_cuts)), {COARSE}), i -> try_element_at(w_cuts, i))"
-    return local.withColumn("w_coarse", F.expr(f"array_compact({coarse})"))
-
-
-def _with_slices(per_value: DataFrame, cuts: DataFrame, work: list[str]) -> DataFrame:
-    """Number of cuts below the value: over every COARSE-th cut first, then within that stretch."""
-    joined = per_value.join(F.broadcast(cuts), _match(per_value, cuts, work), "left").drop(*[f"t_{w}" for w in work])
-    joined = joined.withColumn("w_step", F.expr("size(filter(w_coarse, c -> c < w_value))"))
-    fine = (f"w_step * {COARSE} + size(filter(slice(w_cuts, w_step * {COARSE} + 1, {COARSE}), c -> c < w_value))")
-    return joined.withColumns({"w_hot": F.col("w_cuts").isNotNull(),
-                               "w_slice": F.when(F.col("w_cuts").isNull(), F.lit(0)).otherwise(F.expr(fine))}).drop(
-        "w_cuts", "w_coarse", "w_step")
-
-
-def _slice_offsets(sliced: DataFrame, work: list[str], names: list[str]) -> DataFrame:
-    """Totals before each slice of a hot group; as many rows as there are slices."""
-    ends = sliced.filter("w_hot").groupBy(*work, "w_slice").agg(*[F.sum(f"w_{s}").alias(f"w_{s}") for s in names])
-    before = Window.partitionBy(*work).orderBy("w_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*work)
-    return ends.select(*[F.col(w).alias(f"t_{w}") for w in work], F.col("w_slice").alias("t_slice"),
-                       *[F.coalesce(F.sum(f"w_{s}").over(before), F.lit(0)).alias(f"off_{s}") for s in names],
-                       *[F.sum(f"w_{s}").over(whole).alias(f"tot_{s}") for s in names])
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns a hash can take (no maps or variants)."""
-    return [f.name for f in df.schema.fields
-            if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+def _match(left: DataFrame, right: DataFrame, columns: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"{prefix}{c}"]) for c in columns])

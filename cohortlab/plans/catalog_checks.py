@@ -271,12 +271,10 @@ def manifest_union(spark, sf):
     return got.groupBy("source", F.concat_ws(",", "missing_fields").alias("missing_fields")).agg(F.count("*").alias("n"))
 
 
-@query("days_ordered", """SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (nxt < o_orderdate) AS n_falls FROM (
-  SELECT o_custkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey, o_orderkey // 2 ORDER BY o_orderkey) AS nxt FROM orders) GROUP BY o_custkey""")
+@query("days_ordered", """SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (o_orderdate < before) AS n_falls FROM (
+  SELECT o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) GROUP BY o_custkey""")
 def days_ordered(spark, sf):
-    df = table(spark, sf, "orders").select("o_custkey", F.expr("o_orderkey div 2").alias("block"), (F.col("o_orderkey") % 2).alias("pos"), "o_orderdate")
-    got = curate.days_ordered(df, ["o_custkey", "block"], "pos", "o_orderdate")
-    return got.groupBy("o_custkey").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_falls").alias("n_falls"))
+    return curate.days_ordered(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate")
 
 
 # ---- cohort files: the same JSON a file would hold, built from the tables -----------------

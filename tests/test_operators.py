@@ -74,14 +74,13 @@ def test_correlation_of_constants_is_zero(spark):
     assert got["b"]["dominant"] and got["a"]["prior_dominated"]
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 5])
-def test_exposure_against_brute_force(spark, hot_rows):
+def test_exposure_against_brute_force(spark):
     rnd = random.Random(4)
     doses = [(s, d, round(rnd.uniform(0, 40), 3), rnd.uniform(0, 2)) for s in (1, 2) for d in ("a", "b") for _ in range(15)] + [(3, "a", 7.0, 1.0), (3, "a", 0.0, 1.0)]
     df = spark.createDataFrame(doses, "schedule_id int, drug string, day double, relative_dose double")
     sched = spark.createDataFrame([(1, 40.0), (2, 33.0), (3, 14.0)], "schedule_id int, total_days double")
     decay = {"a": 0.25, "b": 0.06}
-    got = exposure.exposure(df, sched, F.when(F.col("drug") == "a", 0.25).otherwise(0.06), hot_rows=hot_rows).collect()
+    got = exposure.exposure(df, sched, F.when(F.col("drug") == "a", 0.25).otherwise(0.06)).collect()
     totals = {1: 40.0, 2: 33.0, 3: 14.0}
     assert len(got) == 2 * 7 + 2 * 6 + 3
     for r in got:
@@ -101,11 +100,10 @@ def test_output_grid_appends_the_last_day(spark):
     assert got == {1: [0.0, 7.0, 14.0, 16.0], 2: [0.0, 7.0, 14.0], 3: [0.0]}
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 0])
-def test_weights_sum_to_one_and_shift_means(spark, hot_rows):
+def test_weights_sum_to_one_and_shift_means(spark):
     data = [("c", p, d, (10 + p) * (1 - d / 200), 14 * (1 - d / 200)) for p in range(12) for d in (0, 42, 84)]
     df = spark.createDataFrame([(c, p, float(d), a, b) for c, p, d, a, b in data], "case_id string, particle_id int, day double, predicted double, observed double")
-    w = posterior.weights(posterior.log_likelihood(df, ["case_id"], ["particle_id"], F.lit(0.08)), ["case_id"], hot_rows).cache()
+    w = posterior.weights(posterior.log_likelihood(df, ["case_id"], ["particle_id"], F.lit(0.08)), ["case_id"]).cache()
     assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
     assert w.orderBy(F.desc("weight")).first()["particle_id"] == 4
     e = posterior.effective_size(w, ["case_id"]).first()
@@ -115,11 +113,10 @@ def test_weights_sum_to_one_and_shift_means(spark, hot_rows):
     assert fit["posterior_rmse"] < fit["prior_rmse"] and 0 < fit["improvement_fraction"] <= 1
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 3])
-def test_predictions_meet_their_observations(spark, hot_rows):
+def test_predictions_meet_their_observations(spark):
     pred = spark.createDataFrame([(c, p, d, float(p)) for c in (1, 2) for p in range(6) for d in (0, 7)], "case_id int, particle_id int, day int, predicted double")
     obs = spark.createDataFrame([(1, 0, 5.0), (2, 7, 6.0), (3, 0, 1.0)], "case_id int, day int, observed double")
-    got = posterior.with_observed(pred, obs, ["case_id", "day"], hot_rows)
+    got = posterior.with_observed(pred, obs, ["case_id", "day"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pred.join(obs, ["case_id", "day"]).select(got.columns).collect()))
     assert got.count() == 12
 
@@ -234,3 +231,15 @@ def test_symptom_slices_agree_with_a_plain_scan(spark):
                 last = b[1]
             assert since[b[2]] == last
         assert runs[p] == best and gaps[p] == longest
+
+
+def test_days_in_order_over_gaps_and_stretches(spark):
+    rows = [("a", 0, 5.0), ("a", 2, 3.0), ("a", 5, 1.0), ("b", 4095, 2.0), ("b", 4096, 1.0), ("b", 90000, 1.0), ("c", 1, None), ("c", 2, 1.0)]
+    got = curate.days_ordered(spark.createDataFrame(rows, "case_id string, position int, day double"), ["case_id"], "position", "day")
+    assert {r["case_id"]: (r["n_rows"], r["n_falls"]) for r in got.collect()} == {"a": (3, 2), "b": (3, 1), "c": (2, 0)}
+
+
+def test_sweep_medians_count_runs_without_a_metric(spark):
+    runs = spark.createDataFrame([("x", 1.0), ("x", None), ("x", 3.0), ("y", None)], "g string, ess double")
+    got = {r["value"]: (r["n_runs"], r["median_ess"]) for r in metrics.sweep_medians(runs, {"by": "g"}, ("ess",)).collect()}
+    assert got == {"x": (3, 2.0), "y": (1, None)}

@@ -1,4 +1,4 @@
-"""Hot-group paths against plain Spark aggregates and brute force."""
+"""Operations on groups of any size against plain Spark aggregates and brute force."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,29 +14,39 @@ def skewed(spark):
         (F.pmod(F.xxhash64("id"), F.lit(20_000)) / 7).alias("v"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9)) + 1).cast("double").alias("w")).cache()
 
 
-@pytest.mark.parametrize("hot_rows,slices", [(10**6, 4096), (50, 16), (50, 512)])
-def test_exact_quantiles_with_and_without_hot_groups(skewed, hot_rows, slices):
-    got = scale.exact_quantiles(skewed, ["k"], "v", {"a": 0.025, "m": 0.5, "b": 0.9}, hot_rows, slices)
+def test_exact_quantiles_equal_percentiles(skewed):
+    got = scale.exact_quantiles(skewed, ["k"], "v", {"a": 0.025, "m": 0.5, "b": 0.9})
     want = skewed.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.9))).alias("q"), F.count("*").alias("n2"))
     bad = got.join(want, "k").filter((F.abs(F.col("a") - F.col("q")[0]) > 1e-7) | (F.abs(F.col("m") - F.col("q")[1]) > 1e-7)
                                      | (F.abs(F.col("b") - F.col("q")[2]) > 1e-7) | (F.col("n") != F.col("n2")))
     assert got.count() == want.count() and bad.count() == 0
 
 
-def test_hot_groups_are_really_cut(skewed):
-    hot = scale.hot_groups(skewed.groupBy(F.col("k").alias("w_key0")).agg(F.count("*").alias("n")), 1000)
-    assert [r["w_key0"] for r in hot] == [0]
-    per = skewed.groupBy(F.col("k").alias("w_key0"), F.col("v").alias("w_value")).agg(F.count("*").alias("w_n"))
-    sliced = scale._with_slices(per, scale._cut_points(per, hot, ["w_key0"], 256), ["w_key0"])
-    sizes = sliced.filter("w_hot").groupBy("w_slice").count().agg(F.count("*"), F.max("count")).first()
-    total = sliced.filter("w_hot").count()
-    assert sizes[0] > 200 and sizes[1] < total / 50
+def test_groups_are_cut_by_value_in_order(spark):
+    df = spark.range(-2000, 2000).select((F.pow(F.col("id") / 100.0, F.lit(3.0)) * F.when(F.col("id") % 2 == 0, 1e-3).otherwise(1e3)).alias("v"))
+    df = df.union(spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,)], "v double"))
+    rows = sorted((r["v"], r["s"]) for r in df.select("v", scale._slice(F.col("v")).alias("s")).filter("NOT isnan(v)").collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:])) and len({s for _, s in rows}) > 3900
+    runs = scale.prefix_totals(df, [], "v", {"n": F.count("*")}).collect()
+    assert max(r["cum_n"] for r in runs) == 4004 == runs[0]["all_n"] and max(runs, key=lambda r: r["cum_n"])["v"] != 0.0
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 50])
-def test_weighted_quantiles_follow_the_definition(skewed, hot_rows):
+def test_many_equal_groups_and_a_third_in_one(spark):
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 2000).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id") * 0.5).alias("v"))
+    got = scale.exact_quantiles(df, ["k"], "v", {"m": 0.5})
+    want = df.groupBy("k").agg(F.percentile("v", 0.5).alias("w"), F.count("v").alias("c"))
+    assert got.join(want, "k").filter((F.abs(F.col("m") - F.col("w")) < 1e-9) & (F.col("n") == F.col("c"))).count() == want.count()
+
+
+def test_nothing_runs_while_a_query_is_built(spark, skewed):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    scale.exact_quantiles(scale.attach(skewed, skewed.groupBy("k").agg(F.max("v").alias("top")), ["k"]), ["k"], "v", {"m": 0.5})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_weighted_quantiles_follow_the_definition(skewed):
     small = skewed.filter("k in (0, 7)").cache()
-    got = {r["k"]: (r["p"], r["q"]) for r in scale.weighted_quantiles(small, ["k"], "v", "w", {"p": 0.1, "q": 0.9}, hot_rows, 64).collect()}
+    got = {r["k"]: (r["p"], r["q"]) for r in scale.weighted_quantiles(small, ["k"], "v", "w", {"p": 0.1, "q": 0.9}).collect()}
     for k in (0, 7):
         rows = sorted((r["v"], r["w"]) for r in small.filter(F.col("k") == k).collect())
         total, want = sum(w for _, w in rows), []
@@ -50,10 +60,9 @@ def test_weighted_quantiles_follow_the_definition(skewed, hot_rows):
         assert got[k] == pytest.approx(tuple(want))
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 50])
-def test_attach_keeps_every_row_and_value(skewed, hot_rows):
+def test_attach_keeps_every_row_and_value(skewed):
     stats = skewed.groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("n"))
-    got = scale.attach(skewed, stats, ["k"], hot_rows)
+    got = scale.attach(skewed, stats, ["k"])
     want = skewed.join(stats.drop("n"), "k")
     assert got.columns == ["k", "v", "w", "top"]
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == skewed.count()
@@ -66,7 +75,7 @@ def test_attach_matches_null_keys(spark):
 
 
 def test_order_statistic_and_first_rows(skewed):
-    got = scale.order_statistic(skewed, ["k"], "v", F.ceil(F.col("all_n") / 2), 50, 64).filter("k = 0").first()
+    got = scale.order_statistic(skewed, ["k"], "v", F.ceil(F.col("all_n") / 2)).filter("k = 0").first()
     values = sorted(r["v"] for r in skewed.filter("k = 0").collect())
     assert got["v"] == values[-(-len(values) // 2) - 1]
     top = scale.first_rows(skewed, ["k"], [F.col("v"), F.col("w")], 2)
@@ -78,6 +87,6 @@ def test_order_statistic_and_first_rows(skewed):
 def test_results_do_not_depend_on_partitions(spark, skewed):
     out = []
     for n in (1, 4, 17):
-        got = scale.exact_quantiles(skewed.repartition(n), ["k"], "v", {"m": 0.5}, 50, 64)
+        got = scale.exact_quantiles(skewed.repartition(n), ["k"], "v", {"m": 0.5})
         out.append(sorted((r["k"], r["n"], r["m"]) for r in got.collect()))
     assert out[0] == out[1] == out[2]
