@@ -24,17 +24,17 @@ def exposure(doses: DataFrame, schedules: DataFrame, decay: Column, schedule: st
     Doses are first added up within the grid cell they fall into, decayed to the end
     of that cell. Decay is exponential, so the cells then combine exactly: a schedule
     with a billion doses joins its grid with at most one row per cell and drug.
-    ``decay`` is an expression of ``drug``. Drugs are those of the schedule.
+    ``decay`` is an expression of ``drug``. Every drug of the schedule has its rows, zeros if need be.
     """
     ends = schedules.select(schedule, F.col(total).cast("double").alias("s_total"))
-    sizes = doses.groupBy(schedule).agg(F.count("*").alias("n"))
-    rows = attach(doses, ends.join(sizes, schedule), [schedule])
+    rows = attach(doses, ends, [schedule])
     # grid day at or after the dose; beyond the last full step it is the total itself
     cell = F.least(F.ceil(F.col("day") / step) * step, F.col("s_total")).cast("double")
-    cells = (rows.filter(F.col("day") <= F.col("s_total"))
+    # a dose after the horizon adds nothing, but its drug is one of the schedule
+    cells = (rows.filter(F.col("s_total").isNotNull())
              .select(schedule, "drug", "s_total", "day", "relative_dose", cell.alias("cell_day"), decay.alias("decay"))
              .groupBy(schedule, "drug", "s_total", "decay", "cell_day")
-             .agg(F.sum(F.expr("relative_dose * exp(-decay * (cell_day - day))")).alias("amount")))
+             .agg(F.sum(F.expr("CASE WHEN day <= s_total THEN relative_dose * exp(-decay * (cell_day - day)) ELSE 0D END")).alias("amount")))
     # one grid per (schedule, drug) that occurs; the array holds at most one cell per grid day
     packed = cells.groupBy(schedule, "drug", "s_total", "decay").agg(
         F.collect_list(F.struct("cell_day", "amount")).alias("cells"))

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlab.functions.numeric import CENTRAL_Z
 from cohortlab.operators.scale import attach, order_statistic, prefix_totals
 
-EDGE_SALTS = 16
-
 
 def probabilistic_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gaussian negative log likelihood, 50/80/95 coverage and sharpness.
@@ -148,13 +146,10 @@ def edge_rollup(genes: DataFrame, gene_pathway: DataFrame, pathway_phenotype: Da
 
     Genes without an edge are listed as missing drivers. Gene rows are first added up
     per (case, gene), so repeats do not multiply along the chain. A gene or pathway may
-    occur in most cases: rows are salted by case and the edge tables repeated per salt.
+    occur in most cases: small edge tables are broadcast and large joins split at run time.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1)))
-    g = genes.groupBy("case_id", "gene").agg(F.sum("effect").alias("effect")).withColumn(
-        "salt", F.pmod(F.xxhash64("case_id"), F.lit(EDGE_SALTS)).cast("int"))
-    chain = (g.join(gene_pathway.withColumn("salt", salts), ["gene", "salt"], "left")
-             .join(pathway_phenotype.withColumn("salt", salts), ["pathway", "salt"], "left"))
+    g = genes.groupBy("case_id", "gene").agg(F.sum("effect").alias("effect"))
+    chain = g.join(gene_pathway, "gene", "left").join(pathway_phenotype, "pathway", "left")
     shift = F.col("effect") * F.col("gene_weight") * F.col("pathway_weight")
     return chain.groupBy("case_id", F.coalesce("phenotype", F.lit("missing_driver")).alias("phenotype")).agg(
         F.coalesce(F.sum(shift), F.lit(0.0)).alias("shift"), F.count_distinct("gene").alias("n_genes"))

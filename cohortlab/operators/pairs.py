@@ -6,15 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.operators.scale import first_rows
 
-SCAN = 250
-KEEP = 20
+def near_equal(df: DataFrame, case: str, particle: str, path: str, params: str,
+               tolerance: float = 0.08, gap: float = 0.25) -> DataFrame:
+    """Per particle that has any: how many near-equal partners it has, and the closest one (ties: the smaller id).
 
-
-def near_equal_pairs(df: DataFrame, case: str, particle: str, path: str, params: str,
-                     tolerance: float = 0.08, gap: float = 0.25, scan: int = SCAN, keep: int = KEEP) -> DataFrame:
-    """First ``keep`` pairs (in particle order) among the first ``scan`` particles of a case.
+    All particles of a case are compared; one row per particle is returned, not one per pair.
 
     ``path`` and ``params`` are DOUBLE arrays of equal length within a case. A pair
     counts when the normalised RMSE of the paths is at most ``tolerance`` and the mean
@@ -22,29 +19,31 @@ def near_equal_pairs(df: DataFrame, case: str, particle: str, path: str, params:
 
     An RMSE is never below the difference of the path means. The means are therefore
     put on a scale where partners are at most one band apart, and only particles of
-    neighbouring bands meet: no pair that qualifies is lost.
+    neighbouring bands meet: no pair that qualifies is lost. A crowded band is split at run time
+    by the session's skew joins.
     """
     width = math.log((1 + tolerance / 2) / (1 - tolerance / 2))
     size = df.select(case, F.posexplode(params)).groupBy(case, "pos").agg((F.max("col") - F.min("col")).alias("r"))
     ranges = size.groupBy(case).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda e: F.greatest(e["r"], F.lit(1e-9))).alias("ranges"))
-    head = first_rows(df.select(case, particle, path, params), [case], [F.col(particle)], scan, "idx")
+    head = df.select(case, particle, path, params)
     mean = F.aggregate(path, F.lit(0.0), lambda a, x: a + x) / F.size(path)
     head = head.withColumn("mean", mean)
     head = head.withColumn("band", F.floor(F.when(F.col("mean") > 1, 1 + F.ln("mean")).otherwise(F.col("mean")) / width))
     a = head.select(case, F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
-                    *[F.col(c).alias(f"a_{c}") for c in ("idx", particle, path, params, "mean")])
-    b = head.select(case, "band", *[F.col(c).alias(f"b_{c}") for c in ("idx", particle, path, params, "mean")])
-    met = a.join(b, [case, "band"]).filter(F.col("a_idx") < F.col("b_idx"))
+                    *[F.col(c).alias(f"a_{c}") for c in (particle, path, params, "mean")])
+    b = head.select(case, "band", *[F.col(c).alias(f"b_{c}") for c in (particle, path, params, "mean")])
+    met = a.join(b, [case, "band"]).filter(F.col(f"a_{particle}") < F.col(f"b_{particle}"))
     square = F.aggregate(F.zip_with(f"a_{path}", f"b_{path}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), _add)
     scale = F.greatest((F.col("a_mean") + F.col("b_mean")) / 2.0, F.lit(1.0))
     met = met.withColumn("rmse", F.sqrt(square / F.size(f"a_{path}")) / scale).filter(F.col("rmse") <= tolerance)
     met = met.join(ranges, case)
     diffs = F.zip_with(F.zip_with(f"a_{params}", f"b_{params}", lambda x, y: F.abs(x - y)), "ranges", lambda d, r: d / r)
     met = met.withColumn("gap", F.aggregate(diffs, F.lit(0.0), _add) / F.size(f"a_{params}")).filter(F.col("gap") >= gap)
-    return first_rows(met, [case], [F.col("a_idx"), F.col("b_idx")], keep, "pair").select(
-        case, "pair", F.col(f"a_{particle}").alias("particle_a"), F.col(f"b_{particle}").alias("particle_b"),
-        F.col("rmse").alias("trajectory_normalized_rmse"), F.col("gap").alias("parameter_gap_fraction"))
+    side = lambda own, other: F.struct(F.col(f"{own}_{particle}").alias(particle), F.col("rmse"), F.col(f"{other}_{particle}").alias("partner"))
+    both = met.select(case, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select(case, "s.*")
+    return both.groupBy(case, particle).agg(F.count("*").alias("n_partners"), F.min(F.struct("rmse", "partner")).alias("c")).select(
+        case, particle, "n_partners", F.col("c.partner").alias("closest"), F.col("c.rmse").alias("trajectory_normalized_rmse"))
 
 
 def _add(acc: Column, x: Column) -> Column:

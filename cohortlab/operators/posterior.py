@@ -7,17 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlab.operators.scale import attach, exact_quantiles, weighted_quantiles
 from cohortlab.session import materialize
 
-DEFAULT_NOISE = 0.12
-
 
 def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions that have an observation on the same case and day.
 
-    ``observed(keys.., observed)`` has one row per key. A case with very many particles
-    meets its few observations in a bounded broadcast.
+    ``observed(keys.., observed)`` has one row per key.
     """
-    sizes = predictions.groupBy(*keys).agg(F.count("*").alias("n"))
-    return attach(predictions, observed.join(sizes, keys), keys).filter(F.col("observed").isNotNull())
+    return attach(predictions, observed, keys).filter(F.col("observed").isNotNull())
 
 
 def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str], noise: Column) -> DataFrame:

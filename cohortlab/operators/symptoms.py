@@ -28,7 +28,7 @@ def asof_previous(df: DataFrame, key: list[str], ts: str, tie: str, event: Colum
     before = Window.partitionBy(*key).orderBy("a_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*key, "a_slice", F.last("a_last", ignorenulls=True).over(before).alias("a_carry"))
     inside = Window.partitionBy(*key, "a_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.join(carry, [*key, "a_slice"])
+    met = attach(rows, carry, [*key, "a_slice"])
     return met.withColumn(name, F.coalesce(F.last("a_value", ignorenulls=True).over(inside), F.col("a_carry"))).drop(
         "a_slice", "a_value", "a_carry")
 
@@ -79,7 +79,7 @@ def symptom_flags(df: DataFrame, person: str, symptom: str, ts: str, tie: str, s
         F.max(severity).alias("peak_severity"))
     runs = longest_run(df, key, ts, tie, F.col(severity) >= high, unit)
     gaps = longest_gap(df, key, ts, unit)
-    out = sums.join(runs, key).join(gaps, key)
+    out = attach(attach(sums, runs, key), gaps, key)
     return out.withColumns({"worsened": F.col("peak_severity") - F.col("baseline_severity") >= rise,
                             "stayed_high": F.col("longest_run") >= n_high,
                             "log_gap": F.coalesce(F.col("longest_gap") > gap_seconds, F.lit(False))})
@@ -89,7 +89,7 @@ def new_symptoms(df: DataFrame, person: str, symptom: str, ts: str, days: int) -
     """Symptoms first logged at least ``days`` after the person's first entry."""
     seen = df.groupBy(person, symptom).agg(F.min(ts).alias("first_seen"), F.count("*").alias("n_entries"))
     start = seen.groupBy(person).agg(F.min("first_seen").alias("start"))
-    return seen.join(start, person).withColumn(
+    return attach(seen, start, [person]).withColumn(
         "is_new", F.datediff("first_seen", "start") >= days)
 
 

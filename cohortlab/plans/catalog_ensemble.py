@@ -80,7 +80,7 @@ TOTAL = 30.0
 DECAY = "CASE drug WHEN 'click' THEN 0.25 WHEN 'view' THEN 0.2 WHEN 'purchase' THEN 0.06 ELSE 0.16 END"
 GRID = "SELECT unnest([0.0, 7.0, 14.0, 21.0, 28.0, 30.0])::DOUBLE AS grid_day"
 LEVELS = f"""SELECT schedule_id, drug, grid_day, coalesce(sum(relative_dose * exp(-({DECAY})::DOUBLE * (grid_day - day))) FILTER (day <= grid_day), 0) AS exposure
-  FROM ({S.DOSES}) d, ({GRID}) g WHERE day <= {TOTAL} GROUP BY schedule_id, drug, grid_day"""
+  FROM ({S.DOSES}) d, ({GRID}) g GROUP BY schedule_id, drug, grid_day"""
 
 
 def levels(spark, sf):
@@ -266,16 +266,15 @@ def update_value(spark, sf):
 PAIR_TOLERANCE = 0.15
 
 
-@query("near_equal_pairs", f"""WITH e AS (SELECT * FROM (SELECT label AS case_id, vec_id AS pid, embedding::DOUBLE[] AS path, vec_id * 37 % 101 / 128.0::DOUBLE AS p1, vec_id * 91 % 97 / 128.0::DOUBLE AS p2,
-    list_sum(embedding::DOUBLE[]) / 64 AS m, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx, max(vec_id * 37 % 101 / 128.0::DOUBLE) OVER w - min(vec_id * 37 % 101 / 128.0::DOUBLE) OVER w AS r1,
-    max(vec_id * 91 % 97 / 128.0::DOUBLE) OVER w - min(vec_id * 91 % 97 / 128.0::DOUBLE) OVER w AS r2 FROM embeddings WINDOW w AS (PARTITION BY label)) WHERE idx <= 250)
-  SELECT case_id, pair::INT AS pair, particle_a, particle_b, {R('rmse')} AS trajectory_normalized_rmse, {R('gap')} AS parameter_gap_fraction FROM (
-    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ai, bi) AS pair FROM (
-      SELECT a.case_id, a.idx AS ai, b.idx AS bi, a.pid AS particle_a, b.pid AS particle_b, list_distance(a.path, b.path) / 8 / greatest((a.m + b.m) / 2, 1) AS rmse,
-        (abs(a.p1 - b.p1) / greatest(a.r1, 1e-9) + abs(a.p2 - b.p2) / greatest(a.r2, 1e-9)) / 2 AS gap FROM e a JOIN e b ON a.case_id = b.case_id AND a.idx < b.idx)
-    WHERE rmse <= {PAIR_TOLERANCE} AND gap >= 0.25) WHERE pair <= 20""")
+@query("near_equal_pairs", f"""WITH e AS (SELECT label AS case_id, vec_id AS pid, embedding::DOUBLE[] AS path, vec_id * 37 % 101 / 128.0::DOUBLE AS p1, vec_id * 91 % 97 / 128.0::DOUBLE AS p2,
+    list_sum(embedding::DOUBLE[]) / 64 AS m, max(vec_id * 37 % 101 / 128.0::DOUBLE) OVER w - min(vec_id * 37 % 101 / 128.0::DOUBLE) OVER w AS r1,
+    max(vec_id * 91 % 97 / 128.0::DOUBLE) OVER w - min(vec_id * 91 % 97 / 128.0::DOUBLE) OVER w AS r2 FROM embeddings WINDOW w AS (PARTITION BY label)),
+  met AS (SELECT a.case_id, a.pid AS vec_id, b.pid AS partner, list_distance(a.path, b.path) / 8 / greatest((a.m + b.m) / 2, 1) AS rmse,
+    (abs(a.p1 - b.p1) / greatest(a.r1, 1e-9) + abs(a.p2 - b.p2) / greatest(a.r2, 1e-9)) / 2 AS gap FROM e a JOIN e b ON a.case_id = b.case_id AND a.pid <> b.pid)
+  SELECT case_id, vec_id, count(*) AS n_partners, arg_min(partner, rmse) AS closest, {R('min(rmse)')} AS trajectory_normalized_rmse
+  FROM met WHERE rmse <= 0.15 AND gap >= 0.25 GROUP BY case_id, vec_id""")
 def near_equal_pairs(spark, sf):
     df = table(spark, sf, "embeddings").select(
         F.col("label").alias("case_id"), "vec_id", F.col("embedding").cast("array<double>").alias("path"),
         F.expr("array(vec_id * 37 % 101 / 128.0D, vec_id * 91 % 97 / 128.0D)").alias("params"))
-    return rounded(pairs.near_equal_pairs(df, "case_id", "vec_id", "path", "params", PAIR_TOLERANCE))
+    return rounded(pairs.near_equal(df, "case_id", "vec_id", "path", "params", PAIR_TOLERANCE))

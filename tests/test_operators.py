@@ -134,22 +134,23 @@ def test_parameter_class_order(spark):
     assert got == ["constrained", "weakly constrained", "weakly constrained", "prior-dominated", "prior-dominated", "prior-dominated"]
 
 
-@pytest.mark.parametrize("scan,keep", [(250, 20), (15, 10**6)])
-def test_near_equal_pairs_against_all_pairs(spark, scan, keep):
+def test_near_equal_pairs_against_all_pairs(spark):
     rnd = random.Random(2)
     parts = [(c, i, [rnd.choice([0.4, 1.0, 3.0]) * (1 + rnd.uniform(-0.12, 0.12)) for _ in range(3)], [rnd.random(), rnd.random()]) for c in (1, 2) for i in range(40)]
     df = spark.createDataFrame(parts, "case_id int, pid int, path array<double>, params array<double>")
-    got = [(r["case_id"], r["particle_a"], r["particle_b"]) for r in pairs.near_equal_pairs(df, "case_id", "pid", "path", "params", scan=scan, keep=keep).orderBy("case_id", "pair").collect()]
-    want = []
+    got = {(r["case_id"], r["pid"]): (r["n_partners"], r["closest"]) for r in pairs.near_equal(df, "case_id", "pid", "path", "params").collect()}
+    want = {}
     for c in (1, 2):
         mine = [p for p in parts if p[0] == c]
         span = [max(p[3][k] for p in mine) - min(p[3][k] for p in mine) for k in (0, 1)]
-        found = []
-        for a, b in itertools.combinations(mine[:scan], 2):
-            scale = max((sum(a[2]) + sum(b[2])) / 6, 1.0)
-            if math.sqrt(sum((x - y) ** 2 for x, y in zip(a[2], b[2])) / 3) / scale <= 0.08 and sum(abs(x - y) / s for x, y, s in zip(a[3], b[3], span)) / 2 >= 0.25:
-                found.append((c, a[1], b[1]))
-        want += found[:keep]
+        for a in mine:
+            near = []
+            for b in mine:
+                rmse = math.sqrt(sum((x - y) ** 2 for x, y in zip(a[2], b[2])) / 3) / max((sum(a[2]) + sum(b[2])) / 6, 1.0)
+                if a is not b and rmse <= 0.08 and sum(abs(x - y) / s for x, y, s in zip(a[3], b[3], span)) / 2 >= 0.25:
+                    near.append((rmse, b[1]))
+            if near:
+                want[c, a[1]] = (len(near), min(near)[1])
     assert want and got == want
 
 
