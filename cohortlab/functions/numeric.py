@@ -66,4 +66,4 @@ def ratio_or(numerator: Column, denominator: Column, default: float | None) -> C
 
 def significant(col: Column, digits: int = 9) -> Column:
     """Round to significant digits (for values that span many magnitudes)."""
-    return F.format_string(f"%.{digits - 1}e", col).cast("double")
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col).cast("double"))

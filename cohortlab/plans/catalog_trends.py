@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlab.functions.numeric import significant
 from cohortlab.operators import metrics, trends
 from cohortlab.operators.scale import exact_quantiles
 from cohortlab.plans import standins as S
-from cohortlab.plans.registry import R, query, rounded, table
+from cohortlab.plans.registry import R, in_nine, nine, query, rounded, table
 from cohortlab.session import materialize
 
 CUTOFF = 100.0
@@ -47,8 +48,10 @@ SERIES = f"""SELECT *, greatest(last_volume_ml, 0) AS last_observation,
     WHEN mean_log + cov_log / var_day * (held_day - mean_day) < 709.7 THEN exp(mean_log + cov_log / var_day * (held_day - mean_day)) END AS exponential
   FROM ({FITS}) WHERE held_day IS NOT NULL"""
 
-METHODS = ("last_observation", "last_slope", "linear")
-LONG = " UNION ALL ".join(f"SELECT case_id, '{m}' AS method, held_volume_ml AS observed, {R(m, 6)} AS point FROM s" for m in METHODS)
+METHODS = ("last_observation", "last_slope", "linear", "exponential")
+#: Exponential forecasts span many magnitudes: they, and sums over them, are compared in nine digits.
+POINTS_SQL = {m: R(m, 6) for m in METHODS[:3]} | {"exponential": nine("exponential")}
+LONG = " UNION ALL ".join(f"SELECT case_id, '{m}' AS method, held_volume_ml AS observed, last_volume_ml, {e} AS point FROM s" for m, e in POINTS_SQL.items())
 SERIES_LONG = f"SELECT *, abs(point - observed) AS abs_error FROM (WITH s AS ({SERIES}) {LONG})"
 
 
@@ -63,8 +66,12 @@ def series(spark, sf):
 
 
 def series_long(spark, sf):
+    return trends.long_forecasts(rounded_series(spark, sf), METHODS, ["case_id"], "held_volume_ml")
+
+
+def rounded_series(spark, sf):
     # points are rounded so that methods that agree on paper tie in every engine
-    return trends.long_forecasts(rounded(series(spark, sf), 6, list(METHODS)), METHODS, ["case_id"], "held_volume_ml")
+    return rounded(series(spark, sf), 6, list(METHODS[:3])).withColumn("exponential", significant(F.col("exponential")))
 
 
 @query("trend_points", POINTS)
@@ -89,8 +96,8 @@ def trend_series(spark, sf):
     return rounded(rounded(df, 6, ["linear", "ln_exponential"]), 4, ["last_slope"])
 
 
-@query("leaderboard_methods", f"""SELECT m.method, m.n, {R('m.mae_ml', 6)} AS mae_ml, {R('m.rmse_ml', 6)} AS rmse_ml,
-  {R('m.log_volume_rmse', 6)} AS log_volume_rmse, {R('m.median_ape')} AS median_ape, {R('m.median_abs_error')} AS median_abs_error,
+@query("leaderboard_methods", f"""SELECT m.method, m.n, {nine('m.mae_ml')} AS mae_ml, {nine('m.rmse_ml')} AS rmse_ml,
+  {nine('m.log_volume_rmse')} AS log_volume_rmse, {nine('m.median_ape')} AS median_ape, {nine('m.median_abs_error')} AS median_abs_error,
   coalesce(w.win_count, 0) AS win_count
   FROM (SELECT method, count(point) AS n, avg(abs_error) AS mae_ml, sqrt(avg((point - observed) * (point - observed))) AS rmse_ml,
     sqrt(avg(pow(ln(greatest(point, 1e-6)) - ln(observed), 2))) AS log_volume_rmse,
@@ -104,11 +111,11 @@ def leaderboard_methods(spark, sf):
     wins = metrics.method_comparison(long, ["case_id"]).select("method", "median_abs_error", "win_count")
     out = scores.join(wins, "method").select("method", "n", "mae_ml", "rmse_ml", "log_volume_rmse", "median_ape",
                                              "median_abs_error", "win_count")
-    return rounded(rounded(out, 6, ["mae_ml", "rmse_ml", "log_volume_rmse"]), 8, ["median_ape", "median_abs_error"])
+    return in_nine(out)
 
 
-@query("leaderboard_rollup", f"""SELECT region, segment, method, level, n, {R('mae_ml', 6)} AS mae_ml, {R('rmse_ml', 6)} AS rmse_ml,
-  {R('log_volume_rmse', 6)} AS log_volume_rmse FROM (
+@query("leaderboard_rollup", f"""SELECT region, segment, method, level, n, {nine('mae_ml')} AS mae_ml, {nine('rmse_ml')} AS rmse_ml,
+  {nine('log_volume_rmse')} AS log_volume_rmse FROM (
   SELECT r_name AS region, c_mktsegment AS segment, method, grouping(r_name, c_mktsegment, method)::BIGINT AS level, count(point) AS n,
     avg(abs_error) AS mae_ml, sqrt(avg((point - observed) * (point - observed))) AS rmse_ml,
     sqrt(avg(pow(ln(greatest(point, 1e-6)) - ln(observed), 2))) AS log_volume_rmse
@@ -118,9 +125,9 @@ def leaderboard_rollup(spark, sf):
     who = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), "c_nationkey", F.col("c_mktsegment").alias("segment"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     region = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
-    df = rounded(series(spark, sf), 6, list(METHODS)).join(who, "case_id").join(nation, "c_nationkey").join(region, "n_regionkey")
+    df = rounded_series(spark, sf).join(who, "case_id").join(nation, "c_nationkey").join(region, "n_regionkey")
     long = trends.long_forecasts(df, METHODS, ["region", "segment"], "held_volume_ml")
-    return rounded(metrics.leaderboard_rollup(long, ["region", "segment", "method"]), 6)
+    return in_nine(metrics.leaderboard_rollup(long, ["region", "segment", "method"]))
 
 
 @query("interval_coverage", f"""SELECT method, cohort, n, {R('mae_ml')} AS mae_ml, {R('rmse_ml')} AS rmse_ml,
@@ -207,10 +214,8 @@ def insight_rows(spark, sf):
     return metrics.insight_rows(methods, variants, overall, "linear", "last_observation")
 
 
-@query("method_errors_long", f"""SELECT case_id, method, {R('abs_error', 6)} AS abs_error, {R('abs(point - last_volume_ml)', 6)} AS abs_error_to_last FROM (
-  SELECT case_id, 'linear' AS method, linear AS point, last_volume_ml, abs(linear - held_volume_ml) AS abs_error FROM ({SERIES})
-  UNION ALL SELECT case_id, 'last_slope', last_slope, last_volume_ml, abs(last_slope - held_volume_ml) FROM ({SERIES})
-  UNION ALL SELECT case_id, 'last_observation', last_observation, last_volume_ml, abs(last_observation - held_volume_ml) FROM ({SERIES}))""")
+@query("method_errors_long", f"""SELECT case_id, method, abs_error, abs(point - last_volume_ml) AS abs_error_to_last
+  FROM ({SERIES_LONG}) WHERE point IS NOT NULL""")
 def method_errors_long(spark, sf):
-    long = trends.long_forecasts(series(spark, sf), METHODS, ["case_id", "last_volume_ml"], "held_volume_ml")
-    return rounded(long.select("case_id", "method", "abs_error", F.abs(F.col("point") - F.col("last_volume_ml")).alias("abs_error_to_last")), 6)
+    long = trends.long_forecasts(rounded_series(spark, sf), METHODS, ["case_id", "last_volume_ml"], "held_volume_ml").filter("point IS NOT NULL")
+    return long.select("case_id", "method", "abs_error", F.abs(F.col("point") - F.col("last_volume_ml")).alias("abs_error_to_last"))

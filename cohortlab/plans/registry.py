@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlab.functions.numeric import significant
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,3 +38,13 @@ def rounded(df: DataFrame, digits: int = 8, only: list[str] | None = None) -> Da
 def R(expr: str, digits: int = 8) -> str:
     """SQL twin of ``rounded`` (adding zero removes the sign of a zero)."""
     return f"(round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+
+
+def nine(expr: str) -> str:
+    """SQL twin of ``significant``."""
+    return f"(printf('%.8e', ({expr})::DOUBLE)::DOUBLE)"
+
+
+def in_nine(df: DataFrame) -> DataFrame:
+    """Round DOUBLE columns to nine digits, for sums over values of many magnitudes."""
+    return df.select(*[significant(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
