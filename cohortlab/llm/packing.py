@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -27,8 +28,8 @@ LETTERS = {b: c for c, b in byte_letters().items()}
 GROUP_ROWS = 20_000
 #: Nodes of the search; the best packing found so far stands when they are used up.
 MAX_NODES = 3_000
-#: Fillings that one node tries, those of least waste first.
-MAX_FILLINGS = 20
+#: Fillings that one node tries, those of least waste first, and steps in which it looks for them.
+MAX_FILLINGS, MAX_STEPS = 20, 1_000
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -159,17 +160,20 @@ def fillings(counts: dict[int, int], room: int, waste: int) -> list[tuple[int, .
     sizes = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
     found: list[tuple[int, tuple[int, ...]]] = []
     smallest = sizes[-1] if sizes else room + 1
+    steps = 0
 
     def extend(first: int, left: int, chosen: tuple[int, ...]) -> None:
+        nonlocal steps
+        steps += 1
         if left < smallest or first == len(sizes):
             if left <= waste:
                 found.append((left, chosen))
             return
-        for i in range(first, len(sizes)):
+        for i in range(max(first, bisect_left(sizes, -left, key=lambda n: -n)), len(sizes)):
             n = sizes[i]
-            if n <= left and chosen.count(n) < counts[n]:
+            if chosen.count(n) < counts[n]:
                 extend(i, left - n, (*chosen, n))
-                if len(found) >= 4 * MAX_FILLINGS or found and found[-1][0] == 0 and len(found) >= MAX_FILLINGS:
+                if steps > MAX_STEPS or len(found) >= 4 * MAX_FILLINGS or found and found[-1][0] == 0 and len(found) >= MAX_FILLINGS:
                     return
         if left <= waste and (not chosen or left < min(chosen)):
             found.append((left, chosen))
