@@ -60,14 +60,11 @@ def demo_tokens(payload: Column, tokens=DEMO_TOKENS) -> Column:
 
 
 def demo_guard(df: DataFrame, payload: Column, mode: str = "refuse") -> DataFrame:
-    """``refuse`` fails the whole read when any row holds a demo token; ``exclude`` drops rows."""
-    fake = contains_any(F.lower(payload), DEMO_TOKENS)
+    """``refuse`` fails the run at the first row that holds a demo token; ``exclude`` drops such rows."""
+    fake = F.coalesce(contains_any(F.lower(payload), DEMO_TOKENS), F.lit(False))
     if mode == "exclude":
-        return df.filter(~F.coalesce(fake, F.lit(False)))
-    found = df.filter(fake).limit(1).count()
-    if found:
-        raise ValueError("cohort holds demo or synthetic rows")
-    return df
+        return df.filter(~fake)
+    return df.filter(F.when(fake, F.raise_error(F.lit("cohort holds demo or synthetic rows")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def schedule_reasons(events: DataFrame, drug_params: DataFrame) -> DataFrame:

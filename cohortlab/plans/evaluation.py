@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.context import Context
 from cohortlab.functions.gauss import COVS, MEANS
 from cohortlab.operators import metrics, priors, rules, trends
-from cohortlab.operators.checks import case_constraints, with_reasons
+from cohortlab.operators.checks import case_constraints, demo_guard, with_reasons
 from cohortlab.session import materialize
 
 GAUSS = [*MEANS, *COVS]
+#: Cases below which scores are early evidence only.
+SMALL_COHORT = 20
 
 
 def scoped(cases: DataFrame, ctx: Context | None = None) -> DataFrame:
@@ -51,15 +53,21 @@ def layer_bands(facts: DataFrame, case: str, n: int, seed: int, layers=(2, 3, 4)
 
 
 def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int = 2026,
-             ctx: Context | None = None) -> dict[str, DataFrame]:
+             ctx: Context | None = None, demo_text: Column | None = None) -> dict[str, DataFrame]:
     """Baselines and layers against the held-out final volumes.
 
+    ``demo_text`` is the text in which demo tokens are refused, such as the file's path and the
+    row; without it nothing is refused. ``counts`` warns of a small cohort, and reading it fails
+    when no case is in scope.
+
     ``cases`` holds the key points and ``context``. Out-of-scope cases still count in
     the baselines, so methods differ in ``n``. The checked cases and the forecasts are
     each written once, since several results read them.
     """
     if n < 100:
         raise ValueError("n must be at least 100")
+    if demo_text is not None:
+        cases = demo_guard(cases, demo_text)
     df = with_reasons(cases, case_constraints(), "case_errors")
     df = df.withColumns({"days": F.col("final_day") - F.col("baseline_day"), "observed": F.col("final_volume_ml")})
     df = materialize(df.filter(F.size("case_errors") == 0).drop("case_errors"))
@@ -70,6 +78,7 @@ def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int =
     layered = layer_bands(scoped(df, ctx), case, n, seed, carry=("observed",)).withColumn("method", name).drop("layer")
     forecasts = materialize(simple.drop("abs_error").unionByName(layered, allowMissingColumns=True))
     scope = rules.scope(df, ctx)
+    counts = scope.agg(F.count("*").alias("case_count"), F.count_if(F.col("contract_id") == "tnbc_chemo").alias("in_scope_case_count"))
     return {
         "forecasts": forecasts,
         "metrics": metrics.forecast_metrics(forecasts, ["method"]),
@@ -78,6 +87,8 @@ def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int =
             ("layer4_vs_layer3", "layer4_mri_qc", "layer3_pathology")], case),
         "skipped": scope.filter(F.col("contract_id") != "tnbc_chemo").select(
             F.col(case).cast("string").alias("case_id"), "contract_id", "scope_warning"),
-        "counts": scope.agg(F.count("*").alias("case_count"),
-                            F.count_if(F.col("contract_id") == "tnbc_chemo").alias("in_scope_case_count")),
+        "counts": counts.select(
+            "case_count", F.when(F.col("in_scope_case_count") > 0, F.col("in_scope_case_count")).otherwise(
+                F.raise_error(F.lit("no case is in scope")).cast("bigint")).alias("in_scope_case_count"),
+            F.when(F.col("case_count") < SMALL_COHORT, F.lit("small_cohort")).alias("warning")),
     }

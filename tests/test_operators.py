@@ -167,8 +167,8 @@ def test_checks_split_accounts_for_every_row(spark):
 
 def test_demo_guard(spark):
     df = spark.createDataFrame([("real",), ("Synthetic one",)], "t string")
-    with pytest.raises(ValueError):
-        checks.demo_guard(df, F.col("t"))
+    with pytest.raises(Exception, match="demo or synthetic"):
+        checks.demo_guard(df, F.col("t")).collect()
     assert checks.demo_guard(df, F.col("t"), "exclude").count() == 1
     assert checks.demo_guard(df.limit(1), F.col("t")).count() == 1
 

@@ -54,11 +54,15 @@ def test_layered_evaluation_of_a_tiny_cohort(spark, tmp_path):
     bands = got["forecasts"].filter("lo95 is not null").collect()
     assert len(bands) == 6 and all(r["lo95"] <= r["lo80"] <= r["point"] <= r["hi80"] <= r["hi95"] for r in bands)
     assert [r["case_id"] for r in got["skipped"].collect()] == ["c"]
-    assert got["counts"].first().asDict() == {"case_count": 3, "in_scope_case_count": 2}
+    assert got["counts"].first().asDict() == {"case_count": 3, "in_scope_case_count": 2, "warning": "small_cohort"}
     for d in got["deltas"].collect():
         assert d["helped"] + d["harmed"] <= d["n"] == 2
     with pytest.raises(ValueError):
         evaluation.evaluate(cases, n=50)
+    with pytest.raises(Exception, match="demo or synthetic"):
+        evaluation.evaluate(cases, n=200, ctx=cohorts.case_context(), demo_text=F.concat(F.lit("data/demo.jsonl "), "case_id"))
+    with pytest.raises(Exception, match="no case is in scope"):
+        evaluation.evaluate(cases.filter("false"), n=200, ctx=cohorts.case_context())["counts"].collect()
 
 
 def test_sinks_round_trip_and_status(spark, tmp_path):
