@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,9 +26,11 @@ LETTERS = {b: c for c, b in byte_letters().items()}
 #: Rows of one (length, salt) group on average at most.
 GROUP_ROWS = 20_000
 #: Nodes of the search; the best packing found so far stands when they are used up.
-MAX_NODES = 3_000
-#: Fillings that one node tries, those of least waste first, and steps in which it looks for them.
-MAX_FILLINGS, MAX_STEPS = 20, 1_000
+MAX_NODES = 20_000
+#: Steps that all nodes together look for fillings; they end the whole search like the nodes do, and no node for itself.
+MAX_STEPS = 2_000_000
+#: Nodes whose tables are kept; others build theirs again when the search comes back to them.
+MAX_TABLES = 64
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -149,59 +150,158 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
     return [(fill, c) for held in open_.values() for fill, c in held.items()]
 
 
-def fillings(counts: dict[int, int], room: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, those of least waste and fewest pieces first.
+class Used(Exception):
+    """The search has used up its steps."""
 
-    A filling that leaves room for another piece, or in which one larger piece could take the
-    place of a part, is dominated. A single piece that fits exactly dominates all others.
+
+def reached(sums: int, n: int, c: int) -> int:
+    """Sums (as bits) with up to ``c`` more pieces of length ``n``."""
+    k = 1
+    while c > 0:
+        sums |= sums << min(k, c) * n
+        c, k = c - k, 2 * k
+    return sums
+
+
+def fillings(counts: dict[int, int], top: int, capacity: int, spare: Callable[[], int], step: Callable[[], None], tables: dict) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of the room beside a piece ``top``, those of least waste first, each found when it is asked for.
+
+    A filling that leaves room for another piece is dominated, and so is one in which a larger unused
+    piece, at most a part's sum plus the room left, could take the place of this part; a single
+    piece that fits exactly dominates all others. ``counts`` may change between two fillings, but must be as
+    it was when the next is asked for. ``tables`` holds what the latest callers need; theirs are built again if dropped.
     """
-    if counts.get(room):
-        return [(room,)]
-    sizes = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    smallest = sizes[-1] if sizes else room + 1
-    steps = 0
-
-    def extend(first: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if left < smallest or first == len(sizes):
-            if left <= waste:
-                found.append((left, chosen))
-            return
-        for i in range(max(first, bisect_left(sizes, -left, key=lambda n: -n)), len(sizes)):
-            n = sizes[i]
-            if chosen.count(n) < counts[n]:
-                extend(i, left - n, (*chosen, n))
-                if steps > MAX_STEPS or len(found) >= 4 * MAX_FILLINGS or found and found[-1][0] == 0 and len(found) >= MAX_FILLINGS:
-                    return
-        if left <= waste and (not chosen or left < min(chosen)):
-            found.append((left, chosen))
+    room, key = capacity - top, object()
+    number = lambda n: counts.get(n, 0) - (n == top)
+    if number(room) > 0:
+        yield (room,)
+        return
+
+    def lengths() -> list[tuple[int, int]]:
+        return [(n, number(n)) for n in sorted(counts, reverse=True) if n <= room and number(n) > 0]
+
+    def possible() -> list[int]:
+        """Waste, from 1, that some filling leaves: all pieces not above it are used, the others sum to what is left."""
+        has = lengths()
+        sums, mask = [1], (2 << room) - 1
+        for n, c in has:
+            sums.append(reached(sums[-1], n, min(c, room // n)) & mask)
+        out, above, forced = [], len(has), 0
+        for w in range(1, room + 1):
+            while above and has[above - 1][0] <= w:
+                above -= 1
+                forced += has[above][0] * has[above][1]
+            if room - w < forced:
+                break
+            if sums[above] >> (room - w - forced) & 1:
+                out.append(w)
+        return out
+
+    def table() -> tuple[list[tuple[int, int]], list[int]]:
+        """Lengths above the waste, and the sums that those from each on reach."""
+        if key not in tables:
+            has, mask = [x for x in lengths() if x[0] > w], (2 << room) - 1
+            sums = [1] * (len(has) + 1)
+            for i in range(len(has) - 1, -1, -1):
+                n, c = has[i]
+                sums[i] = reached(sums[i + 1], n, min(c, room // n)) & mask
+            tables[key] = has, sums
+            if len(tables) > MAX_TABLES:
+                del tables[next(iter(tables))]
+        return tables[key]
+
+    def pick(i: int, left: int) -> tuple[int, int, int, list[int]] | None:
+        has, sums = table()
+        while i < len(has) and sums[i] >> left & 1:
+            n, c = has[i]
+            times = [k for k in range(min(c, left // n), 0, -1) if sums[i + 1] >> (left - k * n) & 1]
+            if times:
+                return i, n, c, times
+            i += 1
+        return None
 
-    extend(0, room, ())
-    return [f for _, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), [-n for n in x[1]]))[:MAX_FILLINGS]]
+    def spread(unused: int) -> int:
+        """Sums that are at most ``w`` below an unused length."""
+        k = 0
+        while k < w:
+            more = min(k + 1, w - k)
+            unused, k = unused | unused >> more, k + more
+        return unused
+
+    def grow(parts: int, n: int, k: int, unused: int, near: int) -> int | None:
+        """Sums of parts with ``k`` pieces ``n``, which is not above the pieces so far; None if a part can be replaced."""
+        if w and unused >> (n + 1) & ((1 << w) - 1):
+            return None
+        for _ in range(k):
+            more = parts << n
+            if more & near:
+                return None
+            parts |= more | 1 << n
+        return parts
+
+    def extend(i: int, left: int, chosen: tuple[int, ...], parts: int, unused: int, near: int) -> Iterator[tuple[int, ...]]:
+        step()
+        if not left:
+            for n, c in forced:
+                parts = grow(parts, n, c, unused, near)
+                if parts is None:
+                    return
+            yield chosen + tuple(n for n, c in forced for _ in range(c))
+            return
+        while found := pick(i, left):
+            i, n, c, times = found
+            for k in times:
+                step()
+                grown = grow(parts, n, k, unused, near)
+                if grown is not None:
+                    rest = unused & ~(1 << n) if k == c else unused
+                    yield from extend(i + 1, left - k * n, chosen + (n,) * k, grown, rest, spread(rest) if k == c else near)
+                    if w > spare():
+                        return
+            i += 1
+
+    def passes() -> Iterator[int]:
+        yield 0
+        yield from possible() if spare() > 0 else ()
+
+    for w in passes():  # noqa: B007
+        if w > spare():
+            return
+        tables.pop(key, None)
+        forced = [x for x in lengths() if x[0] <= w]
+        unused = sum(1 << n for n, _ in lengths() if n > w)
+        yield from extend(0, room - w - sum(n * c for n, c in forced), (), 0, unused, spread(unused))
 
 
-def pack(counts: dict[int, int], capacity: int) -> tuple[Bins, int]:
-    """As few sequences as the search finds for pieces of these lengths, and the bound it proved.
+def search(counts: dict[int, int], capacity: int) -> tuple[Bins, int, bool]:
+    """As few sequences as the search finds for pieces of these lengths, a lower bound, and whether none can be fewer.
 
     Best fit is the first incumbent. While it is above the bound, bin completion goes depth first:
-    the largest piece left takes each undominated filling in turn, as often as pieces for it last,
+    the largest piece left takes each undominated filling in turn, as often as pieces for it last and then once,
     and a branch ends when its waste leaves no room for a better packing; best fit of what is
     left makes new incumbents on the way. One copy of the counts is changed and changed back.
+    The search ends by proof, at the bound or with nothing left to try, or when its nodes or steps are used up.
     """
     left = {n: c for n, c in counts.items() if c}
     bound, total = lower_bound(left, capacity), sum(n * c for n, c in left.items())
     best = best_fit(left, capacity)
     size = lambda bins: sum(c for _, c in bins)
-    n_best, waste, path, nodes = size(best), 0, [], 0
+    n_best, waste, path, nodes, steps, tables = size(best), 0, [], 0, 0, {}
 
-    def branches() -> Iterator[tuple[int, ...]]:
-        top = max(left)
-        take(((top,), 1), -1)
-        found = fillings(left, capacity - top, (n_best - 1) * capacity - total - waste)
-        take(((top,), 1), 1)
-        return iter([(top, *f) for f in found])
+    def step() -> None:
+        nonlocal steps
+        steps += 1
+        if steps > MAX_STEPS:
+            raise Used
+
+    def branches() -> Iterator[tuple[tuple[int, ...], int]]:
+        top, before = max(left), waste
+        for f in fillings(left, top, capacity, lambda: (n_best - 1) * capacity - total - before, step, tables):
+            fill = (top, *f)
+            times = min(left[n] // c for n, c in Counter(fill).items())
+            yield fill, times
+            if times > 1:
+                yield fill, 1
 
     def take(bin_: tuple[tuple[int, ...], int], sign: int) -> None:
         for n in bin_[0]:
@@ -210,28 +310,34 @@ def pack(counts: dict[int, int], capacity: int) -> tuple[Bins, int]:
                 del left[n]
 
     frames = [branches()] if left and n_best > bound else []
-    while frames and n_best > bound and nodes < MAX_NODES:
-        fill = next(frames[-1], None)
-        if fill is None:
-            frames.pop()
-            if path:
-                take(path[-1], 1)
-                waste -= path[-1][1] * (capacity - sum(path[-1][0]))
-                path.pop()
-            continue
-        nodes += 1
-        need = Counter(fill)
-        done = (fill, min(left[n] // c for n, c in need.items()))
-        take(done, -1)
-        path.append(done)
-        waste += done[1] * (capacity - sum(fill))
-        if not left or len(left) < 40 or nodes & (nodes - 1) == 0:
-            tried = path + best_fit(left, capacity)
-            if size(tried) < n_best:
-                best, n_best = list(tried), size(tried)
-        hopeful = left and waste <= (n_best - 1) * capacity - total
-        frames.append(branches() if hopeful else iter(()))
-    return best, bound
+    try:
+        while frames and n_best > bound and nodes < MAX_NODES:
+            done = next(frames[-1], None)
+            if done is None:
+                frames.pop()
+                if path:
+                    take(path[-1], 1)
+                    waste -= path[-1][1] * (capacity - sum(path[-1][0]))
+                    path.pop()
+                continue
+            nodes += 1
+            take(done, -1)
+            path.append(done)
+            waste += done[1] * (capacity - sum(done[0]))
+            if len(left) < 40 or nodes % 16 == 0:
+                tried = path + best_fit(left, capacity)
+                if size(tried) < n_best:
+                    best, n_best = list(tried), size(tried)
+            hopeful = left and waste <= (n_best - 1) * capacity - total
+            frames.append(branches() if hopeful else iter(()))
+    except Used:
+        return best, bound, n_best == bound
+    return best, bound, n_best == bound or not frames
+
+
+def pack(counts: dict[int, int], capacity: int) -> tuple[Bins, int]:
+    """The packing that ``search`` finds, and the lower bound."""
+    return search(counts, capacity)[:2]
 
 
 def slots(bins: Bins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

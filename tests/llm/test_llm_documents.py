@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,40 @@ def test_pack_is_optimal_on_small_inputs():
         assert bound <= sum(c for _, c in bins) == brute_bins(items, capacity)
 
 
+def test_pack_loses_no_filling_of_a_node(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_TABLES", 1)
+    for fewest, capacity, counts in ((10, 100, {9: 4, 15: 5, 21: 6, 26: 4, 27: 3, 35: 7, 36: 1, 49: 6}), (16, 1000, {126: 6, 151: 4, 152: 6, 316: 7, 321: 5, 372: 6, 374: 4, 380: 3, 441: 9})):
+        bins, bound, proved = packing.search(counts, capacity)
+        assert Counter(n for fill, c in bins for n in fill * c) == Counter(counts) and all(sum(fill) <= capacity for fill, _ in bins)
+        assert sum(c for _, c in bins) == fewest and proved
+    monkeypatch.setattr(packing, "MAX_STEPS", 10)
+    bins, bound, proved = packing.search(counts, capacity)
+    assert Counter(n for fill, c in bins for n in fill * c) == Counter(counts) and not proved
+
+
+def undominated(has, room):
+    """Fillings that leave no room for a piece, and no part of which a free piece can replace."""
+    for times in product(*(range(c + 1) for c in has.values())):
+        fill = sorted((n for n, k in zip(has, times, strict=True) for _ in range(k)), reverse=True)
+        free, waste = [n for n, k in zip(has, times, strict=True) if k < has[n]], room - sum(fill)
+        parts = [[n for i, n in enumerate(fill) if m >> i & 1] for m in range(1 << len(fill))]
+        if waste >= 0 and not any(sum(p) <= n <= sum(p) + waste and p != [n] for p in parts for n in free):
+            yield tuple(fill)
+
+
+def test_fillings_are_the_undominated_ones():
+    deal = lambda counts, top, capacity: list(packing.fillings(counts, top, capacity, lambda: capacity, lambda: None, {}))
+    assert deal({10: 1, 5: 1, 3: 1, 1: 1}, 10, 16) == [(5, 1)]
+    r = random.Random(2)
+    for _ in range(200):
+        capacity = r.randint(8, 40)
+        counts = {n: r.randint(1, 3) for n in r.sample(range(1, capacity + 1), r.randint(2, 6))}
+        top = max(counts)
+        has = {n: k for n, c in counts.items() if n <= capacity - top and (k := c - (n == top))}
+        got = deal(counts, top, capacity)
+        assert sorted(got) == sorted(undominated(has, capacity - top)) and got == sorted(got, key=lambda f: -sum(f))
+
+
 def check_packing(rows, capacity=2048):
     by = defaultdict(list)
     for r in rows:
