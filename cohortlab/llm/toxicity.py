@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +90,8 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
     """Weights from labelled documents that are not held out.
 
     At most ``class_rows`` documents of each class are learned from, so one task holds them; their
-    features are drawn where the texts are. The driver sees only the weights that are not zero.
+    features are drawn where the texts are. Both classes are counted over all these documents, and the bias takes
+    back what the sample changed in their odds. The driver sees only the weights that are not zero.
     Labels that are null, or whose document is missing, teach nothing; without any, nothing is known to be toxic and all scores are 0.
     """
     arrow.prepare(docs.sparkSession)
@@ -97,6 +99,8 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
     some = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(class_rows).unionByName(
         known.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(class_rows))
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rates = known.groupBy("toxic").agg(F.least(F.count(F.lit(1)), F.lit(class_rows)).alias("used"), F.count(F.lit(1)).alias("all"))
+    lost = {r["toxic"]: math.log(r["all"] / r["used"]) for r in rates.collect()}
 
     def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "features": pa.array([x.astype("<u4").tobytes() for x in rows_of(batch.column("text"))], pa.binary())})
@@ -110,7 +114,11 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
         at, w = train([(np.frombuffer(f, "<u4").astype(np.int64), y) for _, f, y in rows])
         yield pa.record_batch({"at": pa.array(at, pa.int64()), "w": pa.array(w, pa.float64())})
 
-    return [(r["at"], r["w"]) for r in drawn.repartition(1).mapInArrow(fit, "at long, w double").collect()]
+    weights = {r["at"]: r["w"] for r in drawn.repartition(1).mapInArrow(fit, "at long, w double").collect()}
+    shift = lost.get(1, 0.0) - lost.get(0, 0.0)
+    if shift and weights:
+        weights[1 << BITS] = weights.get(1 << BITS, 0.0) + shift
+    return list(weights.items())
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:

@@ -276,6 +276,19 @@ def test_toxicity_learns_words_and_inflected_forms(spark):
     assert np.mean([(x["score"] >= 0.3) == x["toxic"] for x in out]) > 0.98
 
 
+def test_toxicity_sample_keeps_the_share_of_toxic_labels(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(8))) for i in range(1200)]
+    d, y = docs(spark, rows), spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    cut = np.mean([x["score"] for x in toxicity.score(d, toxicity.learn(d, y, class_rows=60)).collect()])
+    whole = np.mean([x["score"] for x in toxicity.score(d, toxicity.learn(d, y)).collect()])
+    assert abs(cut - whole) < 0.05 and cut < 0.2
+    both = dict(toxicity.learn(d, y, class_rows=60))
+    known = y.filter(~toxicity.held_out()).groupBy("toxic").count().collect()
+    lost = {x["toxic"]: np.log(x["count"] / min(60, x["count"])) for x in known}
+    assert lost[0] - lost[1] > 1 and both[1 << toxicity.BITS] < -1
+
+
 def test_toxicity_never_sees_held_out_labels(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     y = spark.read.parquet(f"{SF}/labels.parquet")
