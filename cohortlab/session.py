@@ -30,20 +30,21 @@ def build(master: str | None = None, partitions: int | None = None, **extra: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's setting, else one beside the warehouse."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """The shared folder for intermediate tables: the cluster's setting, else one beside the warehouse.
+
+    The setting is read, never written: Spark refuses to change it in a running session.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; whatever is written there goes when the application ends."""
-    path = f"{checkpoint_dir(spark)}/cohortlab-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    """A fresh path in this application's part of the shared folder, which goes when the application ends."""
+    own = f"{checkpoint_dir(spark)}/cohortlab-{spark.sparkContext.applicationId}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)  # only what is there can be marked
+    files.deleteOnExit(hadoop)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
