@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlab.llm import bpe, chat, fim, line_dedup, minhash, packing, quality, sharding, topk, toxicity, url_filter
+from cohortlab.llm import bpe, chat, fim, langid, line_dedup, merkle, minhash, packing, quality, sharding, topk, toxicity, url_filter
 from cohortlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -197,3 +197,63 @@ def fim_query(spark: SparkSession, sf: str) -> DataFrame:
     out = fim.restore(fim.transform(table(spark, sf, "documents")))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+#: crc32 of the decimal id, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _levels(name: str, start: str, tree: str, levels: int) -> str:
+    """SQL of one forest: ``start`` has (tree, i, h) nodes; gives ``{name}_top`` (tree, h) and ``{name}_side{k}`` (tree, i, l, r) on each level k."""
+    out = [f"{name}0 AS (SELECT {tree}, i, h, count(*) OVER (PARTITION BY {tree}) AS n FROM {start})"]
+    for k in range(levels):
+        beside = lambda test, k=k: f"(SELECT coalesce(string_agg(b.h, '' ORDER BY b.i), '') FROM {name}{k} b WHERE b.{tree} IS NOT DISTINCT FROM a.{tree} AND b.i // 16 = a.i // 16 AND b.i {test} a.i)"
+        out += [f"{name}_side{k} AS (SELECT {tree}, i, CASE WHEN n > 1 THEN {beside('<')} END AS l, CASE WHEN n > 1 THEN {beside('>')} END AS r FROM {name}{k} a)",
+                f"{name}{k + 1} AS (SELECT {tree}, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY {tree}, i // 16)"]
+    return ", ".join([*out, f"{name}_top AS (SELECT {tree}, h FROM {name}{levels})"])
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The two forests, level by level, and the fold of every leaf; enough levels for 16 million leaves a source."""
+    field = lambda e: f"coalesce(strlen(({e})::VARCHAR) || ':' || ({e})::VARCHAR, '-')"
+    row = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    joins, left, right = [], [], []
+    for k in range(levels):
+        joins.append(f"JOIN t_side{k} t{k} ON t{k}.source IS NOT DISTINCT FROM x.source AND t{k}.i = x.i // {16 ** k}")
+        left, right = [*left, f"t{k}.l"], [*right, f"t{k}.r"]
+    for k in range(levels):
+        joins.append(f"JOIN s_side{k} s{k} ON s{k}.i = o.i // {16 ** k}")
+        left, right = [*left, f"s{k}.l"], [*right, f"s{k}.r"]
+    fold = "CASE WHEN crc % 5 = 0 THEN bad ELSE leaf END"
+    steps = ", ".join(f"f{k + 1} AS (SELECT *, CASE WHEN {a} IS NULL THEN g{k} ELSE sha256({a} || g{k} || {b}) END AS g{k + 1} FROM f{k})"
+                      for k, (a, b) in enumerate(zip([f"l{i}" for i in range(2 * levels)], [f"r{i}" for i in range(2 * levels)], strict=True)))
+    sides = ", ".join(f"{a} AS l{i}, {b} AS r{i}" for i, (a, b) in enumerate(zip(left, right, strict=True)))
+    proof = " || ".join(f"coalesce(l{i}, '') || coalesce(r{i}, '')" for i in range(2 * levels))
+    return f"""
+WITH leaves AS (SELECT doc_id, source, {row('text')} AS leaf, {row(f"translate(text, '{UPPER}', '{LOWER}')")} AS bad, {CRC_SQL} AS crc FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM leaves),
+{_levels('t', 'x', 'source', levels)},
+o AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, 0 AS all_ FROM t_top),
+{_levels('s', 'o', 'all_', levels)},
+f0 AS (SELECT x.doc_id, leaf, bad, crc, o.h AS subroot, s_top.h AS root, {fold} AS g0, {sides}
+  FROM x JOIN o ON o.source IS NOT DISTINCT FROM x.source {' '.join(joins)}, s_top),
+{steps}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, g{2 * levels} AS folded_root, g{2 * levels} = root AS verified FROM f{2 * levels}"""
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def merkle_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    columns = [F.col(c) for c in merkle.FIELDS[:-1]]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf_of(*columns, F.translate("text", UPPER, LOWER)))
+    out = merkle.manifest(docs, {"tampered": tampered})
+    back = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("path")).alias("proof_sha256"), back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_language_id")
+def langid_query(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
