@@ -168,9 +168,10 @@ def word_scores(models: list[Model], words: pa.Array, order: int) -> tuple[np.nd
     for i in range(order - 1):
         inner[ends - chars - 1 - i] = False
     at = np.flatnonzero(inner)
-    hashed = hashes([points[at - i] for i in range(order - 1, -1, -1)])
+    _, first, which = np.unique(_chain([points[at - i] for i in range(order - 1, -1, -1)]), return_index=True, return_inverse=True)
+    hashed = hashes([points[at[first] - i] for i in range(order - 1, -1, -1)])  # each distinct gram is looked up once
     starts = np.concatenate([[0], np.cumsum(chars)[:-1]])
-    return np.stack([np.add.reduceat(m.log_probabilities(hashed), starts) for m in models], 1), chars
+    return np.stack([np.add.reduceat(m.log_probabilities(hashed)[which], starts) for m in models], 1), chars
 
 
 @dataclass
