@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 MASK = 4294967295
 MULTIPLIER = 73244475
 LANES = 8
+#: Counters of one row that are drawn in one place.
+BLOCK = 10_000
 
 
 def with_stream(df: DataFrame, parts: list[str], seed: int) -> DataFrame:
@@ -57,8 +59,15 @@ def with_normals(df: DataFrame, index: str, count: int) -> DataFrame:
 
 
 def fan_out(df: DataFrame, n: int, index: str = "particle") -> DataFrame:
-    """One row per counter 0..n-1; repartitioning is left to the caller."""
-    return df.withColumn(index, F.expr(f"explode(sequence(0L, {n - 1}L))"))
+    """One row per counter 0..n-1, for rows that have a stream.
+
+    Up to ``BLOCK`` counters stay where their row is. More are dealt out in blocks, so that one row with very many
+    counters is drawn by many tasks and no array grows with ``n``.
+    """
+    if n <= BLOCK:
+        return df.withColumn(index, F.expr(f"explode(sequence(0L, {n - 1}L))"))
+    blocks = df.withColumn("f_block", F.expr(f"explode(sequence(0L, {(n - 1) // BLOCK}L))")).repartition("s_a", "f_block")
+    return blocks.withColumn(index, F.expr(f"explode(sequence(f_block * {BLOCK}L, least((f_block + 1) * {BLOCK}L, {n}L) - 1))")).drop("f_block")
 
 
 def _scramble(df: DataFrame, lanes: list[str]) -> DataFrame:

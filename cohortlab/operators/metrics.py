@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlab.functions.numeric import ratio_or
-from cohortlab.operators.scale import attach, exact_quantiles
+from cohortlab.operators.ranks import quantiles, quantiles_of
+from cohortlab.operators.scale import attach
 
 SWEEP_METRICS = ("ess", "ess_fraction", "fit_prior_rmse_ml", "fit_posterior_rmse_ml",
                  "rmse_improvement_fraction", "posterior_heldout_error_ml", "prior_heldout_error_ml")
@@ -35,7 +36,7 @@ def forecast_metrics(df: DataFrame, keys: list[str], intervals: bool = True) ->
     df = df.filter(F.col("point").isNotNull())
     sums = df.groupBy(*keys).agg(*error_sums(), *(interval_sums() if intervals else []))
     ape = df.select(*keys, (F.abs(F.col("point") - F.col("observed")) / F.col("observed")).alias("ape"))
-    medians = exact_quantiles(ape, keys, "ape", {"median_ape": 0.5}).drop("n")
+    medians = quantiles_of(ape, keys, "ape", {"median_ape": 0.5}).drop("n")
     return sums.join(medians, keys, "left")
 
 
@@ -76,7 +77,7 @@ def method_comparison(df: DataFrame, run: list[str]) -> DataFrame:
     df = df.filter(F.col("abs_error").isNotNull())
     wins = (df.groupBy(*run).agg(F.min(F.struct("abs_error", "method"))["method"].alias("method"))
             .groupBy("method").agg(F.count("*").alias("win_count")))
-    medians = exact_quantiles(df, ["method"], "abs_error", {"median_abs_error": 0.5})
+    medians = quantiles_of(df, ["method"], "abs_error", {"median_abs_error": 0.5})
     means = df.groupBy("method").agg(F.avg("abs_error").alias("mean_abs_error"))
     return means.join(medians, "method").join(wins, "method", "left").select(
         "method", F.col("n"), "median_abs_error", "mean_abs_error",
@@ -90,16 +91,11 @@ def sweep_medians(runs: DataFrame, groupings: dict[str, str], metrics=SWEEP_METR
     that is NULL in all of them has a NULL median.
     """
     labels, columns = list(groupings), list(groupings.values())
-    groups = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("value"))
-                                 for i, c in enumerate(columns)]))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).cast("double").alias("x"))
-                                for i, m in enumerate(metrics)]))
-    per_group = runs.select(groups.alias("k"), *metrics).select("k.*", *metrics)
+    groups = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("g") + 1)
-    n_runs = per_group.groupBy("g", "value").agg(F.count("*").alias("n_runs"))
-    long = per_group.select("g", "value", cells.alias("c")).select("g", "value", "c.*")
-    medians = exact_quantiles(long, ["g", "value", "m"], "x", {"q50": 0.5}).groupBy("g", "value").agg(
-        *[F.max(F.when(F.col("m") == i, F.col("q50"))).alias(f"median_{m}") for i, m in enumerate(metrics)])
+    n_runs = runs.groupBy(*columns).agg(F.count("*").alias("n")).select(F.explode(groups).alias("k"), "n").select("k.*", "n").groupBy("g", "value").agg(F.sum("n").alias("n_runs"))
+    medians = quantiles(runs, ["g", "value"], {m: F.col(m) for m in metrics}, {"q50": 0.5}, groups, columns)
+    medians = medians.select("g", "value", *[F.col(f"{m}_q50").alias(f"median_{m}") for m in metrics])
     return attach(n_runs, medians, ["g", "value"]).select(label.alias("grouping"), "value", "n_runs", *[f"median_{m}" for m in metrics])
 
 

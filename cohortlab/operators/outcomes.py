@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.numeric import CENTRAL_Z
-from cohortlab.operators.scale import attach, order_statistic, prefix_totals
+from cohortlab.operators.ranks import order_statistic
+from cohortlab.operators.scale import attach, prefix_totals
 
 
 def probabilistic_scores(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,8 +67,7 @@ def conformal_width(calibration: DataFrame, strata: list[str], miss: float = 0.2
     The value of rank ceil((n + 1)(1 - miss)); NULL when a stratum is too small for it.
     """
     rows = calibration.withColumn("half_width", F.abs(F.col("observed") - F.col("point")))
-    rank = F.ceil((F.col("all_n") + 1) * F.lit(1.0 - miss))
-    return order_statistic(rows, strata, "half_width", rank)
+    return order_statistic(rows, strata, "half_width", lambda n: F.ceil((n + 1) * F.lit(1.0 - miss)))
 
 
 def ks_two_sample(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:

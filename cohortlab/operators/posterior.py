@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.operators.scale import attach, exact_quantiles, weighted_quantiles
+from cohortlab.operators.ranks import quantiles_of
+from cohortlab.operators.scale import attach, weighted_quantiles
 from cohortlab.session import materialize
 
 
@@ -16,12 +17,16 @@ def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str])
     return attach(predictions, observed, keys).filter(F.col("observed").isNotNull())
 
 
+def part_of(noise: Column) -> Column:
+    """What one observation adds to the log-likelihood of a row with ``predicted`` and ``observed``."""
+    sd = F.greatest(noise * F.greatest(F.col("observed"), F.lit(1.0)), F.lit(0.25))
+    miss = (F.col("observed") - F.col("predicted")) / sd
+    return F.lit(-0.5) * F.pow(miss, F.lit(2.0)) - F.ln(sd)
+
+
 def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str], noise: Column) -> DataFrame:
     """``loglik`` per particle over rows that hold ``predicted`` and ``observed``."""
-    sd = F.greatest(noise * F.greatest(F.col("observed"), F.lit(1.0)), F.lit(0.25))
-    rows = predictions.withColumn("sd", sd)
-    part = F.expr("-0.5D * pow((observed - predicted) / sd, 2.0D) - ln(sd)")
-    return rows.groupBy(*case, *particle).agg(F.sum(part).alias("loglik"), F.count("*").alias("n_obs"))
+    return predictions.groupBy(*case, *particle).agg(F.sum(part_of(noise)).alias("loglik"), F.count("*").alias("n_obs"))
 
 
 def weights(loglik: DataFrame, case: list[str]) -> DataFrame:
@@ -59,7 +64,7 @@ def mean_predictions(df: DataFrame, keys: list[str], predicted: str = "predicted
 
 def parameter_widths(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
     """Prior and posterior 80% widths of each parameter and their ratio (1 for a constant)."""
-    prior = exact_quantiles(df, keys, value, {"p10": 0.1, "p90": 0.9})
+    prior = quantiles_of(df, keys, value, {"p10": 0.1, "p90": 0.9})
     post = weighted_quantiles(df, keys, value, weight, {"w10": 0.1, "w90": 0.9})
     ends = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("value_range"))
     got = prior.join(post, keys).join(ends, keys)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlab.functions import draws
 from cohortlab.functions.gauss import MEANS, from_transformed, with_cholesky
 from cohortlab.functions.numeric import interval_to_normal
+from cohortlab.operators.ranks import quantiles
 
 # Median, 80% low, 80% high and space of each learnable parameter.
 POPULATION = (("growth_rate_per_day", 0.0067, 0.0030, 0.0150, "log"),
@@ -18,7 +19,8 @@ POPULATION = (("growth_rate_per_day", 0.0067, 0.0030, 0.0150, "log"),
 CORRELATIONS = {(0, 1): 0.25, (0, 2): -0.05, (1, 2): -0.40}
 LAYER_NAMES = {2: "layer2_population", 3: "layer3_pathology", 4: "layer4_mri_qc"}
 BANDS = {"lo95": 0.025, "lo80": 0.1, "point": 0.5, "hi80": 0.9, "hi95": 0.975}
-MAX_PARTICLES = 10_000
+#: Up to so many particles a key are gathered and sorted; the bands of more are selected by refinement.
+GATHERED = 10_000
 
 
 def population_columns() -> dict[str, Column]:
@@ -38,8 +40,8 @@ def particles(priors: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame
     Draws are keyed by ``seed`` and the ``key`` columns. Rows keep ``key`` and the
     columns of ``priors`` other than the Gaussian ones.
     """
-    if not 1 <= n <= MAX_PARTICLES:
-        raise ValueError(f"particles per case must be in 1..{MAX_PARTICLES}")
+    if n < 1:
+        raise ValueError("a case needs at least one particle")
     df = draws.with_stream(with_cholesky(priors), key, seed)
     df = draws.with_normals(draws.fan_out(df, n), "particle", 3)
     df = df.withColumns({
@@ -61,10 +63,13 @@ def predicted_volume(days: Column, baseline: Column, rate: Column) -> Column:
 def predictive_bands(sampled: DataFrame, key: list[str], n: int, bands: dict[str, float] = BANDS) -> DataFrame:
     """Quantile bands of the predicted final volume per ``key``.
 
-    The volume rises with the net rate, so only the rates are gathered (exactly ``n``
+    The volume rises with the net rate, so up to ``GATHERED`` particles only the rates are gathered (exactly ``n``
     doubles per key, a fixed parameter) and only the order statistics that a band
-    needs are turned into volumes.
+    needs are turned into volumes. More are counted in slices where they are drawn.
     """
+    if n > GATHERED:
+        rate = F.expr("growth - sensitivity * (1.0D - resistant)")
+        return quantiles(sampled, key, {"v": predicted_volume(F.col("days"), F.col("baseline_volume_ml"), rate)}, bands).select(*key, *[F.col(f"v_{b}").alias(b) for b in bands])
     rates = (sampled.select(*key, "days", "baseline_volume_ml",
                             F.expr("growth - sensitivity * (1.0D - resistant)").alias("rate"))
              .groupBy(*key, "days", "baseline_volume_ml")

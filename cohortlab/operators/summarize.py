@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.numeric import ratio_or
-from cohortlab.operators.scale import attach, exact_quantiles
+from cohortlab.operators.ranks import quantiles_of
+from cohortlab.operators.scale import attach
 
 BANDS = {"lo95": 0.025, "lo80": 0.1, "median": 0.5, "hi80": 0.9, "hi95": 0.975}
 # Fixed value: the line every summary carries.
@@ -14,7 +15,7 @@ STANDING_WARNING = "Exploratory simulation; parameters are not clinically valida
 
 def bands_by_day(df: DataFrame, case: list[str], day: str, value: str) -> DataFrame:
     """Median, 80% and 95% bands and the 80% width per case and day."""
-    out = exact_quantiles(df, [*case, day], value, BANDS)
+    out = quantiles_of(df, [*case, day], value, BANDS)
     return out.withColumn("width80", F.col("hi80") - F.col("lo80"))
 
 
@@ -40,7 +41,7 @@ def last_day_rows(df: DataFrame, case: list[str], day: str) -> DataFrame:
 def tail_share(last: DataFrame, case: list[str], value: str, threshold: float = 1.0) -> DataFrame:
     """Share of particles below the threshold on the last day, with its distribution."""
     share = last.groupBy(*case).agg(F.avg((F.col(value) < threshold).cast("double")).alias("share_below"))
-    return exact_quantiles(last, case, value, BANDS).join(share, case)
+    return quantiles_of(last, case, value, BANDS).join(share, case)
 
 
 def abs_correlation(x: str, y: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.numeric import significant
 from cohortlab.operators import metrics, trends
-from cohortlab.operators.scale import exact_quantiles
+from cohortlab.operators.ranks import quantiles_of
 from cohortlab.plans import standins as S
 from cohortlab.plans.registry import R, in_nine, nine, query, rounded, table
 from cohortlab.session import materialize
@@ -207,10 +207,10 @@ def param_stability(spark, sf):
   UNION ALL SELECT 3, 'best_method', (SELECT method FROM m ORDER BY e, method LIMIT 1)
   UNION ALL SELECT 4, 'best_variant', (SELECT variant FROM v ORDER BY e, variant LIMIT 1)""")
 def insight_rows(spark, sf):
-    methods = exact_quantiles(materialize(series_long(spark, sf)), ["method"], "abs_error", {"median_abs_error": 0.5})
+    methods = quantiles_of(materialize(series_long(spark, sf)), ["method"], "abs_error", {"median_abs_error": 0.5})
     table_ = runs(spark, sf)
-    variants = exact_quantiles(table_, ["variant"], "posterior_heldout_error_ml", {"median_error": 0.5})
-    overall = exact_quantiles(table_.withColumn("g", F.lit(0)), ["g"], "ess_fraction", {"median_ess_fraction": 0.5})
+    variants = quantiles_of(table_, ["variant"], "posterior_heldout_error_ml", {"median_error": 0.5})
+    overall = quantiles_of(table_.withColumn("g", F.lit(0)), ["g"], "ess_fraction", {"median_ess_fraction": 0.5})
     return metrics.insight_rows(methods, variants, overall, "linear", "last_observation")
 
 
