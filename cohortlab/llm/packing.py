@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections import Counter
@@ -18,10 +19,18 @@ from cohortlab.llm import arrow
 from cohortlab.llm.bpe import byte_letters
 from cohortlab.session import materialize
 
+# How the vocabulary's file normalizes and parts a text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Words, and lower-case words without marks, whose ids a worker remembers; beyond it all are forgotten.
-MAX_WORDS, MAX_CORES = 250_000, 900_000
+MAX_WORDS, MAX_CORES = 600_000, 900_000
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+RUN = 1 << 22
 #: Marks that are a token of their own after a letter.
 MARKS = frozenset(".,;:!?")
+IS_MARK = np.isin(np.arange(256), [ord(m) for m in MARKS])
 LETTERS = {b: c for c, b in byte_letters().items()}
 #: Rows of one (length, salt) group on average at most.
 GROUP_ROWS = 20_000
@@ -36,16 +45,26 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 class Words:
-    """Ids of texts, word by word: white space parts words, and the tokenizer never looks over it."""
+    """Ids of texts, word by word: white space parts words, and the tokenizer never looks over it.
+
+    The ids of all words seen lie one after the other in one array; a batch looks up its distinct words and gathers the rest.
+    """
 
     kept: dict[str, Words] = {}
 
     def __init__(self, path: str) -> None:
+        check_vocabulary(path, "normalizer", NORMALIZER)
+        check_vocabulary(path, "pre_tokenizer", PRE_TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids = np.empty(0, "<u4")
+        self.starts = self.sizes = np.empty(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> Words:
@@ -53,35 +72,77 @@ class Words:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _cores(self, word: str) -> list[str] | None:
-        """Lower-case letters, and a mark after them, that are one token run each; None for any other word."""
+    def _core(self, word: str) -> str | None:
+        """The lower-case letters that one run of the merges turns into ids; None for a word that is not letters alone."""
+        if word.isascii():
+            return word.lower() if word.isalpha() or word in MARKS else None
         lower = word.lower()
-        body = lower[:-1] if lower[-1] in MARKS else lower
-        if body.isalpha() and "\u03a3" not in word and is_normalized("NFC", word):
-            return [body] if len(body) == len(lower) else [body, lower[-1]]
-        return None
+        return lower if lower.isalpha() and "\u03a3" not in word and is_normalized("NFC", word) else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian 32-bit integers."""
-        if len(self.ids) > MAX_WORDS:
-            self.ids.clear()
+    def _learn(self, words: list[str]) -> None:
+        """Take in words that are new."""
         if len(self.cores) > MAX_CORES:
             self.cores.clear()
-        parted = [t.encode().split() for t in texts]
-        cores, others, run = {}, [], self.tokenizer.model.tokenize
-        for w in set().union(*parted) - self.ids.keys():
-            if (own := self._cores(w.decode())) is None:
-                others.append(w)
-            else:
-                cores[w] = own
-        for core in {c for cs in cores.values() for c in cs} - self.cores.keys():
-            letters = core if core.isascii() else core.encode().decode("latin-1").translate(LETTERS)
-            self.cores[core] = pack_ids([t.id for t in run(letters)])
-        self.ids.update((w, b"".join([self.cores[c] for c in cs])) for w, cs in cores.items())
-        for w, got in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
-            self.ids[w] = pack_ids(got.ids)
-        known = self.ids.__getitem__
-        return [b"".join(map(known, words)) for words in parted]
+        run, cores, got, others = self.tokenizer.model.tokenize, self.cores, [], []
+        for word in words:
+            core = self._core(word)
+            if core is None:
+                others.append(len(got))
+                got.append(b"")
+                continue
+            ids = cores.get(core)
+            if ids is None:
+                letters = core if core.isascii() else core.encode().decode("latin-1").translate(LETTERS)
+                ids = cores[core] = pack_ids([t.id for t in run(letters)])
+            got.append(ids)
+        for at, e in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False), strict=True):
+            got[at] = pack_ids(e.ids)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+
+    def encode(self, data: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the texts that start at ``rows`` in the bytes, each with ``end`` after it, and where each text starts in them."""
+        start, stop, row = parted(data, rows)
+        slices = pa.Array.from_buffers(pa.large_string(), 2 * len(start), [None, pa.py_buffer(np.append(np.stack([start, stop], 1).ravel(), len(data))), pa.py_buffer(data)])
+        coded = pc.dictionary_encode(slices.take(pa.array(np.arange(0, 2 * len(start), 2))))
+        distinct = coded.dictionary.to_pylist()
+        if len(self.slots) > MAX_WORDS:
+            self._forget()
+        new = [w for w in distinct if w not in self.slots]
+        if new:
+            self._learn(new)
+        slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.sizes[slot]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        texts = np.arange(len(rows))
+        first = before[np.searchsorted(row, texts)] + texts  # each text before adds its end
+        out = np.full(first[-1], end, "<u4")
+        shift = np.repeat(self.starts[slot] - before[:-1], sizes)
+        at = np.arange(before[-1])
+        out[at + np.repeat(row, sizes)] = self.ids[at + shift]
+        return out, first
+
+
+def parted(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word in the bytes; a mark that ends a word after an ASCII letter or digit is a word of its own."""
+    start, stop, before = arrow.words(data, rows)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(before))
+    split = np.flatnonzero((stop - start > 1) & IS_MARK[data[stop - 1]] & ~arrow.NOT_ALNUM[data[stop - 2]] & (data[stop - 2] < 128)) if len(start) else start
+    at = split + np.arange(1, len(split) + 1)  # where the marks come among the words
+    out = [np.insert(start, split + 1, stop[split] - 1), np.insert(stop, split + 1, stop[split]), np.insert(row, split + 1, row[split])]
+    out[1][at - 1] -= 1
+    return out[0], out[1], out[2]
+
+
+def check_vocabulary(path: str, part: str, wanted) -> None:
+    """The code here stands for one way of parting texts; a file that parts them otherwise is refused."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)[part]
+    if found != wanted:
+        raise ValueError(f"{path}: unexpected {part} {found}")
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -94,22 +155,28 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     A document is its ids, then ``end``; a null or empty text is that one id. Rows with equal or null
     doc_id are documents of their own.
     """
-    tail = np.array([end], "<u4").tobytes()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pc.fill_null(batch.column("text"), "").to_pylist()
-        rows = []
-        for i, ids in enumerate(Words.at(path).encode(texts)):
-            ids += tail
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                cut = ids[at : at + 4 * capacity]
-                rows.append((i, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-        of, *cells = zip(*rows, strict=True)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([batch.column("doc_id").take(pa.array(of)), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))],
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(ids: pa.Array, data: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        tokens, first = Words.at(path).encode(data, rows, end)
+        held = np.diff(first)
+        parts = -(-held // capacity)
+        of = np.repeat(np.arange(len(held)), parts)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = piece * capacity
+        length = np.minimum(held[of] - start, capacity)
+        whole, at = memoryview(tokens).cast("B"), (first[of] + start) * 4
+        crc = [zlib.crc32(whole[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+        return pa.record_batch([ids.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                                names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow.map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECE}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, rows in arrow.chunks(batch.column("text"), RUN):
+                yield cut(batch.column("doc_id").slice(row, stop - row), data, rows)
+
+    arrow.prepare(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECE}")
 
 
 Bins = list[tuple[tuple[int, ...], int]]
@@ -369,8 +436,8 @@ def placed(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     bins, _ = pack(counts, capacity)
     runs = spark.sparkContext.broadcast(slots(bins))
-    salts = sum(counts.values()) // GROUP_ROWS + 1
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    salts = F.array(*[F.lit(counts.get(n, 0) // GROUP_ROWS + 1) for n in range(1, capacity + 1)])  # by length
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.element_at(salts, F.col("length").cast("int")).cast("bigint")))
     totals = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     bases = totals.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in rows.columns if c != "length"])))
