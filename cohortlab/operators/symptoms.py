@@ -1,84 +1,46 @@
-"""Trends over symptom logs, safe for a person with very many entries.
+"""Trends over symptom logs, safe for a person, or one hour of a person, with very many entries.
 
-Logs are cut into time slices per key. Each slice is summarised; summaries (one per
-slice) are combined along time; where rows need what came before, they get it from
-the previous slices. No window ever spans more than one slice of one key.
+What a row needs from the rows before it comes from segmented scans (``scan``): logs are dealt to ranges of person and time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlab.operators import scan
 from cohortlab.operators.scale import attach
 
 
-def slice_of(ts: Column, unit: str = "hour") -> Column:
-    return F.date_trunc(unit, ts)
+def asof_previous(df: DataFrame, key: list[str], ts: str, tie: str, event: Column, value: Column, name: str) -> DataFrame:
+    """Add the ``value`` of the latest earlier (or same) row where ``event`` holds; rows are ordered by ``ts`` and ``tie``."""
+    return scan.last_value(scan.ranged(df, key, [ts, tie]), key, [ts, tie], F.when(event, value), name)
 
 
-def asof_previous(df: DataFrame, key: list[str], ts: str, tie: str, event: Column, value: Column,
-                  name: str, unit: str = "hour") -> DataFrame:
-    """Add the ``value`` of the latest earlier (or same) row where ``event`` holds.
+def longest_run(df: DataFrame, key: list[str], ts: str, tie: str, high: Column) -> DataFrame:
+    """Longest row of consecutive entries where ``high`` holds, per key."""
+    return scan.longest_run(scan.ranged(df, key, [ts, tie]), key, [ts, tie], high)
 
-    Rows are ordered by ``ts`` and ``tie``. Slices carry their last event forward.
-    """
-    rows = df.withColumns({"a_slice": slice_of(F.col(ts), unit), "a_value": F.when(event, value)})
-    last = rows.groupBy(*key, "a_slice").agg(
-        F.max_by("a_value", F.when(event, F.struct(ts, tie))).alias("a_last"))
-    before = Window.partitionBy(*key).orderBy("a_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*key, "a_slice", F.last("a_last", ignorenulls=True).over(before).alias("a_carry"))
-    inside = Window.partitionBy(*key, "a_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    met = attach(rows, carry, [*key, "a_slice"])
-    return met.withColumn(name, F.coalesce(F.last("a_value", ignorenulls=True).over(inside), F.col("a_carry"))).drop(
-        "a_slice", "a_value", "a_carry")
-
-
-def longest_run(df: DataFrame, key: list[str], ts: str, tie: str, high: Column, unit: str = "hour") -> DataFrame:
-    """Longest row of consecutive entries where ``high`` holds, per key.
-
-    A slice is described by its length, the run at its start, the run at its end and
-    its best run; these combine along time like the rows themselves would.
-    """
-    rows = df.withColumns({"r_slice": slice_of(F.col(ts), unit), "r_high": high.cast("int")})
-    part = Window.partitionBy(*key, "r_slice")
-    along = part.orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"r_pos": F.row_number().over(part.orderBy(ts, tie)),
-                             "r_breaks": F.sum(1 - F.col("r_high")).over(along)})
-    runs = rows.groupBy(*key, "r_slice", "r_breaks").agg(F.sum("r_high").alias("run"))
-    slices = runs.groupBy(*key, "r_slice").agg(
-        F.max("run").alias("best"), F.min(F.struct("r_breaks", "run")).alias("lead"),
-        F.max_by("run", "r_breaks").alias("tail"), F.max("r_breaks").alias("breaks"))
-    head = F.when(F.col("lead.r_breaks") == 0, F.col("lead.run")).otherwise(0)
-    packed = slices.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
-        "r_slice", "best", head.alias("head"), "tail", "breaks"))).alias("parts"))
-    start = F.struct(F.lit(0).cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("open"))
-    walk = F.aggregate("parts", start, lambda a, p: F.struct(
-        F.greatest(a["best"], p["best"], a["open"] + p["head"]).alias("best"),
-        F.when(p["breaks"] == 0, a["open"] + p["tail"]).otherwise(p["tail"]).alias("open")))
-    return packed.select(*key, walk["best"].alias("longest_run"))
-
-
-def longest_gap(df: DataFrame, key: list[str], ts: str, unit: str = "hour") -> DataFrame:
+
+def longest_gap(df: DataFrame, key: list[str], ts: str) -> DataFrame:
     """Longest time between neighbouring entries in seconds, per key."""
-    rows = df.select(*key, slice_of(F.col(ts), unit).alias("g_slice"), F.unix_micros(F.col(ts)).alias("t"))
-    prev = F.lag("t").over(Window.partitionBy(*key, "g_slice").orderBy("t"))
-    slices = rows.withColumn("gap", F.col("t") - prev).groupBy(*key, "g_slice").agg(
-        F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("gap").alias("gap"))
-    between = F.col("lo") - F.lag("hi").over(Window.partitionBy(*key).orderBy("g_slice"))
-    return slices.withColumn("between", between).groupBy(*key).agg(
-        (F.max(F.greatest("gap", "between")) / 1e6).alias("longest_gap"))
+    return _in_seconds(scan.longest_step(scan.ranged(df, key, [ts]), key, F.unix_micros(F.col(ts))), key)
+
+
+def _in_seconds(steps: DataFrame, key: list[str]) -> DataFrame:
+    return steps.select(*key, (F.col("longest_step") / 1e6).alias("longest_gap"))
 
 
 def symptom_flags(df: DataFrame, person: str, symptom: str, ts: str, tie: str, severity: str,
-                  rise: float, high: float, n_high: int, gap_seconds: float, unit: str = "hour") -> DataFrame:
+                  rise: float, high: float, n_high: int, gap_seconds: float) -> DataFrame:
     """Per person and symptom: first seen, worsened over baseline, stayed high, gap in the log."""
     key = [person, symptom]
     sums = df.groupBy(*key).agg(
         F.count("*").alias("n_entries"), F.min(ts).alias("first_seen"),
         F.min_by(severity, F.struct(ts, tie)).alias("baseline_severity"),
         F.max(severity).alias("peak_severity"))
-    runs = longest_run(df, key, ts, tie, F.col(severity) >= high, unit)
-    gaps = longest_gap(df, key, ts, unit)
+    rows = scan.ranged(df.select(*key, ts, tie, severity), key, [ts, tie])
+    runs = scan.longest_run(rows, key, [ts, tie], F.col(severity) >= high)
+    gaps = _in_seconds(scan.longest_step(rows, key, F.unix_micros(F.col(ts))), key)
     out = attach(attach(sums, runs, key), gaps, key)
     return out.withColumns({"worsened": F.col("peak_severity") - F.col("baseline_severity") >= rise,
                             "stayed_high": F.col("longest_run") >= n_high,

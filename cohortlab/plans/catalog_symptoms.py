@@ -10,7 +10,7 @@ from cohortlab.plans import standins as S
 from cohortlab.plans.catalog_ensemble import predictions, weights_sql
 from cohortlab.plans.registry import R, query, rounded, table
 from cohortlab.session import scratch
-from cohortlab.streaming import checkins, updates
+from cohortlab.streaming import checkins, flags, updates
 
 HIGH, N_HIGH, RISE, GAP = 60.0, 2, 40.0, 86400.0 * 5
 
@@ -19,13 +19,22 @@ RUN = f"""SELECT user_id, event_type, max(r) AS longest_run FROM (SELECT user_id
 GAPS = """SELECT user_id, event_type, max(g) / 1e6 AS longest_gap FROM (SELECT user_id, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) GROUP BY ALL"""
 
 
-@query("symptom_flags", f"""SELECT user_id, event_type, n_entries, baseline_severity, peak_severity, longest_run::BIGINT AS longest_run, {R('longest_gap', 6)} AS longest_gap,
-  peak_severity - baseline_severity >= {RISE} AS worsened, longest_run >= {N_HIGH} AS stayed_high, coalesce(longest_gap > {GAP}, false) AS log_gap FROM (
-  SELECT user_id, event_type, count(*) AS n_entries, max(CASE WHEN r = 1 THEN value END) AS baseline_severity, max(value) AS peak_severity FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) GROUP BY ALL) JOIN ({RUN}) USING (user_id, event_type) JOIN ({GAPS}) USING (user_id, event_type)""")
+FLAGS = f"""SELECT user_id, event_type, n_entries, baseline_severity, peak_severity, longest_run::BIGINT AS longest_run, {R('longest_gap', 6)} AS longest_gap,
+  peak_severity - baseline_severity >= {RISE} AS worsened, longest_run >= {N_HIGH} AS stayed_high, coalesce(longest_gap > {GAP}, false) AS log_gap, first_seen::VARCHAR AS first_seen FROM (
+  SELECT user_id, event_type, count(*) AS n_entries, max(CASE WHEN r = 1 THEN value END) AS baseline_severity, max(value) AS peak_severity, date_trunc('second', min(ts)) AS first_seen FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) GROUP BY ALL) JOIN ({RUN}) USING (user_id, event_type) JOIN ({GAPS}) USING (user_id, event_type)"""
+#: Entries that the stream's watermark has passed at the end.
+CLOSED = "(SELECT * FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR)"
+
+
+def _seen(df):
+    return rounded(df.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")), 6, ["longest_gap"])
+
+
+@query("symptom_flags", FLAGS)
 def symptom_flags(spark, sf):
     got = symptoms.symptom_flags(S.events(spark, sf), "user_id", "event_type", "ts", "event_id", "value", RISE, HIGH, N_HIGH, GAP)
-    return rounded(got.drop("first_seen"), 6, ["longest_gap"])
+    return _seen(got)
 
 
 @query("new_symptoms", """SELECT user_id, event_type, n_entries, date_diff('day', min(first) OVER (PARTITION BY user_id)::DATE, first::DATE) >= 2 AS is_new FROM (
@@ -61,10 +70,10 @@ VISIT = "2024-01-20 00:00:00"
 
 
 @query("visit_summary", f"""SELECT user_id, event_type, count(*) AS n_entries, {R('avg(value)')} AS mean_severity, max(value) AS peak_severity,
-  count(DISTINCT CASE WHEN ts >= TIMESTAMP '{VISIT}' - INTERVAL 7 DAY AND value < 20 THEN ts::DATE END) AS low_days_of_last_7 FROM events WHERE ts < TIMESTAMP '{VISIT}' GROUP BY ALL""")
+  date_trunc('second', min(ts))::VARCHAR AS first_seen, count(DISTINCT CASE WHEN ts >= TIMESTAMP '{VISIT}' - INTERVAL 7 DAY AND value < 20 THEN ts::DATE END) AS low_days_of_last_7 FROM events WHERE ts < TIMESTAMP '{VISIT}' GROUP BY ALL""")
 def visit_summary(spark, sf):
     got = symptoms.visit_summary(S.events(spark, sf), "user_id", "event_type", "ts", "value", F.lit(VISIT).cast("timestamp"), 20.0)
-    return rounded(got.drop("first_seen"))
+    return rounded(got.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss")))
 
 
 WEIGHT = {"click": 0.5, "view": 0.25, "purchase": 1.0, "error": 2.0}
@@ -101,6 +110,28 @@ def stream_checkins(spark, sf):
     return rounded(got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "mean_value"))
 
 
+@query("stream_sliding", f"""SELECT w::VARCHAR AS window_start, event_type, count(*) AS n, {R('avg(value)')} AS mean_value FROM (
+  SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR * unnest([0, 1, 2]) AS w FROM events)
+  WHERE w + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+def stream_sliding(spark, sf):
+    """Six-hour windows every two hours; those that the watermark has closed."""
+    windows = checkins.window_averages(checkins.clean(_events_stream(spark, sf)), ["event_type"], "ts", "value", "6 hours", "2 hours")
+    home = _fresh(spark)
+    checkins.drain(windows, f"{home}/out", f"{home}/state")
+    got = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n bigint, mean_value double").parquet(f"{home}/out")
+    return rounded(got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "mean_value"))
+
+
+@query("stream_trend_flags", FLAGS.replace("FROM events", f"FROM {CLOSED}"))
+def stream_trend_flags(spark, sf):
+    """The flags of each person and symptom after all entries that the watermark has passed."""
+    home = _fresh(spark)
+    updates_ = flags.trend_flags(_events_stream(spark, sf), "user_id", "event_type", "ts", "event_id", "value", RISE, HIGH, N_HIGH, GAP)
+    flags.run(updates_, f"{home}/out", f"{home}/state")
+    got = spark.read.schema(updates_.schema).parquet(f"{home}/out")
+    return _seen(flags.flags_now(got, "user_id", "event_type").drop("last_seen", "changed", "closed"))
+
+
 @query("stream_sessions", """WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM (
     SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events))
   SELECT user_id, n_sessions, n_entries FROM (SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_entries FROM (SELECT user_id, sid, count(*) AS n, max(ts) + INTERVAL 12 HOUR AS e FROM s GROUP BY ALL)

@@ -26,7 +26,8 @@ EPOCH = datetime(1970, 1, 1)
 class TrendFlags(StatefulProcessor):
     """One row per person and symptom whenever entries were taken in: the facts, the flags, and whether a flag changed."""
 
-    def __init__(self, tie: str, rise: float, high: float, n_high: int, gap_seconds: float, forget_days: int | None) -> None:
+    def __init__(self, key: list[str], tie: str, rise: float, high: float, n_high: int, gap_seconds: float, forget_days: int | None) -> None:
+        self.names = [*key, *[c.split()[0] for c in OUTPUT.split(", ")]]
         self.entry = f"at long, tie {tie}, severity double"
         self.rise, self.high, self.n_high = rise, high, n_high
         self.gap = int(gap_seconds * 1_000_000)
@@ -49,21 +50,29 @@ class TrendFlags(StatefulProcessor):
         due = [e for e in entries if e[0] <= now * 1000]
         facts = list(self.facts.get()) if self.facts.exists() else None
         if due:
-            after = entries[len(due):]
             self.waiting.clear()
-            if after:
+            if after := entries[len(due):]:
                 self.waiting.put(after)
                 self._wake_at(after[0][0] // 1000 + 1)
-            before = tuple(facts[-3:]) if facts else (False, False, False)
-            for entry in due:
-                facts = self._taken(facts, entry)
-            self.facts.update(tuple(facts))
-            if self.forget is not None:
-                self._wake_at(facts[1] // 1000 + 1 + self.forget)
-            yield self._row(key, facts, tuple(facts[-3:]) != before, False)
-        elif facts and not entries and self.forget is not None and facts[1] // 1000 + self.forget < now:
+        flags = tuple(facts[-3:]) if facts else (False,) * 3
+        for i, entry in enumerate(due):
+            if facts and self._silent(facts, entry[0] // 1000):
+                yield self._row(key, facts, False, True)
+                facts, flags = None, (False,) * 3
+            facts = self._taken(facts, entry)
+            if i + 1 == len(due) or self._silent(facts, due[i + 1][0] // 1000):
+                yield self._row(key, facts, tuple(facts[-3:]) != flags, False)
+        if facts and self._silent(facts, now):
             self.facts.clear()
             yield self._row(key, facts, False, True)
+        elif due:
+            self.facts.update(tuple(facts))
+            if self.forget is not None:
+                self._wake_at(facts[1] // 1000 + self.forget + 2)
+
+    def _silent(self, facts: list, ms: int) -> bool:
+        """At this time the log counts as ended; every entry still to come is later."""
+        return self.forget is not None and facts[1] // 1000 + self.forget < ms
 
     def close(self) -> None:
         pass
@@ -88,7 +97,8 @@ class TrendFlags(StatefulProcessor):
     def _row(self, key, facts: list, changed: bool, closed: bool) -> Row:
         first, last, n, baseline, peak, _, longest, gap, *flags = facts
         time = lambda us: EPOCH + timedelta(microseconds=us)
-        return Row(*key, time(first), time(last), n, baseline, peak, longest, None if gap is None else gap / 1e6, *flags, changed, closed)
+        values = (*key, time(first), time(last), n, baseline, peak, longest, None if gap is None else gap / 1e6, *flags, changed, closed)
+        return Row(**dict(zip(self.names, values, strict=True)))
 
 
 @contextmanager
@@ -114,7 +124,7 @@ def trend_flags(entries: DataFrame, person: str, symptom: str, ts: str, tie: str
         *key, F.col(ts), F.unix_micros(F.col(ts)).alias("at"), F.col(tie).alias("tie"), F.col(severity).cast("double").alias("severity"))
     kinds = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in key)
     return rows.groupBy(*key).transformWithState(
-        statefulProcessor=TrendFlags(entries.schema[tie].dataType.simpleString(), rise, high, n_high, gap_seconds, forget_days), outputStructType=f"{kinds}, {OUTPUT}", outputMode="Append", timeMode="EventTime")
+        statefulProcessor=TrendFlags(key, entries.schema[tie].dataType.simpleString(), rise, high, n_high, gap_seconds, forget_days), outputStructType=f"{kinds}, {OUTPUT}", outputMode="Append", timeMode="EventTime")
 
 
 def run(stream: DataFrame, out: str, checkpoint: str) -> int:
