@@ -131,6 +131,52 @@ def stratum_curves(df: DataFrame, strata: list[str], day: str, bin_days: int, tr
         F.avg(ratio).alias("mean_ratio"), F.count("*").alias("n_rows"))
 
 
+def level_names(dims: list[str]) -> dict[int, str]:
+    """Levels of the lattice over ``dims`` by the mask of dimensions left out, the most specific first; the last is the population."""
+    n = len(dims)
+    masks = sorted(range(1 << n), key=lambda m: (bin(m).count("1"), m))
+    return {m: "+".join(d for i, d in enumerate(dims) if not m >> (n - 1 - i) & 1) or "population" for m in masks}
+
+
+def curve_lattice(df: DataFrame, dims: list[str], day: str, bin_days: int, train: Column) -> DataFrame:
+    """Mean response ratio per day bin for every subset of the dimensions, down to the population, in one pass over training rows.
+
+    ``mask`` says which dimensions are left out (as in ``level_names``); they are null then, like a stratum whose value is null.
+    """
+    rows = df.select(*dims, F.floor(F.col(day) / bin_days).alias("day_bin"), F.try_divide(F.col("volume_ml"), F.col("baseline_volume_ml")).alias("ratio"),
+                     train.alias("train")).filter(F.col("train") & F.col("ratio").isNotNull() & F.col("day_bin").isNotNull())
+    kept = lambda m: [F.col(d) for i, d in enumerate(dims) if not m >> (len(dims) - 1 - i) & 1]
+    sets = [[*kept(m), F.col("day_bin")] for m in level_names(dims)]
+    return rows.groupingSets(sets, *[F.col(d) for d in dims], F.col("day_bin")).agg(
+        F.shiftright(F.grouping_id(), 1).cast("int").alias("mask"), F.avg("ratio").alias("mean_ratio"), F.count("*").alias("n_rows"))
+
+
+def stratum_forecast(targets: DataFrame, curves: DataFrame, dims: list[str], day: str, bin_days: int, min_rows: int, reach: int = 1) -> DataFrame:
+    """``targets`` with the forecast ``point`` for ``day``, the ``level`` and the ``used_bin`` it comes from.
+
+    Of the strata of a row, from the most specific to the population, the first decides that has a bin of at least ``min_rows`` training
+    rows within ``reach`` bins of the day; of its bins the nearest, the earlier on ties. A row without any has a null forecast.
+    A stratum's curve is one row: it has as many bins as the study is long.
+    """
+    at, picks = F.floor(F.col(day) / bin_days), []
+    packed = F.array_sort(F.collect_list(F.struct("day_bin", "mean_ratio")))
+    for i, (mask, name) in enumerate(level_names(dims).items()):
+        held = curves.filter((F.col("mask") == mask) & (F.col("n_rows") >= min_rows))
+        bins = f"c_bins{i}"
+        if name == "population":
+            targets = targets.withColumn(bins, held.agg(packed.alias(bins)).scalar())
+        else:
+            targets = attach(targets, held.groupBy(*name.split("+")).agg(packed.alias(bins)), name.split("+"))
+        off = lambda x: F.abs(x["day_bin"] - at)
+        none = F.lit(None).cast("struct<day_bin:bigint,mean_ratio:double>")
+        near = F.aggregate(bins, none, lambda best, x: F.when((off(x) <= reach) & (best.isNull() | (off(x) < off(best))), x).otherwise(best))
+        targets = targets.withColumn(f"c_near{i}", near).drop(bins)
+        picks.append(F.when(F.col(f"c_near{i}").isNotNull(), F.struct(F.lit(name).alias("level"), F.col(f"c_near{i}").alias("bin"))))
+    got = targets.withColumn("c_pick", F.coalesce(*picks)).drop(*[f"c_near{i}" for i in range(len(picks))])
+    return got.withColumns({"level": F.col("c_pick.level"), "used_bin": F.col("c_pick.bin.day_bin"),
+                            "point": F.col("baseline_volume_ml") * F.col("c_pick.bin.mean_ratio")}).drop("c_pick")
+
+
 def manifest(sources: dict[str, DataFrame], required: list[str]) -> DataFrame:
     """One table of several sources with missingness and label flags per row."""
     parts = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]

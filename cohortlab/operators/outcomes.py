@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.numeric import CENTRAL_Z
-from cohortlab.operators.ranks import order_statistic
+from cohortlab.operators.ranks import order_statistic, quantiles
 from cohortlab.operators.scale import attach, prefix_totals
+from cohortlab.session import materialize
 
 
 def probabilistic_scores(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,6 +142,23 @@ def scenario_rank(scored: DataFrame, case: list[str], weights=(1.0, 0.5, 0.25))
     return scored.withColumn("rank", F.row_number().over(order))
 
 
+def scenario_bands(draws: DataFrame, case: list[str], particle: str, scenario: str, value: str, probs: dict[str, float] | None = None) -> DataFrame:
+    """Scenarios compared under the same draws: bands of the value, chance to be the best, bands of the rank.
+
+    ``draws`` has one row per case, particle and scenario. A particle ranks the scenarios it has a value for, ties by
+    name; it has as many as there are candidates, whatever the number of particles.
+    """
+    probs = probs or {"lo": 0.1, "mid": 0.5, "hi": 0.9}
+    rows = draws.filter(F.col(value).isNotNull()).groupBy(*case, particle).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), F.col(scenario).alias("s")))).alias("all"))
+    rows = materialize(rows.select(*case, F.posexplode("all").alias("at", "x")).select(
+        *case, F.col("x.s").alias(scenario), (-F.col("x.neg")).alias(value), (F.col("at") + 1).cast("double").alias("rank")))
+    keys = [*case, scenario]
+    best = rows.groupBy(*keys).agg(F.count("*").alias("n_particles"), F.avg((F.col("rank") == 1).cast("double")).alias("chance_best"), F.avg("rank").alias("mean_rank"))
+    bands = quantiles(rows, keys, {value: F.col(value), "rank": F.col("rank")}, probs).drop(f"n_{value}", "n_rank")
+    return attach(best, bands, keys)
+
+
 def edge_rollup(genes: DataFrame, gene_pathway: DataFrame, pathway_phenotype: DataFrame) -> DataFrame:
     """Sum of signed weights along gene -> pathway -> phenotype per case.
 
