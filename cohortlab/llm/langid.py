@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,14 +51,20 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over all rows, added up within each batch before they are shuffled."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, word, distinct = words_of(batch.column("text"))
-        lang = pc.dictionary_encode(batch.column("lang"))
+    def count(langs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        row, word, distinct = words_of(texts)
+        lang = pc.dictionary_encode(langs)
         both, n = np.unique(lang.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64) * max(1, len(distinct)) + word, return_counts=True)
         of, at = np.divmod(both, max(1, len(distinct)))
         return pa.record_batch({"lang": lang.dictionary.take(pa.array(of)), "word": distinct.take(pa.array(at)).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
-    counted = arrow.map_batches(docs.select("lang", "text"), count, "lang string, word string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, _, _ in arrow.chunks(batch.column("text")):
+                yield count(*(batch.column(c).slice(row, stop - row) for c in ("lang", "text")))
+
+    arrow.prepare(docs.sparkSession)
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -185,6 +192,10 @@ class Identifier:
 
     def measure(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: number of the best language (-1: no letter), its cross-entropy per character, the margin to the second, characters."""
+        parts = [self._measure(texts.slice(row, stop - row)) for row, stop, _, _ in arrow.chunks(texts)]
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else self._measure(texts)
+
+    def _measure(self, texts: pa.Array) -> dict[str, np.ndarray]:
         row, word, distinct = words_of(texts)
         best, ce, margin, chars = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if len(distinct) and self.models:
