@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,23 @@ class CuckooFilter:
         return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(1)
 
     def insert(self, keys: np.ndarray) -> None:
-        """Put in distinct keys that are not yet there; the table doubles when a key finds no place."""
-        mark, one, _ = self._places(keys)
-        for m, b in zip(mark.tolist(), one.tolist(), strict=True):
+        """Put in distinct keys that are not yet there.
+
+        All keys try the free places of their first bucket at once, then those of their second; the few
+        that find none push others on, one by one.
+        """
+        mark, one, two = self._places(keys)
+        left = np.arange(len(keys))
+        for bucket in (one, two):
+            order = left[np.argsort(bucket[left], kind="stable")]
+            b = bucket[order]
+            turn = np.arange(len(b)) - np.searchsorted(b, b)  # which of the keys of its bucket it is
+            free = np.cumsum(self.table[b] == 0, axis=1)
+            fits = turn < free[:, -1]
+            slot = np.argmax(free == (turn + 1)[:, None], axis=1)
+            self.table[b[fits], slot[fits]] = mark[order[fits]]
+            left = np.sort(order[~fits])
+        for m, b in zip(mark[left].tolist(), one[left].tolist(), strict=True):
             if not self._put(m, b):
                 raise OverflowError("the filter is full; build it with a larger capacity")
 
@@ -132,83 +146,167 @@ def postings(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return arrow.map_batches(rows, lambda batch: _postings(batch, min_chars), POSTING)
 
 
-def insert(state: DataFrame | None, docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """The postings with those of new documents."""
-    new = postings(docs, min_chars)
-    return materialize(new if state is None else state.unionByName(new))
-
-
-def delete(state: DataFrame, gone: DataFrame) -> DataFrame:
-    """The postings without those of the documents in ``gone`` (doc_id); their lines count no longer."""
-    return materialize(state.join(gone.select("doc_id").distinct(), "doc_id", "left_anti"))
-
-
-def references(state: DataFrame) -> DataFrame:
-    """Exact table: documents that hold each key, and the largest doc_id of them."""
-    return state.filter("first").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-
-
-def _shard_state(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["k1", "k2"])
-    k1, k2 = rows["k1"].to_numpy(np.int64), rows["k2"].to_numpy(np.int64)
-    made = CuckooFilter.of(np.unique(k1 ^ k2))
-    null = rows["keeper"].isna().to_numpy()
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n": [len(rows)], "buckets": [len(made.table)], "filter": [made.table.tobytes()],
-                         "k1": [k1.tobytes()], "k2": [k2.tobytes()], "keeper": [rows["keeper"].fillna(0).to_numpy(np.int64).tobytes()], "unkept": [null.tobytes()]})
+@dataclass(frozen=True)
+class State:
+    """Lines of the documents that are in, and one row per shard: its exact table of all keys and a filter of those that repeat.
 
+    ``postings`` and ``shards`` are written down. A shard's ``version`` says how often it has changed.
+    """
 
-def filters(refs: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: a cuckoo filter of its keys and the exact table behind it, as bytes."""
-    arrow.prepare(refs.sparkSession)
-    keyed = refs.select(_shard(shards).alias("shard"), "k1", "k2", "keeper")
-    return keyed.groupBy("shard").applyInPandas(_shard_state, "shard long, n long, buckets long, filter binary, k1 binary, k2 binary, keeper binary, unkept binary")
+    postings: DataFrame
+    shards: DataFrame
+    n_shards: int
+    min_docs: int
+
+
+KEYS = np.dtype([("k1", np.int64), ("k2", np.int64)])
+SHARD = "shard long, version long, n long, filter binary, k1 binary, k2 binary, n_docs binary, keeper binary, unkept binary"
+
+
+class Shard:
+    """Sorted keys with the number of documents that hold them and the largest doc_id of these, and the filter in front."""
+
+    def __init__(self, row: dict | None) -> None:
+        self.version = row["version"] if row else 0
+        take = lambda c, t: np.frombuffer(row[c], t).copy() if row else np.empty(0, t)
+        self.k1, self.k2, self.n_docs, self.keeper, self.unkept = take("k1", np.int64), take("k2", np.int64), take("n_docs", np.int64), take("keeper", np.int64), take("unkept", bool)
+        self.filter = CuckooFilter(1)
+        if row:
+            self.filter.table = np.frombuffer(row["filter"], np.uint16).reshape(-1, SLOTS).copy()
+
+    def place(self, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, and whether it is there at all."""
+        if not len(self.k1):
+            return np.zeros(len(k1), np.int64), np.zeros(len(k1), bool)
+        # Keys are sorted by (k1, k2); k1 alone nearly always decides, equal ones are walked.
+        at = np.minimum(np.searchsorted(self.k1, k1), len(self.k1) - 1)
+        while (behind := (self.k1[at] == k1) & (self.k2[at] < k2) & (at < len(self.k1) - 1)).any():
+            at = at + behind
+        return at, (self.k1[at] == k1) & (self.k2[at] == k2)
+
+    def change(self, k1, k2, delta, keeper, unkept, sets_keeper, min_docs: int) -> None:
+        """Add ``delta`` documents to each (distinct) key. A key enters the filter when its count reaches ``min_docs`` and leaves it below.
+
+        ``sets_keeper``: the given keeper stands, whatever was there; else the larger one does.
+        """
+        at, known = self.place(k1, k2)
+        new = np.flatnonzero(~known & (delta > 0))
+        if len(new):
+            put = lambda old, more: np.concatenate([old, more])
+            self.k1, self.k2 = put(self.k1, k1[new]), put(self.k2, k2[new])
+            self.n_docs, self.keeper, self.unkept = put(self.n_docs, np.zeros(len(new), np.int64)), put(self.keeper, np.zeros(len(new), np.int64)), put(self.unkept, np.ones(len(new), bool))
+            order = np.lexsort((self.k2, self.k1))
+            self.k1, self.k2, self.n_docs, self.keeper, self.unkept = (x[order] for x in (self.k1, self.k2, self.n_docs, self.keeper, self.unkept))
+            at, known = self.place(k1, k2)
+        at, delta, keeper, unkept, sets_keeper = at[known], delta[known], keeper[known], unkept[known], sets_keeper[known]
+        before = self.n_docs[at]
+        self.n_docs[at] = after = np.maximum(0, before + delta)
+        larger = sets_keeper | (~unkept & (self.unkept[at] | (keeper > self.keeper[at])))
+        self.keeper[at[larger]], self.unkept[at[larger]] = keeper[larger], unkept[larger]
+        marks = self.k1 ^ self.k2
+        enters, leaves = at[(before < min_docs) & (after >= min_docs)], at[(before >= min_docs) & (after < min_docs)]
+        self.filter.delete(marks[leaves])
+        try:
+            if len(self.filter.table) * SLOTS * 0.85 < np.count_nonzero(self.filter.table) + len(enters):
+                raise OverflowError
+            self.filter.insert(marks[enters])
+        except OverflowError:  # a filter that is full is laid out anew, larger
+            self.filter = CuckooFilter.of(marks[self.n_docs >= min_docs])
+        held = self.n_docs > 0
+        if not held.all():
+            self.k1, self.k2, self.n_docs, self.keeper, self.unkept = (x[held] for x in (self.k1, self.k2, self.n_docs, self.keeper, self.unkept))
+        self.version += 1
+
+    def row(self, shard: int) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [shard], "version": [self.version], "n": [len(self.k1)], "filter": [self.filter.table.tobytes()], "k1": [self.k1.tobytes()], "k2": [self.k2.tobytes()],
+                             "n_docs": [self.n_docs.tobytes()], "keeper": [self.keeper.tobytes()], "unkept": [self.unkept.tobytes()]})
+
+
+def _changed(shards: DataFrame | None, deltas: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
+    """The shards that ``deltas`` (k1, k2, delta, keeper, sets_keeper; one row a key) touch, changed."""
+    spark = deltas.sparkSession
+    arrow.prepare(spark)
+    keyed = deltas.select(_shard(n_shards).alias("shard"), "*")
+    old = spark.createDataFrame([], SHARD) if shards is None else shards
+
+    def apply(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        now = Shard(old.iloc[0].to_dict() if len(old) else None)
+        unkept = new["keeper"].isna().to_numpy()
+        now.change(new["k1"].to_numpy(np.int64), new["k2"].to_numpy(np.int64), new["delta"].to_numpy(np.int64), new["keeper"].fillna(0).to_numpy(np.int64), unkept,
+                   new["sets_keeper"].to_numpy(bool), min_docs)
+        return now.row(key[0])
+
+    return old.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(apply, SHARD)
+
+
+def _moved(state: State, deltas: DataFrame, postings: DataFrame) -> State:
+    """The state with some shards changed; the others are carried over as they are and not looked into."""
+    deltas = materialize(deltas)
+    touched = deltas.select(_shard(state.n_shards).alias("shard")).distinct()
+    changed = _changed(state.shards.join(touched, "shard", "left_semi"), deltas, state.n_shards, state.min_docs)
+    rest = state.shards.join(touched, "shard", "left_anti")
+    return State(postings, materialize(rest.select(*changed.columns).unionByName(changed)), state.n_shards, state.min_docs)
+
+
+def references(postings: DataFrame) -> DataFrame:
+    """Documents that hold each key, and the largest doc_id of them."""
+    return postings.filter("first").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("delta"), F.max("doc_id").alias("keeper"))
+
+
+def insert(state: State | None, docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> State:
+    """The state with new documents: only the shards of their lines change. The first call makes it, with shards for about ``SHARD_ROWS`` lines each."""
+    new = materialize(postings(docs, min_chars))
+    counts = references(new).withColumn("sets_keeper", F.lit(False))
+    if state is None:
+        n_shards = min(MAX_SHARDS, new.count() // SHARD_ROWS + 8)
+        return State(new, materialize(_changed(None, counts, n_shards, min_docs)), n_shards, min_docs)
+    return _moved(state, counts, materialize(state.postings.unionByName(new)))
+
+
+def delete(state: State, gone: DataFrame) -> State:
+    """The state without the documents in ``gone`` (doc_id; a null one takes back those without a doc_id): counts fall in the shards of their lines only.
+
+    Where the largest doc_id of a key goes, the largest of what is left takes its place.
+    """
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    lost = materialize(state.postings.join(ids, state.postings["doc_id"].eqNullSafe(ids["_gone"]), "left_semi"))
+    left = materialize(state.postings.join(ids, state.postings["doc_id"].eqNullSafe(ids["_gone"]), "left_anti"))
+    fallen = references(lost).select("k1", "k2", (-F.col("delta")).alias("delta"))
+    keepers = references(left.join(fallen.select("k1", "k2"), ["k1", "k2"], "left_semi")).select("k1", "k2", "keeper")
+    return _moved(state, fallen.join(keepers, ["k1", "k2"], "left").withColumn("sets_keeper", F.lit(True)), left)
 
 
 def _shard(shards: int) -> Column:
     return F.pmod(F.col("k1"), F.lit(shards))
 
 
-def _probe(lines: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _probe(lines: pd.DataFrame, state: pd.DataFrame, min_docs: int) -> pd.DataFrame:
     if not len(state) or not len(lines):
         return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "mark": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
-    held = state.iloc[0]
-    made = CuckooFilter(1)
-    made.table = np.frombuffer(held["filter"], np.uint16).reshape(-1, SLOTS)
-    lines = lines[made.contains(lines["k1"].to_numpy(np.int64) ^ lines["k2"].to_numpy(np.int64))]
-    pair = np.dtype([("k1", np.int64), ("k2", np.int64)])
-    exact = np.empty(int(held["n"]), pair)
-    exact["k1"], exact["k2"] = np.frombuffer(held["k1"], np.int64), np.frombuffer(held["k2"], np.int64)
-    asked = np.empty(len(lines), pair)
-    asked["k1"], asked["k2"] = lines["k1"], lines["k2"]
-    # Keys are sorted by (k1, k2); k1 alone nearly always decides, equal ones are walked.
-    at = np.searchsorted(exact["k1"], asked["k1"])
-    at_most = np.minimum(at, len(exact) - 1)
-    while len(at) and (behind := (exact["k1"][at_most] == asked["k1"]) & (exact["k2"][at_most] < asked["k2"]) & (at_most < len(exact) - 1)).any():
-        at_most = at_most + behind
-    found = exact[at_most] == asked
-    keeper = np.frombuffer(held["keeper"], np.int64)[at_most]
-    nobody = np.frombuffer(held["unkept"], bool)[at_most]
+    held = Shard(state.iloc[0].to_dict())
+    lines = lines[held.filter.contains(lines["k1"].to_numpy(np.int64) ^ lines["k2"].to_numpy(np.int64))]
+    at, found = held.place(lines["k1"].to_numpy(np.int64), lines["k2"].to_numpy(np.int64))
+    if not len(held.k1):
+        return lines.loc[found, ["doc_id", "mark", "line"]].astype({"doc_id": "Int64"})
     doc = lines["doc_id"]
-    keeps = np.where(nobody, doc.isna(), ~doc.isna() & (doc.fillna(0).to_numpy(np.int64) == keeper))
-    return lines.loc[found & ~keeps, ["doc_id", "mark", "line"]].astype({"doc_id": "Int64"})
+    keeps = np.where(held.unkept[at], doc.isna(), ~doc.isna() & (doc.fillna(0).to_numpy(np.int64) == held.keeper[at]))
+    return lines.loc[found & (held.n_docs[at] >= min_docs) & ~keeps, ["doc_id", "mark", "line"]].astype({"doc_id": "Int64"})
 
 
-def dropped(state: DataFrame, min_docs: int = 3) -> DataFrame:
+def dropped(state: State) -> DataFrame:
     """doc_id, mark and line of every line that goes.
 
     Lines meet their shard's filter first and the exact table only behind it. A shard is cut
     into salted parts of about ``SHARD_ROWS`` lines, each with a copy of the shard's state, so a
     line that a third of all documents hold is spread over many tasks.
     """
-    n_rows = state.count()
-    shards = min(MAX_SHARDS, n_rows // SHARD_ROWS + 8)
-    refs = references(state).filter(F.col("n_docs") >= min_docs)
-    sizes = state.groupBy(_shard(shards).alias("shard")).agg((F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("more"))
-    parts = filters(refs, shards).join(sizes, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "more")))
-    salted = (state.withColumn("shard", _shard(shards)).join(F.broadcast(sizes), "shard")
+    n, min_docs = state.n_shards, state.min_docs
+    sizes = state.postings.groupBy(_shard(n).alias("shard")).agg((F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("more"))
+    parts = state.shards.join(sizes, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "more")))
+    salted = (state.postings.withColumn("shard", _shard(n)).join(F.broadcast(sizes), "shard")
               .withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "line"), F.col("more") + 1)).drop("more", "first"))
     return salted.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInPandas(
-        lambda lines, held: _probe(lines, held), "doc_id long, mark long, line int")
+        lambda lines, held: _probe(lines, held, min_docs), "doc_id long, mark long, line int")
 
 
 def rebuild(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -232,4 +330,4 @@ def dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     replaced). Null and empty texts are one empty line. A null doc_id is smaller than any other.
     Equal rows count as documents of their own and share their fate. No rows give no rows.
     """
-    return rebuild(docs, dropped(insert(None, docs, min_chars), min_docs))
+    return rebuild(docs, dropped(insert(None, docs, min_chars, min_docs)))
