@@ -16,6 +16,8 @@ BANDS, ROWS = 42, 6
 #: Documents of a block, and shingles of all of them; a task compares two blocks at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 CHUNK = 1 << 21
+#: Parts of a class of equal sets when its rows are told their component.
+SALTS = 1024
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,26 +167,73 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rows.join(best, "band").select(F.col("doc_id").alias("id"), "n_shingles", "pivot").distinct()
 
 
+def _star(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Which documents of a block the pivot (role 0) links at once."""
+    rows = rows.sort_values(["role", "id"])
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+    lengths = np.array([len(s) for s in sets])
+    common = np.bincount(np.repeat(np.arange(len(sets)), lengths), np.isin(np.concatenate(sets), sets[0]), len(sets)).astype(np.int64)
+    linked = 100 * common >= percent * (lengths[0] + lengths - common)
+    return pd.DataFrame({"id": rows["id"], "pivot": rows["pivot"], "linked": linked})[1:]
+
+
+def _meet(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between documents that their pivot did not link (``asks``) and the documents of a block."""
+    asks, block = rows[rows["asks"]], rows[~rows["asks"]]
+    if not len(asks) or not len(block):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    ids, lengths = block["id"].to_numpy(np.int64), np.array([len(s) // 8 for s in block["shingles"]])
+    values, place = np.unique(np.frombuffer(b"".join(block["shingles"]), np.uint64), return_inverse=True)
+    posting = np.repeat(np.arange(len(ids)), lengths)[np.argsort(place, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(place, minlength=len(values)))]
+    out = []
+    for i, s in zip(asks["id"].tolist(), asks["shingles"], strict=True):
+        mine = np.frombuffer(s, np.uint64)
+        where = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+        where = where[values[where] == mine]
+        begin, size = at[where], at[where + 1] - at[where]
+        met = posting[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        common = np.bincount(met, minlength=len(ids))
+        hit = (100 * common >= percent * (len(mine) + lengths - common)) & (ids != i)
+        out += [(max(i, j), min(i, j)) for j in ids[hit].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _drawn(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """id, pivot, blocks and shingles for (id, pivot, blocks): full sets are drawn once a document, from its whole text."""
+    pivots = pairs.groupBy("id").agg(F.collect_list(F.struct("pivot", "blocks")).alias("pivots"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pivots.hint("merge"), "id")  # one plan at every size
+    held = arrow.map_batches(texts.select("id", "pivots", "text"), lambda b: _sets(b, size), "id long, pivots array<struct<pivot: long, blocks: int>>, shingles binary")
+    return held.select("id", "shingles", F.explode("pivots").alias("p")).select("id", "shingles", "p.*")
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that join what pairs of ``percent`` similarity within a pivot's neighbourhood join.
 
-    A neighbourhood is dealt to blocks of about ``BLOCK_ROWS`` documents or ``BLOCK_SHINGLES`` shingles; every two blocks, and the pivot, meet
-    in one task, so its size bounds no task and no pair is left out. Full sets are drawn from
-    whole texts, only for documents that share a band.
+    A neighbourhood of up to ``BLOCK_ROWS`` documents and ``BLOCK_SHINGLES`` shingles meets in one task. A larger one is cut into blocks of
+    that size. First each block meets the pivot alone, which links nearly all near copies; then the documents that it did not
+    link, in blocks of their own, meet every block. No pair is left out, no task grows with a neighbourhood, and a document that the pivot
+    links is sent on only to the blocks of those that it does not.
     """
     pairs = materialize(candidates(classes))
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sized = pairs.join(sizes, "pivot")
-    pivots = sized.groupBy("id").agg(F.collect_list(F.struct("pivot", "blocks")).alias("pivots"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pivots.hint("merge"), "id")  # one plan at every size
-    held = arrow.map_batches(texts.select("id", "pivots", "text"), lambda b: _sets(b, size), "id long, pivots array<struct<pivot: long, blocks: int>>, shingles binary")
-    each = held.select("id", "shingles", F.explode("pivots").alias("p")).select("id", "shingles", "p.*")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    last = F.col("blocks") - 1
-    cells = F.when(F.col("id") == F.col("pivot"), F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    cells = cells.otherwise(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"))))
-    dealt = each.withColumn("cell", F.explode(cells)).select("pivot", "cell.i", "cell.j", "id", "shingles", (F.col("id") != F.col("pivot")).cast("int").alias("role"))
-    return dealt.groupBy("pivot", "i", "j").applyInPandas(lambda rows: _cell(rows, percent), "a long, b long")
+    blocks_of = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = materialize(pairs.join(pairs.groupBy("pivot").agg(blocks_of().alias("blocks")), "pivot"))
+    small = _drawn(docs, sized.filter("blocks = 1"), size).withColumn("role", (F.col("id") != F.col("pivot")).cast("int"))
+    found = small.groupBy("pivot").applyInPandas(lambda rows: _cell(rows, percent), "a long, b long")
+    if sized.filter("blocks > 1").isEmpty():
+        return found
+    large = materialize(_drawn(docs, sized.filter("blocks > 1"), size).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    cells = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    star = large.select("id", "pivot", "shingles", (F.col("id") != F.col("pivot")).cast("int").alias("role"), F.explode(cells).alias("cell"))
+    star = materialize(star.groupBy("pivot", "cell").applyInPandas(lambda rows: _star(rows, percent), "id long, pivot long, linked boolean"))
+    apart = star.filter("NOT linked").select("id", "pivot")
+    counts = sized.join(apart, ["id", "pivot"]).groupBy("pivot").agg(blocks_of().alias("own"))
+    rows = large.filter("id <> pivot").join(counts, "pivot").join(apart.withColumn("asks", F.lit(True)), ["id", "pivot"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    held = rows.select("pivot", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("block").alias("j"), "id", "shingles", F.lit(False).alias("asks"))
+    asking = rows.filter("asks").select("pivot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("own")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "shingles", "asks")
+    met = held.unionByName(asking).groupBy("pivot", "i", "j").applyInPandas(lambda rows: _meet(rows, percent), "a long, b long")
+    linked = star.filter("linked").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+    return found.unionByName(linked).unionByName(met)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -197,10 +246,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     and are kept. Rows with one doc_id stand for one document; links of any of its texts are its own.
     """
     rows = sketched(docs, size)
+    set_ = ["n_shingles", "m1", "m2"]
     named = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n_shingles", "m1", "m2").agg(F.min("doc_id").alias("rep"))
-    chosen = named.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "m1", "m2"], "left_semi")
+    # A set that very many documents share is no hot key: its rows meet the class by (set, salt).
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    partial = materialize(salted.groupBy(*set_, "salt").agg(F.min("doc_id").alias("least")))
+    classes = partial.groupBy(*set_).agg(F.min("least").alias("rep"))
+    chosen = named.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *set_], "left_semi")
     joined = components(links(docs, chosen.select("doc_id", "n_shingles", "bands"), size, percent))
-    out = rows.join(classes, ["n_shingles", "m1", "m2"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    classes = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*set_, F.coalesce("component", "rep").alias("component_id"))
+    back = partial.select(*set_, "salt").join(classes, set_)
+    met = salted.join(back, [*set_, "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
