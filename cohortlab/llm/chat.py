@@ -101,20 +101,32 @@ def format_turns(rows: DataFrame) -> DataFrame:
                 continue
             out, begin, start, end = assemble(batch.column("role"), batch.column("text"))
             ids = batch.column("conv_id").to_pylist()
-            spoken = pc.fill_null(pc.equal(batch.column("role"), "assistant"), False).to_numpy(zero_copy_only=False)
-            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            got = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = part + 1 if last == (ids[a],) else 0
-                last = (ids[a],)
-                mine, base = np.flatnonzero(spoken[a:b]) + a, begin[a]
-                got.append((ids[a], part, b - a, out[base : begin[b]].tobytes(), (begin[a + 1 : b + 1] - base).tolist(), (start[mine] - base).tolist(), (end[mine] - base).tolist()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
+            cuts = np.array([0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)])
+            parts = np.zeros(len(cuts) - 1, np.int32)
+            part = parts[0] = part + 1 if last == (ids[0],) else 0
+            part, last = int(parts[-1]), (ids[-1],)
+            base = np.repeat(begin[cuts[:-1]], np.diff(cuts))
+            spoken = np.flatnonzero(pc.fill_null(pc.equal(batch.column("role"), "assistant"), False).to_numpy(zero_copy_only=False))
+            of = pa.array(np.searchsorted(spoken, cuts).astype(np.int32))
+            yield pa.record_batch([
+                batch.column("conv_id").take(pa.array(cuts[:-1])), pa.array(parts), pa.array(np.diff(cuts).astype(np.int32)),
+                columns_over(out, begin[cuts]), runs(begin[1:] - base, cuts), *(pa.ListArray.from_arrays(of, pa.array((x - base)[spoken])) for x in (start, end))],
+                names=[x.split()[0] for x in PARTS.split(", ")])
 
     return keyed.mapInArrow(run, PARTS)
 
 
+def columns_over(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column whose rows are stretches of one buffer; nothing is copied."""
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("an Arrow batch of formatted text reaches 2 GB; lower the rows of a batch")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def runs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int64)))
+
+
 def _points(data: bytes) -> int:
     return int(((np.frombuffer(data, np.uint8) & 0xC0) != 0x80).sum())
 
