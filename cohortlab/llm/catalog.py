@@ -35,9 +35,10 @@ def line_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
 
 # The site rules of the production list.
 SITES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Own patterns for what no site rule decides: advertising and log-in pages, programs.
+#: Own patterns for what no site rule decides: advertising and log-in pages, programs, adult and pill shops. Each hangs on a whole token.
 PATTERNS = [url_filter.pattern(r"\A(?:[^/]*\.)?ads\.", "block", "ads"), url_filter.pattern(r"(?s)\A[^/]*//(?:.*/)?login/", "block", "login"),
-            url_filter.pattern(r"\.(?:exe|msi)\Z", "block")]
+            url_filter.pattern(r"\.exe\Z", "block", "exe"), url_filter.pattern(r"\.msi\Z", "block", "msi"),
+            url_filter.pattern(r"\A(?:[^/]*\.)?adult-", "block", "adult"), url_filter.pattern(r"\A(?:[^/]*\.)?cheap-pills\.", "block", "cheap", "pills")]
 
 URL_SQL = f"""
 WITH parted AS (
@@ -48,7 +49,8 @@ fit AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM parted JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, CASE
-  WHEN regexp_matches(host, '(?s)^(.*\\.)?ads\\.') OR regexp_matches(path, '(?s)^/(.*/)?login/') OR regexp_matches(path, '\\.(exe|msi)$') THEN 'block'
+  WHEN regexp_matches(host, '(?s)^(.*\\.)?ads\\.') OR regexp_matches(path, '(?s)^/(.*/)?login/') OR regexp_matches(path, '\\.(exe|msi)$')
+    OR regexp_matches(host, '(?s)^(.*\\.)?(adult-|cheap-pills\\.)') THEN 'block'
   ELSE 'allow' END) AS verdict
 FROM parted LEFT JOIN fit USING (page_id)"""
 
@@ -93,10 +95,10 @@ SHARDS = 40
 
 @query("op8_sharding")
 def sharding_query(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    text = F.col("text").cast("binary")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
-    return sharding.shuffle(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.exchange(table(spark, sf, "documents").select("doc_id", "text"), SHARDS)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return placed.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -77,13 +75,8 @@ def permute(place: np.ndarray, size: np.ndarray | int, key: np.ndarray | int) ->
     return out.astype(np.int64)
 
 
-def shuffle(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1, counts at most one apart) and ``slot`` (its place there, gapless).
-
-    Works on rows of any columns (shard and slot are replaced), null, equal or empty ones alike; no rows
-    give no rows. The rows are first written down with their partition and place, so that
-    a lost executor repeats the same choice. The driver sees one count per partition (8 bytes each).
-    """
+def _placed(df: DataFrame, shards: int, seed: int) -> tuple[DataFrame, list[int]]:
+    """``df`` with ``shard`` and ``slot``, and the sizes of the shards."""
     spark = df.sparkSession
     arrow.prepare(spark)
     drop = [c for c in ("shard", "slot") if c in df.columns]
@@ -96,36 +89,48 @@ def shuffle(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     total = int(counts[-1])
     extra = np.random.Generator(np.random.PCG64([seed, shards])).permutation(shards)
     sizes = [total // shards + int(x < total % shards) for x in extra]
-    names = [c for c in rows.columns if c != "_at"]
     known = spark.sparkContext.broadcast((np.array(parts), counts))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(column: pa.Array) -> pa.Array:
         parts, counts = known.value
-        memo: dict[int, tuple] = {}
-        for batch in batches:
-            at = batch.column("_at").to_numpy()
-            of, position = np.searchsorted(parts, at >> 33), at & ((1 << 33) - 1)
-            shard, slot = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
-            for p in np.unique(of).tolist():
-                if p not in memo:
-                    own, before = matrix_row(counts, p, sizes, seed)
-                    memo = {p: (np.cumsum([0, *own]), np.array(before))}
-                cuts, before = memo[p]
-                mine = np.flatnonzero(of == p)
-                local = permute(position[mine], int(counts[p + 1] - counts[p]), seed * 1_000_003 + p)
-                to = np.searchsorted(cuts, local, "right") - 1
-                shard[mine] = to
-                slot[mine] = permute(before[to] + local - cuts[to], np.array(sizes)[to], seed * 7_000_003 + 1 + to)
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(shard), pa.array(slot)], names=[*names, "shard", "slot"])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_at").dtypes)
-    return rows.mapInArrow(place, f"{fields}{', ' if fields else ''}shard int, slot long")
-
-
-def exchange(placed: DataFrame, shards: int, tasks_per_shard: int = 1) -> DataFrame:
-    """The rows by shard, each shard in ``tasks_per_shard`` ranges of slots, sorted: ready to be written."""
-    width = F.max("slot")  # bounds come from the rows themselves
-    tops = placed.groupBy("shard").agg((width + 1).alias("_n"))
-    cut = F.floor(F.col("slot") * tasks_per_shard / F.col("_n"))
-    return (placed.join(F.broadcast(tops), "shard").withColumn("_cut", cut)
-            .repartition(shards * tasks_per_shard, "shard", "_cut").sortWithinPartitions("shard", "slot").drop("_n", "_cut"))
+        at = column.to_numpy()
+        of, position = np.searchsorted(parts, at >> 33), at & ((1 << 33) - 1)
+        shard, slot = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
+        for p in np.unique(of).tolist():
+            if p not in memo:
+                memo.clear()
+                own, before = matrix_row(counts, p, sizes, seed)
+                memo[p] = np.cumsum([0, *own]), np.array(before)
+            cuts, before = memo[p]
+            mine = np.flatnonzero(of == p)
+            local = permute(position[mine], int(counts[p + 1] - counts[p]), seed * 1_000_003 + p)
+            to = np.searchsorted(cuts, local, "right") - 1
+            shard[mine] = to
+            slot[mine] = permute(before[to] + local - cuts[to], np.array(sizes)[to], seed * 7_000_003 + 1 + to)
+        return pa.StructArray.from_arrays([pa.array(shard), pa.array(slot)], names=["shard", "slot"])
+
+    memo: dict[int, tuple] = {}
+    placed = F.arrow_udf(place, "shard int, slot long")("_at")  # only the row's number goes to Python
+    return rows.withColumn("_place", placed).select(*[F.col(c) for c in rows.columns if c != "_at"], "_place.shard", "_place.slot"), sizes
+
+
+def shuffle(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
+    """``df`` with ``shard`` (0 to ``shards`` - 1, counts at most one apart) and ``slot`` (its place there, gapless).
+
+    Works on rows of any columns (shard and slot are replaced), null, equal or empty ones alike; no rows
+    give no rows. The rows are first written down with their partition and place, so that
+    a lost executor repeats the same choice. The driver sees one count per partition (8 bytes each).
+    """
+    return _placed(df, shards, seed)[0]
+
+
+def exchange(df: DataFrame, shards: int, seed: int = 7, rows_per_task: int = 100_000) -> DataFrame:
+    """The rows of ``shuffle`` in their shards: moved there, and in the order of their slots.
+
+    A shard lies in as many tasks as it has ranges of ``rows_per_task`` slots, one after the other; a task holds
+    one range of one shard, ready to be written.
+    """
+    placed, sizes = _placed(df, shards, seed)
+    cuts = max(1, -(-max(sizes) // rows_per_task))
+    to = F.col("shard") * cuts + F.floor(F.col("slot") / rows_per_task).cast("int")
+    return placed.repartitionById(shards * cuts, to).sortWithinPartitions("shard", "slot")
