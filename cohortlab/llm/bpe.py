@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from cohortlab.llm import arrow
 
 # Fixed value: how the vocabulary's pre-tokenizer parts a text.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 ODD_SPACE = regex.compile(r" \s| $|\s$")
 
 #: Marks that are a word of their own after a letter.
@@ -35,10 +35,20 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+def check_vocabulary(path: str, part: str, wanted) -> None:
+    """The code here stands for one way of parting texts; a file that parts them otherwise is refused."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)[part]
+    if found != wanted:
+        raise ValueError(f"{path}: unexpected {part} {found}")
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizers file of the byte-level kind."""
 
     def __init__(self, path: str) -> None:
+        check_vocabulary(path, "normalizer", None)
+        check_vocabulary(path, "pre_tokenizer", PRE_TOKENIZER)
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         letters = byte_letters()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections import Counter
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from cohortlab.llm import arrow
-from cohortlab.llm.bpe import byte_letters
+from cohortlab.llm.bpe import byte_letters, check_vocabulary
 from cohortlab.session import materialize
 
 # How the vocabulary's file normalizes and parts a text.
@@ -33,7 +32,7 @@ MARKS = frozenset(".,;:!?")
 IS_MARK = np.isin(np.arange(256), [ord(m) for m in MARKS])
 LETTERS = {b: c for c, b in byte_letters().items()}
 #: Rows of one (length, salt) group on average at most.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 #: Nodes of the search; the best packing found so far stands when they are used up.
 MAX_NODES = 20_000
 #: Steps that all nodes together look for fillings; they end the whole search like the nodes do, and no node for itself.
@@ -137,14 +136,6 @@ def parted(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out[0], out[1], out[2]
 
 
-def check_vocabulary(path: str, part: str, wanted) -> None:
-    """The code here stands for one way of parting texts; a file that parts them otherwise is refused."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)[part]
-    if found != wanted:
-        raise ValueError(f"{path}: unexpected {part} {found}")
-
-
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

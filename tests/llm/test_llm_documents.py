@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cohortlab.llm import bpe, components, line_dedup, minhash, packing, quality, toxicity
+from cohortlab.llm import arrow, bpe, components, line_dedup, minhash, packing, quality, toxicity
 from cohortlab.llm.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,56 @@ def test_line_dedup_is_reversible(spark):
     assert rows_of(line_dedup.dropped(fewer), "doc_id", "line") == []
 
 
+def shard_rows(state):
+    return {r["shard"]: r.asDict() for r in state.shards.collect()}
+
+
+def sound_shards(state):
+    """Exact tables equal a count over the postings, and filters hold what repeats."""
+    want = {(r["k1"], r["k2"]): (r["delta"], r["keeper"]) for r in line_dedup.references(state.postings).collect()}
+    got, marks = {}, 0
+    for row in shard_rows(state).values():
+        held = line_dedup.Shard(row)
+        often = held.n_docs >= state.min_docs
+        assert held.filter.contains((held.k1 ^ held.k2)[often]).all()
+        marks += np.count_nonzero(held.filter.table) - often.sum()
+        got |= {(a, b): (n, None if u else k) for a, b, n, k, u in zip(held.k1.tolist(), held.k2.tolist(), held.n_docs.tolist(), held.keeper.tolist(), held.unkept.tolist())}
+    assert got == want and marks == 0
+
+
+def test_only_shards_of_changed_lines_change(spark, monkeypatch):
+    r = random.Random(6)
+    pool = [f"a line that is long enough, number {i}" for i in range(300)]
+    rows = [(None if i % 50 == 49 else i, "\n".join(r.choices(pool, k=6))) for i in range(300)]
+    monkeypatch.setattr(line_dedup, "SHARD_ROWS", 20)
+    first = line_dedup.insert(None, docs(spark, rows[:200]))
+    assert first.n_shards > 50
+    state = line_dedup.insert(first, docs(spark, rows[200:]))
+    sound_shards(state)
+    # one document goes: its lines' shards have a new version, all others are as they were
+    one = rows[205][0]
+    lost = {x["shard"] for x in state.postings.filter(f"doc_id = {one}").select(line_dedup._shard(state.n_shards).alias("shard")).collect()}
+    fewer = line_dedup.delete(state, docs(spark, [(one, "")]))
+    before, after = shard_rows(state), shard_rows(fewer)
+    assert 0 < len(lost) <= 6 and {s for s in after if after[s]["version"] != before[s]["version"]} == lost
+    assert all(after[s] == before[s] for s in after if s not in lost)
+    sound_shards(fewer)
+    # those without a doc_id go too, then everything is as if it had never been there
+    less = line_dedup.delete(fewer, docs(spark, [(None, "")]))
+    sound_shards(less)
+    built = line_dedup.insert(None, docs(spark, [x for x in rows if x[0] not in (one, None)]))
+    assert rows_of(line_dedup.dropped(less), "doc_id", "line") == rows_of(line_dedup.dropped(built), "doc_id", "line") != []
+
+
+def test_cuckoo_filter_pushes_keys_on():
+    keys = np.unique(np.random.default_rng(4).integers(-2**63, 2**63 - 1, 8192))
+    held = line_dedup.CuckooFilter(7800)
+    held.insert(keys[:7800])  # nearly full: some keys have to move
+    assert held.contains(keys[:7800]).all() and np.count_nonzero(held.table) == 7800
+    with pytest.raises(OverflowError):
+        line_dedup.CuckooFilter(1).insert(keys[:100])
+
+
 def test_line_dedup_splits_hot_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_ROWS", 7)
     rows = [(i, f"this line stands in every document\nline {i // 2} is held by two of them") for i in range(60)]
@@ -214,6 +264,24 @@ def test_packing_query_against_the_library(spark):
     assert check_packing(rows) <= -(-tokens // 2048) + 2
 
 
+def test_words_have_the_ids_of_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), packing.Words(path), random.Random(4)
+    bits = ["a", "b", "X", "Z", ".", ",", ";", ":", "!", "?", "'", "'s", "\t", "\x0b", "\u00a0", "é", "É", "Σ", "ς", "İ", "ß", "ẞ", "ñ", "中", "1", "9", "<|endoftext|>", "e\u0301", "”", "…", "😀", "ﬁ", "가", "\u212b"] + [" "] * 8
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["", "a.", "é.", "1.", "..", "a..", "it's.", "x<|endoftext|>.", "ΑΣ. ΑΣ"]
+    want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    for row, stop, data, starts in arrow.chunks(pa.array(texts), 1 << 12):
+        out, first = own.encode(data, starts, 0)
+        assert [out[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want[row:stop]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="unexpected"):
+        packing.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="unexpected"):
+        bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_packing_edge_cases(spark, odd, none, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 3)
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -366,6 +434,20 @@ def test_near_duplicates_edge_cases(spark, odd, none):
     assert minhash.near_duplicates(none, 4).count() == 0
 
 
+def test_neighbourhoods_of_many_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(120):  # a chain: each text differs a little from the one before, the ends share little
+        base[r.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(200 + i, rows[60][1]) for i in range(30)]
+    r.shuffle(rows)
+    got = rows_of(minhash.near_duplicates(docs(spark, rows), 4, 80), "doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(got) == sorted(near_brute(rows, 4))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(300, 340)] + [(5, 6), (6, 5), (5, 5)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
