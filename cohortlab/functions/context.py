@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlab.functions.numeric import NUMBER
+from cohortlab.functions.numeric import text_number
 
 # Nested maps that override the top level, last one wins.
 NESTED = ("pathology", "mri_features", "biomarkers")
@@ -23,18 +23,33 @@ class Value:
 
     ``kind`` is NULL for an absent key, else BOOLEAN, NUMBER, TEXT, NULL or OTHER.
     ``text`` is the scalar as text; ``number`` the finite number of a number or a
-    numeric text.
+    numeric text, ``variant`` the value as it is.
     """
 
     kind: Column
     text: Column
     number: Column
+    variant: Column
 
     @property
     def missing(self) -> Column:
         """Absent or null."""
         return F.coalesce(self.kind, F.lit("NULL")) == "NULL"
 
+    @property
+    def listed(self) -> Column:
+        """The text, or the texts of a list, joined."""
+        items = F.try_variant_get(self.variant, "$", "array<string>")
+        return F.when(items.isNotNull(), F.concat_ws(" ", items)).otherwise(self.text)
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """A key, or aliases of which the first present one counts, of a context."""
+
+    context: Context
+    names: tuple[str, ...]
+
 
 @dataclass
 class Context:
@@ -44,45 +59,45 @@ class Context:
     nested: tuple[str, ...] = NESTED
     defaults: dict[str, Column] = field(default_factory=dict)
 
-    def _paths(self, name: str) -> list[str]:
-        outers = [f"{outer}." for outer in reversed(self.nested)] + [""]
-        return [f"try_variant_get({self.column}, '$.{outer}{name}', 'variant')" for outer in outers]
+    def objects(self) -> list[Column]:
+        """The objects a key is looked up in, in order: nested ones, the last of them first, then the top level."""
+        return [F.try_variant_get(self.column, f"$.{outer}", "variant") for outer in reversed(self.nested)] + [F.col(self.column)]
 
-    def get(self, name: str) -> Column:
+    def get(self, name: str) -> Wanted:
         return self.first((name,))
 
-    def first(self, names) -> Column:
-        """First present key among the aliases; nested maps before the top level, defaults last."""
-        parts, texts = [], []
-        for name in names:
-            texts += self._paths(name)
-            if name in self.defaults:
-                parts += [F.expr(f"coalesce({', '.join(texts)})"), self.defaults[name].cast("variant")]
-                texts = []
-        if texts:
-            parts.append(F.expr(f"coalesce({', '.join(texts)})"))
-        return parts[0] if len(parts) == 1 else F.coalesce(*parts)
+    def first(self, names) -> Wanted:
+        """First present key among the aliases; nested maps before the top level, a default after them."""
+        return Wanted(self, tuple(names))
 
 
-KINDS = """CASE WHEN {0} IS NULL THEN NULL WHEN {0} = 'BOOLEAN' THEN 'BOOLEAN' WHEN {0} = 'STRING' THEN 'TEXT' WHEN {0} = 'VOID' THEN 'NULL'
-  WHEN {0} RLIKE '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)' THEN 'NUMBER' ELSE 'OTHER' END"""
+def _kind(v: Column) -> Column:
+    shape = F.schema_of_variant(v)
+    return (F.when(shape == "BOOLEAN", "BOOLEAN").when(shape == "STRING", "TEXT").when(shape == "VOID", "NULL")
+            .when(F.substring_index(shape, "(", 1).isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"), "NUMBER").when(shape.isNotNull(), "OTHER"))
 
 
-def stage(df: DataFrame, wanted: dict[str, Column]) -> tuple[DataFrame, dict[str, Value], list[str]]:
-    """Materialise variants as kind, text and number columns, one projection per step.
+def stage(df: DataFrame, wanted: dict[str, Wanted]) -> tuple[DataFrame, dict[str, Value], list[str]]:
+    """Look keys up as kind, text and number, one projection per step.
 
-    Returns the frame, the values by name, and the helper columns to drop later. Each
-    variant is read once, however many rules look at it.
+    Returns the frame, the values by name, and the helper columns to drop later. The nested objects are taken
+    out once, and each value is read once, however many rules look at it.
     """
-    names = list(wanted)
-    df = df.withColumns({f"x_{n}": wanted[n] for n in names})
-    df = df.withColumns({**{f"x_{n}_s": F.expr(f"schema_of_variant(x_{n})") for n in names},
-                         **{f"x_{n}_t": F.expr(f"try_variant_get(x_{n}, '$', 'string')") for n in names}})
-    df = df.withColumns({f"x_{n}_k": F.expr(KINDS.format(f"x_{n}_s")) for n in names})
-    df = df.withColumns({f"x_{n}_n": F.expr(
-        f"CASE WHEN x_{n}_k IN ('NUMBER', 'TEXT') AND x_{n}_t RLIKE r'{NUMBER}' THEN try_cast(trim(x_{n}_t) AS double) END") for n in names})
-    helpers = [f"x_{n}{tail}" for n in names for tail in ("", "_s", "_t", "_k", "_n")]
-    return df, {n: Value(F.col(f"x_{n}_k"), F.col(f"x_{n}_t"), F.col(f"x_{n}_n")) for n in names}, helpers
+    names, (context,) = list(wanted), {id(w.context): w.context for w in wanted.values()}.values()
+    objects = {f"x__{i}": o for i, o in enumerate(context.objects())}
+
+    def found(aliases: tuple[str, ...]) -> Column:
+        parts = []
+        for n in aliases:
+            parts += [F.try_variant_get(o, f"$.{n}", "variant") for o in objects]
+            parts += [context.defaults[n].cast("variant")] if n in context.defaults else []
+        return F.coalesce(*parts)
+
+    df = df.withColumns(objects).withColumns({f"x_{n}": found(w.names) for n, w in wanted.items()}).drop(*objects)
+    df = df.withColumns({**{f"x_{n}_k": _kind(F.col(f"x_{n}")) for n in names}, **{f"x_{n}_t": F.try_variant_get(f"x_{n}", "$", "string") for n in names}})
+    df = df.withColumns({f"x_{n}_n": F.when(F.col(f"x_{n}_k").isin("NUMBER", "TEXT"), text_number(F.col(f"x_{n}_t"))) for n in names})
+    col = lambda n, tail: F.col(f"x_{n}{tail}")
+    return df, {n: Value(col(n, "_k"), col(n, "_t"), col(n, "_n"), col(n, "")) for n in names}, [f"x_{n}{t}" for n in names for t in ("", "_k", "_t", "_n")]
 
 
 def fence(df: DataFrame) -> DataFrame:

@@ -54,6 +54,26 @@ def case_constraints() -> list[tuple[str, Column]]:
             ("fewer_than_two_points", F.coalesce(F.col("n_points"), F.lit(2)) >= 2)]
 
 
+# Where a measurement may come from.
+SOURCES = ("manual", "metadata", "mask_derived", "synthetic", "demo")
+
+
+def measurement_constraints(sources=SOURCES) -> list[tuple[str, Column]]:
+    """Of one measurement: a case, a day from 0, a known source, a confidence text, a volume or a diameter, none of them negative."""
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    from_zero = lambda c: F.col(c).isNull() | (is_finite(F.col(c)) & (F.col(c) >= 0))
+    return [("case_id_missing", filled("case_id")), ("day_minimum", F.col("day").isNotNull() & from_zero("day")),
+            ("source_enum", F.col("source").isin(*sources)), ("confidence_missing", F.col("confidence").isNotNull()),
+            ("any_of_volume_diameter", F.col("tumor_volume_ml").isNotNull() | F.col("longest_diameter_cm").isNotNull()),
+            *[(f"{c}_minimum", from_zero(c)) for c in ("tumor_volume_ml", "longest_diameter_cm", "true_tumor_volume_ml")]]
+
+
+def event_constraints() -> list[tuple[str, Column]]:
+    """Of one dose event: a drug, a day and a dose from 0."""
+    return [("drug_missing", F.col("drug").isNotNull() & (F.col("drug") != "")), ("day_minimum", is_finite(F.col("day")) & (F.col("day") >= 0)),
+            ("dose_minimum", is_finite(F.col("relative_dose")) & (F.col("relative_dose") >= 0))]
+
+
 def demo_tokens(payload: Column, tokens=DEMO_TOKENS) -> Column:
     """Demo tokens found in the payload text."""
     return matched_tokens(F.lower(payload), tokens)
@@ -82,13 +102,38 @@ def schedule_reasons(events: DataFrame, drug_params: DataFrame) -> DataFrame:
         ("decay_unknown", F.col("known_decay").isNotNull())]).drop("known_drug", "known_decay")
 
 
-def particle_reasons(df: DataFrame) -> DataFrame:
-    """Errors and warnings of wide particles with per-drug maps."""
+def header_reasons(headers: DataFrame) -> DataFrame:
+    """Row checks of schedule headers: the keys that must be there, and the duration.
+
+    ``headers`` holds ``schedule_id, regimen_name, total_duration_days`` and ``has_events`` (a list of events is there, an empty one too).
+    """
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    return with_reasons(headers, [
+        ("schedule_id_missing", filled("schedule_id")), ("regimen_name_missing", filled("regimen_name")),
+        ("duration_missing", is_finite(F.col("total_duration_days"))),
+        ("duration_negative", F.col("total_duration_days").isNull() | (F.col("total_duration_days") >= 0)),
+        ("events_missing", F.coalesce("has_events", F.lit(False)))])
+
+
+# Fixed value: the only law of growth that particles may name.
+GROWTH_LAW = "logistic"
+
+
+def particle_reasons(df: DataFrame, scheduled: Column | None = None) -> DataFrame:
+    """Errors and warnings of wide particles with per-drug maps.
+
+    ``scheduled`` lists the drugs of the particle's schedule: each needs its sensitivity, half-effect and decay, like those that have a
+    decay. A column ``growth_law`` is looked at if it is there; a null one stands for the default.
+    """
     between = lambda c, lo, hi: is_finite(F.col(c)) & F.col(c).between(lo, hi)
     values = lambda m: F.map_values(m)
     drugs = F.map_keys("drug_decay")
+    if scheduled is not None:
+        drugs = F.array_union(drugs, F.coalesce(scheduled, F.array().cast("array<string>")))
     covered = lambda m: F.size(F.array_except(drugs, F.map_keys(m))) == 0
+    law = [("growth_law_unknown", F.coalesce("growth_law", F.lit(GROWTH_LAW)) == GROWTH_LAW)] if "growth_law" in df.columns else []
     df = with_reasons(df, [
+        *law, ("decay_missing", covered("drug_decay")),
         ("growth_rate_range", between("growth_rate", 0.0, 0.1)),
         ("carrying_capacity_not_positive", is_finite(F.col("carrying_capacity_ml")) & (F.col("carrying_capacity_ml") > 0)),
         ("sensitivity_missing", covered("drug_sensitivity")), ("ec50_missing", covered("drug_ec50")),

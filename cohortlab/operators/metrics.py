@@ -31,6 +31,13 @@ def interval_sums() -> list[Column]:
             F.avg(F.col("hi80") - F.col("lo80")).alias("width_80_ml")]
 
 
+def interval_score(lower: str, upper: str, miss: float) -> Column:
+    """Mean interval score: the width, plus 2 / miss for each unit that the observation lies outside."""
+    low, high, seen = F.col(lower), F.col(upper), F.col("observed")
+    outside = F.greatest(low - seen, F.lit(0.0)) + F.greatest(seen - high, F.lit(0.0))
+    return F.avg(high - low + F.lit(2.0 / miss) * outside)
+
+
 def forecast_metrics(df: DataFrame, keys: list[str], intervals: bool = True) -> DataFrame:
     """Error and interval scores per group, with the median absolute percentage error."""
     df = df.filter(F.col("point").isNotNull())
@@ -46,10 +53,13 @@ def calibration_extract(metrics: DataFrame, method: str) -> DataFrame:
         "method", "n", "coverage_80", "coverage_95", "width_80_ml")
 
 
-def leaderboard_rollup(df: DataFrame, dims: list[str]) -> DataFrame:
-    """Error scores for every prefix of ``dims``; the level says how many are set."""
-    return df.filter(F.col("point").isNotNull()).rollup(*dims).agg(
-        F.grouping_id().alias("level"), *error_sums())
+def leaderboard_rollup(df: DataFrame, dims: list[str], intervals: bool = False) -> DataFrame:
+    """Error scores for every prefix of ``dims`` (a horizon may be one); the level says how many are set.
+
+    With ``intervals`` also coverage, width and the interval scores of the 80% and 95% bands.
+    """
+    more = [*interval_sums(), interval_score("lo80", "hi80", 0.2).alias("score_80"), interval_score("lo95", "hi95", 0.05).alias("score_95")] if intervals else []
+    return df.filter(F.col("point").isNotNull()).rollup(*dims).agg(F.grouping_id().alias("level"), *error_sums(), *more)
 
 
 def paired_delta(df: DataFrame, comparisons: list[tuple[str, str, str]], case: str = "case_id") -> DataFrame:

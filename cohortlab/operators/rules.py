@@ -68,6 +68,11 @@ class Rule:
     evidence: str
     driver: bool
 
+    @property
+    def condition(self) -> str:
+        """The condition as a reader sees it."""
+        return self.fact if self.op == "is" else f"{self.fact} {self.op} {self.threshold:g}"
+
     @property
     def holds(self) -> str:
         """The condition as SQL text; a NULL fact does not hold."""
@@ -116,6 +121,23 @@ RULES = (
          (("sensitivity_variance_multiplier", 1.10), ("resistant_variance_multiplier", 1.10)),
          "data_quality_policy", True),
 )
+# What a rule says, for traces; and the noise kind that a rule names.
+EXPLANATIONS = {
+    "ki67_missing_v1": "Ki-67 is not known, so growth is less certain.",
+    "ki67_low_v1": "A low Ki-67 speaks for slower growth.",
+    "ki67_high_v1": "A high Ki-67 speaks for faster growth and a better response to chemotherapy.",
+    "grade3_high_growth_v1": "Grade 3 goes with somewhat faster growth.",
+    "grade1_lower_growth_v1": "Grade 1 goes with somewhat slower growth.",
+    "tnbc_receptor_inconsistency_v1": "A positive receptor does not fit a triple-negative case; all parameters are less certain.",
+    "brca_hrd_positive_v1": "A repair defect speaks for a better response and fewer resistant cells.",
+    "brca_hrd_missing_v1": "Repair status is not known, so response and resistance are less certain.",
+    "diameter_only_report_only_v1": "Only a diameter is known; it is reported but does not update the volume.",
+    "low_segmentation_qc_v1": "A poor segmentation makes the volume noisier and all parameters a little less certain.",
+    "low_registration_qc_v1": "A poor registration blurs change over time; growth and resistance are less certain.",
+    "high_enhancement_heterogeneity_v1": "Uneven enhancement leaves more room for resistant parts.",
+    "low_enhancement_fraction_v1": "Much of the tumour takes up little contrast; how well drugs reach it is less certain.",
+    "ftv_anatomic_volume_inconsistency_v1": "Functional and anatomic volume do not fit together; the images need a review."}
+RULE_NOISE = {"low_segmentation_qc_v1": "low_qc_mri_volume"}
 SHIFTS = ("growth_multiplier", "chemo_sensitivity_multiplier", "resistant_odds_multiplier")
 SPREADS = ("growth_variance_multiplier", "sensitivity_variance_multiplier", "resistant_variance_multiplier")
 
@@ -123,11 +145,9 @@ SPREADS = ("growth_variance_multiplier", "sensitivity_variance_multiplier", "res
 def scope(df: DataFrame, ctx: Context | None = None) -> DataFrame:
     """Add ``contract_id``, ``learnable`` names and a ``scope_warning``."""
     ctx = ctx or Context()
-    names = SUBTYPE_FIELDS + TREATMENT_FIELDS
-    as_text = lambda fields: [F.try_variant_get(f"x_{f}", "$", "string") for f in fields]
-    df = df.withColumns({f"x_{f}": ctx.get(f) for f in names})
-    df = df.withColumns({"subtype_text": joined_text(as_text(SUBTYPE_FIELDS)),
-                         "treatment_text": joined_text(as_text(TREATMENT_FIELDS))}).drop(*[f"x_{f}" for f in names])
+    df, x, helpers = stage(df, {f: ctx.get(f) for f in SUBTYPE_FIELDS + TREATMENT_FIELDS})
+    joined = lambda fields: joined_text([x[f].text for f in fields])
+    df = df.withColumns({"subtype_text": joined(SUBTYPE_FIELDS), "treatment_text": joined(TREATMENT_FIELDS)}).drop(*helpers)
     df = df.withColumns({"is_tnbc": contains_any(F.col("subtype_text"), TNBC_TOKENS),
                          "is_chemo": contains_any(F.col("treatment_text"), CHEMO_TOKENS)})
     inside = F.col("is_tnbc") & F.col("is_chemo")
@@ -154,8 +174,8 @@ def noise_kind(df: DataFrame, ctx: Context | None = None, imaging: bool = False)
         wanted["quality_any"] = ctx.first(SEGMENTATION)
         wanted.update({f"size_{f}": ctx.get(f) for f in VOLUME + FUNCTIONAL + DIAMETER})
     df, x, helpers = stage(df, wanted)
-    df = df.withColumn("n_flags", _listed("x_qc_flags"))
-    texts = {k: x[k].text for k in SOURCE_FIELDS + QC_FIELDS}
+    df = df.withColumn("n_flags", x["qc_flags"].listed)
+    texts = {k: x[k].listed for k in SOURCE_FIELDS + QC_FIELDS}
     number, derived = markers.unit_number(x["segmentation_confidence"]), x["derived_from_diameter"].text
     if imaging:
         only = diameter_only(x)
@@ -166,7 +186,7 @@ def noise_kind(df: DataFrame, ctx: Context | None = None, imaging: bool = False)
         quality = markers.unit_number(x["quality_any"])
         number = F.when(absent, quality).otherwise(number)
         texts["segmentation_confidence"] = F.when(absent, quality.cast("string")).otherwise(texts["segmentation_confidence"])
-        texts["qc"] = F.when(x["qc"].kind.isNotNull(), texts["qc"]).when(absent & quality.isNull(), x["quality_any"].text)
+        texts["qc"] = F.when(x["qc"].kind.isNotNull(), texts["qc"]).when(absent & quality.isNull(), x["quality_any"].listed)
     df = df.withColumns({
         "n_source": joined_text([texts[f] for f in SOURCE_FIELDS], hyphens=True),
         "n_qc": joined_text([texts[f] for f in QC_FIELDS] + [F.col("n_flags")], hyphens=True), "n_number": number,
@@ -254,9 +274,10 @@ def hits(layer: int, rules=RULES) -> Column:
     for order, r in enumerate(layer_rules(layer, rules), 1):
         effects = ", ".join(f"named_struct('effect', '{k}', 'multiplier', {v}D)" for k, v in r.effects)
         array = f"array({effects})" if effects else "cast(array() as array<struct<effect:string,multiplier:double>>)"
+        noise = f"'{RULE_NOISE[r.rule_id]}'" if r.rule_id in RULE_NOISE else "cast(null AS string)"
         entries.append(f"CASE WHEN {r.holds} THEN named_struct('layer', {layer}, 'ord', {order}, 'rule_id', '{r.rule_id}', "
-                       f"'rule_family', '{r.family}', 'evidence_level', '{r.evidence}', 'uncertainty_driver', {str(r.driver).lower()}, "
-                       f"'effects', {array}) END")
+                       f"'rule_family', '{r.family}', 'condition', '{r.condition}', 'evidence_level', '{r.evidence}', 'uncertainty_driver', {str(r.driver).lower()}, "
+                       f"'effects', {array}, 'observation_noise', {noise}, 'explanation', '{EXPLANATIONS.get(r.rule_id, '')}') END")
     return F.expr(f"array_compact(array({', '.join(entries)}))")
 
 
@@ -275,18 +296,17 @@ def apply_layer(df: DataFrame, layer: int, rules=RULES) -> DataFrame:
 
 
 def with_trace(df: DataFrame, layers: list[int], rules=RULES) -> DataFrame:
-    """Add the per-case ``trace``, rule ids in order, distinct uncertainty drivers and warnings."""
+    """Add the per-case ``trace``, rule ids in order, distinct uncertainty drivers, the update mode and warnings.
+
+    A case with only a diameter is in ``report_only`` mode. Warnings of the noise policy (``noise_warning``, where the frame has it) come first.
+    """
     df = df.withColumn("trace", F.concat(*[hits(n, rules) for n in layers]))
     ids = F.transform("trace", lambda h: h["rule_id"])
     drivers = F.transform(F.filter("trace", lambda h: h["uncertainty_driver"]), lambda h: h["rule_id"])
-    df = df.withColumns({"rule_ids": ids, "uncertainty_drivers": F.array_distinct(drivers)})
+    noise = [F.col("noise_warning")] if "noise_warning" in df.columns else []
+    df = df.withColumns({"rule_ids": ids, "uncertainty_drivers": F.array_distinct(drivers),
+                         "update_mode": F.when(F.coalesce("report_only", F.lit(False)), "report_only").otherwise("volume_update")})
     return df.withColumn("warnings", F.array_compact(F.array(
-        F.when(F.array_contains("rule_ids", "tnbc_receptor_inconsistency_v1"), "receptors_conflict"),
+        *noise, F.when(F.array_contains("rule_ids", "tnbc_receptor_inconsistency_v1"), "receptors_conflict"),
         F.when(F.array_contains("rule_ids", "ftv_anatomic_volume_inconsistency_v1"), "ftv_conflict"),
         F.when(F.array_contains("rule_ids", "diameter_only_report_only_v1"), "report_only"))))
-
-
-def _listed(column: str) -> Column:
-    """A list of texts, joined, or a single text."""
-    items = F.try_variant_get(column, "$", "array<string>")
-    return F.when(items.isNotNull(), F.concat_ws(" ", items)).otherwise(F.try_variant_get(column, "$", "string"))

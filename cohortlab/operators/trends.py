@@ -105,11 +105,17 @@ def series_forecasts(fits: DataFrame, target: Column) -> DataFrame:
 
 
 def change_features(df: DataFrame, volume: str = "volume_ml") -> DataFrame:
-    """Percent and log change against the baseline volume already attached as ``baseline_volume_ml``."""
+    """Percent and log change against the baseline volume already attached as ``baseline_volume_ml``.
+
+    Where ``baseline_day`` is attached too, ``response_slope`` is the log change per day since then; null on the baseline's own day.
+    """
     v, b = F.col(volume), F.col("baseline_volume_ml")
-    return df.withColumns({
+    df = df.withColumns({
         "percent_change": 100.0 * F.try_divide(v - b, b),
         "log_change": F.when((v > 0) & (b > 0), F.ln(F.try_divide(v, b)))})
+    if "baseline_day" not in df.columns:
+        return df
+    return df.withColumn("response_slope", F.try_divide(F.col("log_change"), F.col("day") - F.col("baseline_day")))
 
 
 def long_forecasts(df: DataFrame, methods, ids: list[str], observed: str) -> DataFrame:

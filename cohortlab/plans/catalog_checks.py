@@ -10,6 +10,7 @@ from cohortlab.plans.catalog_rules import MIXED, SCOPED, SUPPLIERS, config_sql,
 from cohortlab.plans import evaluation
 from cohortlab.plans.catalog_trends import POINTS, points
 from cohortlab.plans.registry import R, query, rounded, table
+from cohortlab.session import scratch
 from cohortlab.sources import cohorts, sinks
 
 CHECKED = f"""SELECT *, [x FOR x IN [CASE WHEN NOT coalesce(final_day > baseline_day, false) THEN 'invalid_time_order' END,
@@ -29,7 +30,8 @@ def case_rejects(spark, sf):
 
 
 # rows of a cohort as they arrive: one per order, with the defects of the columns
-COHORT = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS case_id, o_orderkey,
+# (most rows have a case of their own, every twentieth shares its customer's)
+COHORT = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 20 = 1 THEN -o_custkey ELSE o_orderkey END AS case_id, o_orderkey,
   CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN -1.0 ELSE o_totalprice / 8192.0::DOUBLE END AS baseline_volume_ml,
   CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 0.0 ELSE 2.0 END::DOUBLE AS final_volume_ml,
   CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE END AS early_volume_ml, 0.0::DOUBLE AS baseline_day, (o_orderkey % 29)::DOUBLE AS final_day,
@@ -48,7 +50,7 @@ EXCLUDED = f"""SELECT *, [x FOR x IN [CASE WHEN case_id IS NULL THEN 'missing_ca
 
 def excluded(spark, sf):
     df = table(spark, sf, "orders").selectExpr(
-        "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS case_id", "o_orderkey",
+        "CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 20 = 1 THEN -o_custkey ELSE o_orderkey END AS case_id", "o_orderkey",
         "CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN -1.0D ELSE o_totalprice / 8192.0D END AS baseline_volume_ml",
         "CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 0.0D ELSE 2.0D END AS final_volume_ml",
         "CASE WHEN o_orderkey % 3 = 0 THEN 1.0D END AS early_volume_ml", "0.0D AS baseline_day", "cast(o_orderkey % 29 AS double) AS final_day",
@@ -126,7 +128,24 @@ def schedule_checks(spark, sf):
     return got.groupBy("drug", F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("particle_checks", """SELECT p_partkey, concat_ws(',', CASE WHEN g > 0.1 THEN 'growth_rate_range' END, CASE WHEN cap <= 0 THEN 'carrying_capacity_not_positive' END,
+# headers of schedules, with the defects of the columns
+HEADERS = """SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_suppkey::VARCHAR END AS schedule_id, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS regimen_name,
+  CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END AS total_duration_days, s_suppkey % 9 > 0 AS has_events FROM supplier"""
+
+
+@query("schedule_headers", f"""SELECT s_suppkey, concat_ws(',', CASE WHEN schedule_id = '' THEN 'schedule_id_missing' END, CASE WHEN regimen_name IS NULL THEN 'regimen_name_missing' END,
+  CASE WHEN total_duration_days IS NULL THEN 'duration_missing' END, CASE WHEN total_duration_days < 0 THEN 'duration_negative' END, CASE WHEN NOT has_events THEN 'events_missing' END) AS reasons FROM ({HEADERS})""")
+def schedule_headers(spark, sf):
+    """Headers written as documents, read back and checked."""
+    rows = table(spark, sf, "supplier").selectExpr("s_suppkey", """to_json(named_struct('schedule_id', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE cast(s_suppkey AS string) END,
+      'regimen_name', CASE WHEN s_suppkey % 5 > 0 THEN s_name END, 'total_duration_days', CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END,
+      'events', CASE WHEN s_suppkey % 9 > 0 THEN cast(array() AS array<string>) END, 'supplier', s_suppkey)) AS value""")
+    return checks.header_reasons(cohorts.headers(rows, "value", ["s_suppkey"])).select("s_suppkey", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("particle_checks", """SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 23 = 0 THEN 'growth_law_unknown' END, CASE WHEN p_partkey % 6 = 0 THEN 'decay_missing' END,
+  CASE WHEN g > 0.1 THEN 'growth_rate_range' END, CASE WHEN cap <= 0 THEN 'carrying_capacity_not_positive' END,
+  CASE WHEN p_partkey % 6 = 0 THEN 'sensitivity_missing' END, CASE WHEN p_partkey % 6 = 0 THEN 'ec50_missing' END,
   CASE WHEN t > 1 THEN 'sensitivity_range' END, CASE WHEN r > 1 THEN 'resistant_fraction_range' END) AS errors,
   concat_ws(',', CASE WHEN g > 0.05 THEN 'high_growth_rate' END, CASE WHEN t > 0.5 THEN 'high_sensitivity' END, CASE WHEN r > 0.6 THEN 'high_resistant_fraction' END) AS warnings
   FROM (SELECT p_partkey, p_size / 256.0::DOUBLE AS g, p_retailprice - 1000 AS cap, (p_partkey % 80) / 64.0::DOUBLE AS t, (p_partkey % 70) / 64.0::DOUBLE AS r FROM part)""")
@@ -134,8 +153,9 @@ def particle_checks(spark, sf):
     df = table(spark, sf, "part").selectExpr(
         "p_partkey", "p_size / 256.0D AS growth_rate", "p_retailprice - 1000 AS carrying_capacity_ml", "(p_partkey % 70) / 64.0D AS resistant_fraction",
         "0.1D AS resistant_sensitivity_scale", "0.1D AS observation_noise_fraction", "map('taxane', (p_partkey % 80) / 64.0D) AS drug_sensitivity",
-        "map('taxane', 0.5D) AS drug_ec50", "map('taxane', 0.2D) AS drug_decay")
-    got = checks.particle_reasons(df)
+        "map('taxane', 0.5D) AS drug_ec50", "map('taxane', 0.2D) AS drug_decay", "CASE p_partkey % 23 WHEN 0 THEN 'exponential' WHEN 1 THEN 'logistic' END AS growth_law",
+        "CASE p_partkey % 6 WHEN 0 THEN array('taxane', 'endocrine_agent') WHEN 1 THEN array('taxane') END AS scheduled")
+    got = checks.particle_reasons(df, F.col("scheduled"))
     return got.select("p_partkey", F.concat_ws(",", "errors").alias("errors"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
@@ -176,7 +196,9 @@ def grid_consistency(spark, sf):
     return checks.grid_consistency(df, ["l_returnflag"], ["l_linenumber"], "day")
 
 
-PHRASES = (*checks.UNSAFE_PHRASES, "and the", "on the", "que la")
+# the unsafe phrases once more, written out, and three that the given texts hold
+PHRASES = ("will cure", "guaranteed", "best treatment", "you should take", "clinical pcr prediction", "cancer is gone", "this treatment will work", "this treatment will cure",
+           "you should choose this treatment", "guaranteed response", "and the", "on the", "que la")
 PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
 
 
@@ -186,17 +208,36 @@ def phrase_scan(spark, sf):
     texts = (table(spark, sf, "documents").select(F.lit("documents").alias("kind"), "text")
              .union(table(spark, sf, "conversations").select(F.lit("conversations"), "text"))
              .union(table(spark, sf, "pages").select(F.lit("pages"), "html")))
-    return checks.phrase_scan(texts, "text", PHRASES).select("kind", F.explode("phrases").alias("phrase")).groupBy(
+    return checks.phrase_scan(texts, "text", (*checks.UNSAFE_PHRASES, "and the", "on the", "que la")).select("kind", F.explode("phrases").alias("phrase")).groupBy(
         "kind", "phrase").agg(F.count("*").alias("n_texts"))
 
 
-@query("document_constraints", """SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN ts < TIMESTAMP '2024-01-02' THEN 'day_minimum' END,
-  CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'source_enum' END, CASE WHEN value >= 100 THEN 'any_of_volume_diameter' END) AS reasons FROM events) GROUP BY reasons""")
+# measurements as they arrive, with the defects of the columns
+ARRIVING = """SELECT event_id, CASE WHEN user_id % 31 = 0 THEN '' ELSE user_id::VARCHAR END AS case_id, date_diff('day', DATE '2024-01-03', ts::DATE)::DOUBLE AS day,
+  CASE event_type WHEN 'click' THEN 'manual' WHEN 'view' THEN 'mask_derived' WHEN 'purchase' THEN 'metadata' ELSE 'phone' END AS source,
+  CASE WHEN event_id % 13 > 0 THEN 'high' END AS confidence, CASE WHEN event_id % 3 > 0 THEN value - 1 END AS tumor_volume_ml, CASE WHEN event_id % 4 = 0 THEN value / 10 END AS longest_diameter_cm FROM events"""
+
+
+@query("document_constraints", f"""SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN case_id = '' THEN 'case_id_missing' END, CASE WHEN day < 0 THEN 'day_minimum' END,
+  CASE WHEN source NOT IN ('manual', 'metadata', 'mask_derived', 'synthetic', 'demo') THEN 'source_enum' END, CASE WHEN confidence IS NULL THEN 'confidence_missing' END,
+  CASE WHEN tumor_volume_ml IS NULL AND longest_diameter_cm IS NULL THEN 'any_of_volume_diameter' END, CASE WHEN tumor_volume_ml < 0 THEN 'tumor_volume_ml_minimum' END) AS reasons FROM ({ARRIVING})) GROUP BY reasons""")
 def document_constraints(spark, sf):
-    df = S.events(spark, sf)
-    got = checks.with_reasons(df, [
-        ("day_minimum", F.col("ts") >= F.lit("2024-01-02").cast("timestamp")), ("source_enum", F.col("event_type").isin("click", "view", "purchase")),
-        ("any_of_volume_diameter", F.col("value") < 100)])
+    df = table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 31 == 0, "").otherwise(F.col("user_id").cast("string")).alias("case_id"), F.datediff("ts", F.lit("2024-01-03").cast("date")).cast("double").alias("day"),
+        F.when(F.col("event_type") == "click", "manual").when(F.col("event_type") == "view", "mask_derived").when(F.col("event_type") == "purchase", "metadata").otherwise("phone").alias("source"),
+        F.when(F.col("event_id") % 13 > 0, "high").alias("confidence"), F.when(F.col("event_id") % 3 > 0, F.col("value") - 1).alias("tumor_volume_ml"),
+        F.when(F.col("event_id") % 4 == 0, F.col("value") / 10).alias("longest_diameter_cm"), F.lit(None).cast("double").alias("true_tumor_volume_ml"))
+    got = checks.with_reasons(df, checks.measurement_constraints())
+    return got.groupBy(F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("event_constraints", f"""SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN drug = '' THEN 'drug_missing' END, CASE WHEN day < 0 THEN 'day_minimum' END,
+  CASE WHEN relative_dose IS NULL THEN 'dose_minimum' END) AS reasons FROM (
+  SELECT CASE WHEN drug = 'error' THEN '' ELSE drug END AS drug, day - 0.5 AS day, CASE WHEN relative_dose > 0.1 THEN relative_dose END AS relative_dose FROM ({S.DOSES}))) GROUP BY reasons""")
+def event_constraints(spark, sf):
+    df = S.doses(spark, sf).select(F.when(F.col("drug") == "error", "").otherwise(F.col("drug")).alias("drug"), (F.col("day") - 0.5).alias("day"),
+                                   F.when(F.col("relative_dose") > 0.1, F.col("relative_dose")).alias("relative_dose"))
+    got = checks.with_reasons(df, checks.event_constraints())
     return got.groupBy(F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
 
 
@@ -229,9 +270,11 @@ def feature_merge(spark, sf):
 
 VOXELS = """SELECT vec_id, label, (i - 1) % 4 AS x, ((i - 1) // 4) % 4 AS y, (i - 1) // 16 AS z, embedding[i]::DOUBLE AS intensity, embedding[i]::DOUBLE > 0 AS mask
   FROM (SELECT vec_id, label, embedding, unnest(range(1, 65))::INT AS i FROM embeddings)"""
+BOX = [f"{f}_{c}" for c in "xyz" for f in ("min", "max")]
+BOX_SQL = ", ".join(f"{b[:3]}({b[-1]}) FILTER (mask) AS {b}" for b in BOX)
 MASKS = f"""SELECT vec_id, count(v) AS mask_voxels, count(*) AS total_voxels, count(v) * 0.5::DOUBLE AS volume_ml, avg(v) AS enhancement_mean, stddev_pop(v) AS enhancement_std,
   avg((v < 0.05)::INT) AS low_enhancement_fraction, avg((v >= 0.1)::INT) AS enhancing_fraction, count(*) FILTER (v >= 0.1) * 0.5::DOUBLE AS functional_tumor_volume_ml,
-  avg(x) FILTER (mask) AS centroid_x, avg(y) FILTER (mask) AS centroid_y, avg(z) FILTER (mask) AS centroid_z, max(x) FILTER (mask) AS max_x, min(z) FILTER (mask) AS min_z, max(intensity) AS max_intensity
+  avg(x) FILTER (mask) AS centroid_x, avg(y) FILTER (mask) AS centroid_y, avg(z) FILTER (mask) AS centroid_z, {BOX_SQL}, max(intensity) AS max_intensity
   FROM (SELECT *, CASE WHEN mask THEN intensity END AS v FROM ({VOXELS})) GROUP BY vec_id"""
 MASK_COLS = ("enhancement_mean", "enhancement_std", "low_enhancement_fraction", "enhancing_fraction", "centroid_x", "centroid_y", "centroid_z", "max_intensity")
 
@@ -243,9 +286,9 @@ def masks(spark, sf):
     return curate.mask_features(voxels, ["vec_id"], 0.5, 0.1, 0.05)
 
 
-@query("mask_features", f"SELECT vec_id, mask_voxels, total_voxels, volume_ml, functional_tumor_volume_ml, max_x, min_z, {', '.join(f'{R(c)} AS {c}' for c in MASK_COLS)} FROM ({MASKS})")
+@query("mask_features", f"SELECT vec_id, mask_voxels, total_voxels, volume_ml, functional_tumor_volume_ml, {', '.join(BOX)}, {', '.join(f'{R(c)} AS {c}' for c in MASK_COLS)} FROM ({MASKS})")
 def mask_features(spark, sf):
-    return rounded(masks(spark, sf).select("vec_id", "mask_voxels", "total_voxels", "volume_ml", "functional_tumor_volume_ml", "max_x", "min_z", *MASK_COLS))
+    return rounded(masks(spark, sf).select("vec_id", "mask_voxels", "total_voxels", "volume_ml", "functional_tumor_volume_ml", *BOX, *MASK_COLS))
 
 
 @query("qc_gate", f"""SELECT vec_id, CASE WHEN mask_voxels >= 38 OR max_intensity <= 0 THEN 'failed' WHEN s >= 0.8 THEN 'high' WHEN s < 0.5 THEN 'low' ELSE 'medium' END AS qc_label,
@@ -288,29 +331,51 @@ def cohort_lines(spark, sf):
     return got.select("case_id", "baseline_day", "baseline_volume_ml", "final_day", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@query("cohort_documents", """SELECT o_orderkey::VARCHAR AS case_id, min(l_linenumber)::DOUBLE AS baseline_day, max(l_linenumber)::DOUBLE AS final_day, count(*)::INT AS n_points FROM (
+@query("cohort_documents", """SELECT o_orderkey::VARCHAR AS case_id, min(l_linenumber)::DOUBLE AS baseline_day, max(l_linenumber)::DOUBLE AS final_day, count(*)::INT AS n_points,
+  CASE WHEN count(*) < 2 THEN 'fewer_than_two_points,invalid_time_order' ELSE '' END AS reasons FROM (
   SELECT DISTINCT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey""")
 def cohort_documents(spark, sf):
-    """Documents with a list ``cases`` of one record each, whose measurements are an order's lines."""
+    """Documents of one to many records: a list, an object with a list ``cases``, or single objects; a record's measurements are an order's lines."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("price"))
     docs = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(
         F.col("l_linenumber").alias("day"), F.col("price").alias("tumor_volume_ml"))).alias("measurements"))
     keyed = docs.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    text = keyed.select(F.to_json(F.struct(F.array(F.struct(F.col("l_orderkey").alias("case_id"), "measurements")).alias("cases"))).alias("value"))
+    record = F.struct(F.col("l_orderkey").alias("case_id"), "measurements")
+    many = keyed.filter("l_orderkey % 3 > 0").groupBy((F.floor(F.col("l_orderkey") / 12)).alias("d")).agg(F.collect_list(record).alias("cases"))
+    text = many.select(F.when(F.col("d") % 2 == 0, F.to_json("cases")).otherwise(F.to_json(F.struct("cases"))).alias("value"))
+    text = text.unionByName(keyed.filter("l_orderkey % 3 = 0").select(F.to_json(record).alias("value")))
     got = cohorts.cases(cohorts.rows_from_documents(text, "value"))
-    return got.select("case_id", "baseline_day", "final_day", "n_points")
+    return got.select("case_id", "baseline_day", "final_day", "n_points", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("cohort_csv", """SELECT s_suppkey::VARCHAR AS case_id, 0.0::DOUBLE AS baseline_day, s_acctbal AS baseline_volume_ml, CASE WHEN s_suppkey % 3 > 0 THEN 60.0 END::DOUBLE AS final_day,
+  concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'final_unusable' END, CASE WHEN s_acctbal <= 0 THEN 'non_positive_volume' END, CASE WHEN s_suppkey % 3 = 0 THEN 'invalid_time_order' END) AS reasons FROM supplier""")
+def cohort_csv(spark, sf):
+    """A cohort written as CSV with a header and empty cells, and read back."""
+    path = f"{scratch(spark, 'cohort')}.csv"
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_acctbal").alias("baseline_volume_ml"),
+                                               F.when(F.col("s_suppkey") % 3 > 0, 60).alias("final_day"), F.lit(2.5).alias("final_volume_ml"))
+    rows.write.option("header", True).csv(path)
+    got = cohorts.cases(cohorts.read_rows(spark, path))
+    return got.select("case_id", "baseline_day", "baseline_volume_ml", "final_day", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@query("schedule_documents", f"""SELECT schedule_id::VARCHAR AS schedule_id, count(*) AS n_events, {R('sum(relative_dose)', 12)} AS total_dose, count(DISTINCT drug) AS n_drugs FROM ({S.DOSES}) GROUP BY schedule_id""")
+@query("schedule_documents", f"""SELECT schedule_id::VARCHAR AS schedule_id, 'regimen ' || (schedule_id % 3) AS regimen_name, 'weekly' AS schedule_type, (schedule_id % 90 + 1)::DOUBLE AS total_duration_days,
+  count(*) AS n_events, {R('sum(relative_dose)', 12)} AS total_dose, count(DISTINCT drug) AS n_drugs, count(*) FILTER (day > schedule_id % 90 + 1) AS n_late FROM ({S.DOSES}) GROUP BY ALL""".replace("'weekly' AS", "CASE WHEN schedule_id % 2 = 0 THEN 'weekly' END AS"))
 def schedule_documents(spark, sf):
-    """Schedule documents written from the dose events (one document per event), read back and added up."""
-    d = S.doses(spark, sf).select(F.col("schedule_id").cast("string").alias("schedule_id"), F.lit("ac-t").alias("regimen_name"),
-                                  F.array(F.struct("drug", "day", "relative_dose")).alias("events"))
-    text = d.select(F.to_json(F.struct("*")).alias("value"))
+    """Schedule documents written from the dose events (a document for each schedule and week), read back, and joined to their headers."""
+    d = S.doses(spark, sf)
+    per_week = d.groupBy("schedule_id", F.floor(F.col("day") / 7).alias("week")).agg(F.collect_list(F.struct("drug", "day", "relative_dose")).alias("events"))
+    text = per_week.select(F.to_json(F.struct(
+        F.col("schedule_id").cast("string").alias("schedule_id"), F.concat(F.lit("regimen "), (F.col("schedule_id") % 3).cast("string")).alias("regimen_name"),
+        F.when(F.col("schedule_id") % 2 == 0, "weekly").alias("schedule_type"), (F.col("schedule_id") % 90 + 1).cast("double").alias("total_duration_days"), "events")).alias("value"))
     headers, events = cohorts.schedules(text, "value")
-    per = events.groupBy("schedule_id", "drug").agg(F.count("*").alias("n"), F.sum("relative_dose").alias("dose"))
-    got = per.groupBy("schedule_id").agg(F.sum("n").alias("n_events"), F.sum("dose").alias("total_dose"), F.count("*").alias("n_drugs"))
-    return rounded(cohorts.with_schedule(got, headers.select("schedule_id", "regimen_name").distinct()).select("schedule_id", "n_events", "total_dose", "n_drugs"), 12)
+    met = cohorts.with_schedule(events, headers.distinct())
+    per = met.groupBy("schedule_id", "regimen_name", "schedule_type", "total_duration_days", "drug").agg(
+        F.count("*").alias("n"), F.sum("relative_dose").alias("dose"), F.count_if(F.col("day") > F.col("total_duration_days")).alias("late"))
+    got = per.groupBy("schedule_id", "regimen_name", "schedule_type", "total_duration_days").agg(
+        F.sum("n").alias("n_events"), F.sum("dose").alias("total_dose"), F.count("*").alias("n_drugs"), F.sum("late").alias("n_late"))
+    return rounded(got, 12, ["total_dose"])
 
 
 @query("lookup_long", "SELECT p_partkey::VARCHAR AS id, unnest(['anthracycline', 'taxane']) AS name, unnest([p_size::DOUBLE, p_retailprice]) AS value FROM part")

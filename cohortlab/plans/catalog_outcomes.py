@@ -147,17 +147,19 @@ def output_audit(spark, sf):
     return got.select("role", F.explode("broken_rules").alias("rule")).groupBy("role", "rule").agg(F.count("*").alias("n"))
 
 
-BASED = f"""SELECT *, first_value(volume_ml) OVER (PARTITION BY case_id ORDER BY day, obs_id) AS baseline_volume_ml FROM ({S.MEASUREMENTS})"""
+BASED = f"""SELECT *, first_value(volume_ml) OVER (PARTITION BY case_id ORDER BY day, obs_id) AS baseline_volume_ml, first_value(day) OVER (PARTITION BY case_id ORDER BY day, obs_id) AS baseline_day FROM ({S.MEASUREMENTS})"""
 
 
 def based(spark, sf):
-    return symptoms.baseline_attached(S.measurements(spark, sf), ["case_id"], "day", "obs_id", "volume_ml", "baseline_volume_ml")
+    first = symptoms.baseline_attached(S.measurements(spark, sf), ["case_id"], "day", "obs_id", "volume_ml", "baseline_volume_ml")
+    return symptoms.baseline_attached(first, ["case_id"], "day", "obs_id", "day", "baseline_day")
 
 
-@query("change_features", f"SELECT obs_id, {R('100 * (volume_ml - baseline_volume_ml) / baseline_volume_ml', 6)} AS percent_change, {R('ln(volume_ml / baseline_volume_ml)')} AS log_change FROM ({BASED})")
+@query("change_features", f"""SELECT obs_id, {R('100 * (volume_ml - baseline_volume_ml) / baseline_volume_ml', 6)} AS percent_change, {R('ln(volume_ml / baseline_volume_ml)')} AS log_change,
+  {R('CASE WHEN day <> baseline_day THEN ln(volume_ml / baseline_volume_ml) / (day - baseline_day) END', 7)} AS response_slope FROM ({BASED})""")
 def change_features(spark, sf):
-    got = trends.change_features(based(spark, sf)).select("obs_id", "percent_change", "log_change")
-    return rounded(rounded(got, 6, ["percent_change"]), 8, ["log_change"])
+    got = trends.change_features(based(spark, sf)).select("obs_id", "percent_change", "log_change", "response_slope")
+    return rounded(rounded(rounded(got, 6, ["percent_change"]), 8, ["log_change"]), 7, ["response_slope"])
 
 
 @query("stratum_curves", f"""SELECT segment, day_bin, {R('avg(volume_ml / baseline_volume_ml)', 6)} AS mean_ratio, count(*) AS n_rows FROM (

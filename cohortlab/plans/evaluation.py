@@ -36,6 +36,12 @@ def layered_priors(facts: DataFrame, keep: list[str], layers=(2, 3, 4)) -> DataF
     return df.select(*keep, F.explode(F.when(F.col("usable"), chosen)).alias("g")).select(*keep, "g.*")
 
 
+def with_lineage(priors_: DataFrame) -> DataFrame:
+    """Add the version of each layer's prior and of the one it was made from (none for the population)."""
+    names = F.create_map(*[F.lit(x) for pair in priors.LAYER_NAMES.items() for x in pair])
+    return priors_.withColumns({"prior_version": F.try_element_at(names, F.col("layer")), "base_prior_version": F.try_element_at(names, F.col("layer") - 1)})
+
+
 def layer_bands(facts: DataFrame, case: str, n: int, seed: int, layers=(2, 3, 4), carry=()) -> DataFrame:
     """Prior-predictive bands per case and layer.
 
@@ -53,11 +59,11 @@ def layer_bands(facts: DataFrame, case: str, n: int, seed: int, layers=(2, 3, 4)
 
 
 def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int = 2026,
-             ctx: Context | None = None, demo_text: Column | None = None) -> dict[str, DataFrame]:
+             ctx: Context | None = None, demo_text: Column | None = None, allow_demo: bool = False) -> dict[str, DataFrame]:
     """Baselines and layers against the held-out final volumes.
 
-    ``demo_text`` is the text in which demo tokens are refused, such as the file's path and the
-    row; without it nothing is refused. ``counts`` warns of a small cohort, and reading it fails
+    A row that holds a demo token fails the run unless ``allow_demo``; ``demo_text`` is the text that is looked through, by default the
+    case's name, its ``source_file`` if there is one, and its whole context. ``counts`` warns of a small cohort, and reading it fails
     when no case is in scope.
 
     ``cases`` holds the key points and ``context``. Out-of-scope cases still count in
@@ -66,8 +72,9 @@ def evaluate(cases: DataFrame, case: str = "case_id", n: int = 2000, seed: int =
     """
     if n < 100:
         raise ValueError("n must be at least 100")
-    if demo_text is not None:
-        cases = demo_guard(cases, demo_text)
+    if not allow_demo:
+        named = [F.col(c).cast("string") for c in (case, "source_file") if c in cases.columns]
+        cases = demo_guard(cases, demo_text if demo_text is not None else F.concat_ws(" ", *named, F.to_json(F.col((ctx or Context()).column))))
     df = with_reasons(cases, case_constraints(), "case_errors")
     df = df.withColumns({"days": F.col("final_day") - F.col("baseline_day"), "observed": F.col("final_volume_ml")})
     df = materialize(df.filter(F.size("case_errors") == 0).drop("case_errors"))

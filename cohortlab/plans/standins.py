@@ -44,7 +44,8 @@ def customer_rows(spark: SparkSession, sf: str) -> DataFrame:
         'registration_qc', CASE WHEN c_custkey % 9 = 0 THEN 'poor' ELSE 'good' END,
         'enhancement_std', (c_custkey % 50) / 100.0D,
         'low_enhancement_fraction', (c_custkey % 97) / 96.0D,
-        'volume_ml', 10.0D, 'functional_tumor_volume_ml', cast(c_custkey % 13 AS double)))) AS json""")
+        'volume_ml', CASE WHEN c_custkey % 17 <> 0 THEN 10.0D END, 'functional_tumor_volume_ml', CASE WHEN c_custkey % 17 <> 0 THEN cast(c_custkey % 13 AS double) END,
+        'longest_diameter_cm', CASE WHEN c_custkey % 17 = 0 THEN 2.5D END))) AS json""")
 
 
 def customer_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +53,12 @@ def customer_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("case_id", F.parse_json("json").alias("context"))
 
 
-FACTS = """SELECT c_custkey AS case_id, c_custkey AS k,
+# customers of whom only a diameter is known: imaging rules do not hold for them
+FACTS = """SELECT *, raw_segmentation_low AND NOT report_only AS segmentation_low, raw_registration_low AND NOT report_only AS registration_low,
+  raw_enhancement_high AND NOT report_only AS enhancement_high, raw_low_enhancement AND NOT report_only AS low_enhancement_high, raw_mismatch AND NOT report_only AS ftv_mismatch,
+  CASE WHEN report_only THEN 'diameter_derived_volume' WHEN raw_segmentation_low THEN 'low_qc_mri_volume'
+    WHEN c_custkey % 10 = 8 THEN 'high_qc_mri_volume' ELSE 'medium_qc_mri_volume' END AS noise_kind FROM (
+  SELECT c_custkey, c_custkey AS case_id, c_custkey AS k, c_custkey % 17 = 0 AS report_only,
   c_mktsegment IN ('BUILDING', 'MACHINERY') AS is_tnbc, c_nationkey % 4 IN (0, 1) AS is_chemo,
   c_mktsegment, c_nationkey,
   (c_custkey % 6 = 1 AND NOT (c_acctbal / 100.0::DOUBLE BETWEEN 0 AND 100)) AS ki67_bad,
@@ -62,12 +68,9 @@ FACTS = """SELECT c_custkey AS case_id, c_custkey AS k,
   CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 4 THEN 1 END AS grade,
   (c_nationkey % 3 = 1 AND c_custkey % 7 = 0) OR c_custkey % 11 = 0 AS receptor_positive,
   c_custkey % 4 = 1 AS repair_positive, c_custkey % 4 IN (2, 3) AS repair_missing,
-  c_custkey % 10 IN (0, 2, 4) OR c_custkey % 4 = 1 AS segmentation_low, c_custkey % 9 = 0 AS registration_low,
-  c_custkey % 50 >= 30 AS enhancement_high, c_custkey % 97 >= 34 AS low_enhancement_high,
-  c_custkey % 13 IN (0, 12) AS ftv_mismatch,
-  CASE WHEN c_custkey % 10 IN (0, 2, 4) OR c_custkey % 4 = 1 THEN 'low_qc_mri_volume'
-    WHEN c_custkey % 10 = 8 THEN 'high_qc_mri_volume' ELSE 'medium_qc_mri_volume' END AS noise_kind
-  FROM customer"""
+  c_custkey % 10 IN (0, 2, 4) OR c_custkey % 4 = 1 AS raw_segmentation_low, c_custkey % 9 = 0 AS raw_registration_low,
+  c_custkey % 50 >= 30 AS raw_enhancement_high, c_custkey % 97 >= 34 AS raw_low_enhancement,
+  c_custkey % 13 IN (0, 12) AS raw_mismatch FROM customer)"""
 
 # ---- dose events: one schedule per user, one drug per event type -----------------------
 DOSES = """SELECT user_id AS schedule_id, event_type AS drug,
@@ -88,7 +91,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- forecasts with intervals: one per line item ---------------------------------------
-FORECASTS = """SELECT l_orderkey AS case_id, l_returnflag AS method, l_linestatus AS cohort,
+FORECASTS = """SELECT l_orderkey AS case_id, l_returnflag AS method, l_linestatus AS cohort, l_linenumber AS horizon,
   l_extendedprice / 1024.0::DOUBLE AS observed, l_quantity * 1.5::DOUBLE AS point,
   CASE WHEN l_returnflag <> 'N' THEN l_quantity * 1.5::DOUBLE * (1 - 4 * l_discount) END AS lo80,
   CASE WHEN l_returnflag <> 'N' THEN l_quantity * 1.5::DOUBLE * (1 + 4 * l_discount) END AS hi80,
@@ -102,6 +105,6 @@ def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     point = F.col("l_quantity") * 1.5
     band = lambda k: F.when(has, point * (1 + k * F.col("l_discount")))
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("cohort"),
+        F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("cohort"), F.col("l_linenumber").alias("horizon"),
         (F.col("l_extendedprice") / 1024.0).alias("observed"), point.alias("point"),
         band(-4).alias("lo80"), band(4).alias("hi80"), band(-8).alias("lo95"), band(8).alias("hi95"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortlab.functions.context import Context, fence, stage
+from cohortlab.functions.context import Context, Value, fence, stage
 from cohortlab.operators.checks import with_reasons
 
 # Aliases of the cohort fields, first usable one wins.
@@ -57,13 +57,12 @@ def rows_from_lines(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.trim(column) != "").select(F.parse_json(F.col(column)).alias("row"), *others)
 
 
-def _usable(names) -> tuple[Column, Column]:
-    """(given, number) of the first staged alias that is neither absent, null nor empty text."""
-    given = [~F.coalesce(F.col(f"x_{n}_k"), F.lit("NULL")).isin("NULL") & ~F.coalesce(F.col(f"x_{n}_t") == "", F.lit(False))
-             for n in names]
+def _usable(values: list[Value]) -> tuple[Column, Column]:
+    """(given, number) of the first alias that is neither absent, null nor empty text."""
+    given = [~v.missing & ~F.coalesce(v.text == "", F.lit(False)) for v in values]
     value = F.lit(None).cast("double")
-    for ok, name in reversed(list(zip(given, names))):
-        value = F.when(ok, F.col(f"x_{name}_n")).otherwise(value)
+    for ok, v in reversed(list(zip(given, values))):
+        value = F.when(ok, v.number).otherwise(value)
     return reduce(lambda a, b: a | b, given), value
 
 
@@ -87,7 +86,7 @@ def cases(rows: DataFrame) -> DataFrame:
         "p_last": F.try_element_at("series", F.lit(-1))})
     fields = {"b_day": ("baseline_day",), "b_vol": BASELINE, "f_day": FINAL_DAY, "f_vol": FINAL, "e_day": EARLY_DAY, "e_vol": EARLY}
     for tag, aliases in fields.items():
-        given, value = _usable(aliases)
+        given, value = _usable([x[n] for n in aliases])
         df = df.withColumns({f"{tag}_given": given, f"{tag}_value": value})
     pick = lambda of_list, tag: F.when(F.col("listed"), of_list).otherwise(F.col(f"{tag}_value"))
     second = F.when(F.col("n_points") > 2, F.col("p_second"))
@@ -136,6 +135,14 @@ def schedules(docs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
             parsed.select("schedule_id", F.explode("events").alias("e")).select("schedule_id", "e.*"))
 
 
+def headers(docs: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Headers of schedule documents for ``checks.header_reasons``, with the columns ``keep``: what is of another type than it should be is null."""
+    v = docs.select(*keep, F.try_parse_json(F.col(column)).alias("v"))
+    get = lambda n, t: F.try_variant_get("v", f"$.{n}", t).alias(n)
+    return v.select(*keep, get("schedule_id", "string"), get("regimen_name", "string"), get("total_duration_days", "double"),
+                    F.try_variant_get("v", "$.events", "array<variant>").isNotNull().alias("has_events"))
+
+
 def with_schedule(cases_: DataFrame, headers: DataFrame) -> DataFrame:
     """Cases with the header of the schedule they refer to."""
     return cases_.join(headers, "schedule_id", "left")
