@@ -200,11 +200,11 @@ def _meet(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _drawn(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """id, pivot, blocks and shingles for (id, pivot, blocks): full sets are drawn once a document, from its whole text."""
+    """id, pivot, blocks and shingles for (id, pivot, blocks), written down: full sets are drawn once a document, from its whole text."""
     pivots = pairs.groupBy("id").agg(F.collect_list(F.struct("pivot", "blocks")).alias("pivots"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(pivots.hint("merge"), "id")  # one plan at every size
     held = arrow.map_batches(texts.select("id", "pivots", "text"), lambda b: _sets(b, size), "id long, pivots array<struct<pivot: long, blocks: int>>, shingles binary")
-    return held.select("id", "shingles", F.explode("pivots").alias("p")).select("id", "shingles", "p.*")
+    return materialize(held).select("id", "shingles", F.explode("pivots").alias("p")).select("id", "shingles", "p.*")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -218,17 +218,19 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     pairs = materialize(candidates(classes))
     blocks_of = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     sized = materialize(pairs.join(pairs.groupBy("pivot").agg(blocks_of().alias("blocks")), "pivot"))
-    small = _drawn(docs, sized.filter("blocks = 1"), size).withColumn("role", (F.col("id") != F.col("pivot")).cast("int"))
+    drawn = _drawn(docs, sized, size)
+    small = drawn.filter("blocks = 1").withColumn("role", (F.col("id") != F.col("pivot")).cast("int"))
     found = small.groupBy("pivot").applyInPandas(lambda rows: _cell(rows, percent), "a long, b long")
     if sized.filter("blocks > 1").isEmpty():
         return found
-    large = materialize(_drawn(docs, sized.filter("blocks > 1"), size).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    large = drawn.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     star = large.select("id", "pivot", "shingles", (F.col("id") != F.col("pivot")).cast("int").alias("role"), F.explode(cells).alias("cell"))
     star = materialize(star.groupBy("pivot", "cell").applyInPandas(lambda rows: _star(rows, percent), "id long, pivot long, linked boolean"))
     apart = star.filter("NOT linked").select("id", "pivot")
-    counts = sized.join(apart, ["id", "pivot"]).groupBy("pivot").agg(blocks_of().alias("own"))
-    rows = large.filter("id <> pivot").join(counts, "pivot").join(apart.withColumn("asks", F.lit(True)), ["id", "pivot"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    counts = sized.join(apart, ["id", "pivot"]).groupBy("pivot").agg(blocks_of().alias("own"), F.max("blocks").alias("blocks"))
+    counts = counts.select("pivot", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))  # no hot key
+    rows = large.filter("id <> pivot").join(counts, ["pivot", "block"]).join(apart.withColumn("asks", F.lit(True)), ["id", "pivot"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     held = rows.select("pivot", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("block").alias("j"), "id", "shingles", F.lit(False).alias("asks"))
     asking = rows.filter("asks").select("pivot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("own")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "shingles", "asks")
     met = held.unionByName(asking).groupBy("pivot", "i", "j").applyInPandas(lambda rows: _meet(rows, percent), "a long, b long")
