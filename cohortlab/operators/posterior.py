@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlab.operators.ranks import quantiles_of
-from cohortlab.operators.scale import attach, weighted_quantiles
+from cohortlab.operators.ranks import quantiles
+from cohortlab.operators.scale import attach
 from cohortlab.session import materialize
 
+#: Log-likelihoods of one step are added up together; far from the range of a double.
+STEP = 64.0
+
 
 def with_observed(predictions: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions that have an observation on the same case and day.
@@ -30,16 +33,18 @@ def log_likelihood(predictions: DataFrame, case: list[str], particle: list[str],
 
 
 def weights(loglik: DataFrame, case: list[str]) -> DataFrame:
-    """Add ``weight``, summing to one per case; the maximum is taken off before exp.
+    """Add ``weight``, summing to one per case.
 
-    The likelihoods are read three times, so they are written once.
+    The likelihoods are read twice, so they are written once. Maximum and total come from one aggregation: likelihoods are added up
+    in steps of ``STEP``, each relative to its own upper end, and the steps of a case, a few rows, relative to the highest.
     """
     loglik = materialize(loglik)
-    top = loglik.groupBy(*case).agg(F.max("loglik").alias("top"), F.count("*").alias("n"))
-    rows = attach(loglik, top, case).withColumn("raw", F.exp(F.col("loglik") - F.col("top")))
-    total = rows.groupBy(*case).agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
-    return attach(rows, total, case).withColumn("weight", F.col("raw") / F.col("total")).drop(
-        "raw", "total", "top")
+    step = F.ceil(F.col("loglik") / STEP)
+    parts = loglik.groupBy(*case, step.alias("w_step")).agg(F.sum(F.exp(F.col("loglik") - step * STEP)).alias("w_sum"), F.max("loglik").alias("w_top"), F.count("*").alias("n"))
+    top = F.max("w_top").over(Window.partitionBy(*case))
+    totals = parts.withColumn("w_top", top).groupBy(*case).agg(
+        F.max("w_top").alias("top"), F.sum(F.col("w_sum") * F.exp(F.least(F.col("w_step") * STEP - F.col("w_top"), F.lit(STEP)))).alias("total"), F.sum("n").alias("n"))
+    return attach(loglik, totals, case).withColumn("weight", F.exp(F.col("loglik") - F.col("top")) / F.col("total")).drop("top", "total")
 
 
 def effective_size(weighted: DataFrame, case: list[str]) -> DataFrame:
@@ -63,15 +68,12 @@ def mean_predictions(df: DataFrame, keys: list[str], predicted: str = "predicted
 
 
 def parameter_widths(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
-    """Prior and posterior 80% widths of each parameter and their ratio (1 for a constant)."""
-    prior = quantiles_of(df, keys, value, {"p10": 0.1, "p90": 0.9})
-    post = weighted_quantiles(df, keys, value, weight, {"w10": 0.1, "w90": 0.9})
-    ends = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("value_range"))
-    got = prior.join(post, keys).join(ends, keys)
-    widths = got.withColumns({"prior_width_80": F.col("p90") - F.col("p10"),
-                              "posterior_width_80": F.col("w90") - F.col("w10")})
+    """Prior and posterior 80% widths of each parameter and their ratio (1 for a constant), from the same passes over the rows."""
+    got = quantiles(df, keys, {"v": F.col(value)}, {"p0": 0.0, "p10": 0.1, "p90": 0.9, "p100": 1.0}, weight=F.col(weight), weighted={"w10": 0.1, "w90": 0.9})
+    widths = got.select(*keys, F.col("n_v").alias("n"), (F.col("v_p100") - F.col("v_p0")).alias("value_range"),
+                        (F.col("v_p90") - F.col("v_p10")).alias("prior_width_80"), (F.col("v_w90") - F.col("v_w10")).alias("posterior_width_80"))
     ratio = F.when(F.col("prior_width_80") > 0, F.col("posterior_width_80") / F.col("prior_width_80"))
-    return widths.withColumn("width_ratio", F.coalesce(ratio, F.lit(1.0))).drop("p10", "p90", "w10", "w90")
+    return widths.withColumn("width_ratio", F.coalesce(ratio, F.lit(1.0)))
 
 
 def parameter_class(df: DataFrame, inactive: Column, n_obs: Column, low_ess: Column) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.operators import exposure, metrics, pairs, posterior, summarize
-from cohortlab.operators.scale import weighted_quantiles
+from cohortlab.operators.ranks import weighted_quantiles
 from cohortlab.plans import standins as S
 from cohortlab.plans.registry import R, query, rounded, table
 from cohortlab.session import materialize
 
 # ---- long trajectories: line items by ship month --------------------------------------
 PATHS = """SELECT l_returnflag || l_linestatus AS case_id, date_trunc('month', l_shipdate)::DATE AS day, l_extendedprice AS volume_ml FROM lineitem"""
-BANDS = ", ".join(f"quantile_cont(volume_ml, {p}) AS {n}" for n, p in summarize.BANDS.items())
+PROBABILITIES = {"lo95": 0.025, "lo80": 0.1, "median": 0.5, "hi80": 0.9, "hi95": 0.975}
+BANDS = ", ".join(f"quantile_cont(volume_ml, {p}) AS {n}" for n, p in PROBABILITIES.items())
 BY_DAY = f"SELECT *, hi80 - lo80 AS width80 FROM (SELECT case_id, day, count(*) AS n, {BANDS} FROM ({PATHS}) GROUP BY case_id, day)"
-NAMES = (*summarize.BANDS, "width80")
+NAMES = (*PROBABILITIES, "width80")
 
 
 def paths(spark, sf):
@@ -39,14 +40,14 @@ def band_score(spark, sf):
 
 
 @query("tail_share", f"""WITH l AS (SELECT *, max(day) OVER (PARTITION BY case_id) AS last_day FROM ({PATHS}))
-  SELECT case_id, count(*) AS n, {', '.join(f'{R(f"quantile_cont(volume_ml, {p})")} AS {n}' for n, p in summarize.BANDS.items())},
+  SELECT case_id, count(*) AS n, {', '.join(f'{R(f"quantile_cont(volume_ml, {p})")} AS {n}' for n, p in PROBABILITIES.items())},
   {R('avg((volume_ml < 20000)::INT)')} AS share_below FROM l WHERE day = last_day GROUP BY case_id""")
 def tail_share(spark, sf):
     last = summarize.last_day_rows(paths(spark, sf), ["case_id"], "day")
     return rounded(summarize.tail_share(last, ["case_id"], "volume_ml", 20000.0))
 
 
-PARAMS = {"growth_rate": "p_size::DOUBLE", "carrying_capacity_ml": "p_retailprice", "drug_sensitivity.taxane": "l_quantity"}
+PARAMS = {"growth_rate": "p_size::DOUBLE", "carrying_capacity_ml": "l_extendedprice * (1 - l_discount)", "drug_sensitivity.taxane": "l_extendedprice / 100000.0::DOUBLE + l_quantity / 7.0::DOUBLE"}
 DRIVERS = " UNION ALL ".join(f"SELECT l_returnflag AS case_id, '{n}' AS param, {e} AS v, l_extendedprice AS outcome FROM lineitem JOIN part ON l_partkey = p_partkey"
                              for n, e in PARAMS.items())
 
@@ -55,17 +56,16 @@ DRIVERS = " UNION ALL ".join(f"SELECT l_returnflag AS case_id, '{n}' AS param, {
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY c DESC, param)::INT AS rank FROM (
   SELECT case_id, param, CASE WHEN count(*) < 3 OR var_pop(v) = 0 THEN 0 ELSE abs(corr(v, outcome)) END AS c FROM ({DRIVERS}) GROUP BY case_id, param))""")
 def driver_corr(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
-    df = table(spark, sf, "lineitem").select("l_partkey", F.col("l_returnflag").alias("case_id"), "l_quantity", "l_extendedprice").join(part, "l_partkey")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    df = table(spark, sf, "lineitem").select("l_partkey", F.col("l_returnflag").alias("case_id"), "l_quantity", "l_extendedprice", "l_discount").join(part, "l_partkey")
     long = df.select("case_id", F.col("l_extendedprice").alias("outcome"), F.explode(F.array(
-        *[F.struct(F.lit(n).alias("param"), F.col(c).cast("double").alias("v")) for n, c in
-          (("growth_rate", "p_size"), ("carrying_capacity_ml", "p_retailprice"), ("drug_sensitivity.taxane", "l_quantity"))])).alias("p")).select(
+        *[F.struct(F.lit(n).alias("param"), F.expr(e.replace("::DOUBLE", "D") if n != "growth_rate" else "p_size").cast("double").alias("v")) for n, e in PARAMS.items()])).alias("p")).select(
         "case_id", "outcome", "p.*")
     return rounded(summarize.driver_correlation(long, ["case_id"], "param", "v", "outcome"), 7)
 
 
 @query("warning_union", f"""SELECT case_id, string_agg(DISTINCT w, '|' ORDER BY w) AS warnings FROM (
-  SELECT l_returnflag AS case_id, unnest(['{summarize.STANDING_WARNING}', CASE WHEN l_discount > 0.09 THEN 'high_growth_rate' END, CASE WHEN l_returnflag = 'R' AND l_tax > 0.07 THEN 'high_sensitivity' END]) AS w
+  SELECT l_returnflag AS case_id, unnest(['Exploratory simulation; parameters are not clinically validated.', CASE WHEN l_discount > 0.09 THEN 'high_growth_rate' END, CASE WHEN l_returnflag = 'R' AND l_tax > 0.07 THEN 'high_sensitivity' END]) AS w
   FROM lineitem) WHERE w IS NOT NULL GROUP BY case_id""")
 def warning_union(spark, sf):
     found = F.array_compact(F.array(F.when(F.col("l_discount") > 0.09, "high_growth_rate"),
@@ -111,15 +111,18 @@ def output_grid(spark, sf):
 PRED = "SELECT label AS case_id, vec_id AS particle_id, i AS day, 10 + 20 * embedding[i + 1]::DOUBLE AS predicted FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)"
 OBS = f"SELECT case_id, day, avg(predicted) + 0.5 AS observed FROM ({PRED}) WHERE day % 8 = 7 GROUP BY case_id, day"
 LOGLIK = f"""SELECT case_id, particle_id, count(*) AS n_obs, sum(-0.5 * pow((observed - predicted) / sd, 2) - ln(sd)) AS loglik FROM (
-  SELECT *, greatest(0.2 * greatest(observed, 1), 0.25) AS sd FROM ({PRED}) JOIN ({OBS}) USING (case_id, day) WHERE {{where}}) GROUP BY case_id, particle_id"""
+  SELECT *, greatest({{noise}} * greatest(observed, 1), 0.25) AS sd FROM ({PRED}) JOIN ({OBS}) USING (case_id, day) WHERE {{where}}) GROUP BY case_id, particle_id"""
 
 
-def weights_sql(where: str = "true") -> str:
+def weights_sql(where: str = "true", noise: str = "0.2") -> str:
     return f"""SELECT case_id, particle_id, n_obs, loglik, raw / sum(raw) OVER (PARTITION BY case_id) AS weight FROM (
-      SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY case_id)) AS raw FROM ({LOGLIK.format(where=where)}))"""
+      SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY case_id)) AS raw FROM ({LOGLIK.format(where=where, noise=noise)}))"""
 
 
 WEIGHTS = weights_sql()
+#: How sharp the measurements are differs by case, so that some posteriors are wide, some narrow, some degenerate.
+SHARP = "CASE case_id % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.16 WHEN 2 THEN 0.09 ELSE 0.03 END"
+SHARP_WEIGHTS = weights_sql(noise=SHARP)
 
 
 def predictions(spark, sf):
@@ -132,12 +135,12 @@ def observations(pred):
     return pred.filter(F.col("day") % 8 == 7).groupBy("case_id", "day").agg((F.avg("predicted") + 0.5).alias("observed"))
 
 
-def weighted(spark, sf, keep=None):
+def weighted(spark, sf, keep=None, noise="0.2"):
     pred = predictions(spark, sf)
     met = posterior.with_observed(pred, observations(pred), ["case_id", "day"])
     if keep is not None:
         met = met.filter(keep)
-    return posterior.weights(posterior.log_likelihood(met, ["case_id"], ["particle_id"], F.lit(0.2)), ["case_id"])
+    return posterior.weights(posterior.log_likelihood(met, ["case_id"], ["particle_id"], F.expr(noise).cast("double")), ["case_id"])
 
 
 @query("reweight", f"SELECT case_id, particle_id, n_obs, {R('loglik', 6)} AS loglik, {R('weight')} AS weight FROM ({WEIGHTS})")
@@ -145,12 +148,12 @@ def reweight(spark, sf):
     return rounded(rounded(weighted(spark, sf).select("case_id", "particle_id", "n_obs", "loglik", "weight"), 6, ["loglik"]), 8, ["weight"])
 
 
-ESS = f"SELECT *, ess / n_particles AS ess_fraction, ess < greatest(10, 0.02 * n_particles) AS low_ess FROM (SELECT case_id, count(*) AS n_particles, 1 / sum(weight * weight) AS ess FROM ({WEIGHTS}) GROUP BY case_id)"
+ESS = f"SELECT *, ess / n_particles AS ess_fraction, ess < greatest(10, 0.02 * n_particles) AS low_ess FROM (SELECT case_id, count(*) AS n_particles, 1 / sum(weight * weight) AS ess FROM ({SHARP_WEIGHTS}) GROUP BY case_id)"
 
 
 @query("ess", f"SELECT case_id, n_particles, {R('ess', 6)} AS ess, {R('ess_fraction', 6)} AS ess_fraction, low_ess FROM ({ESS})")
 def ess(spark, sf):
-    return rounded(posterior.effective_size(weighted(spark, sf), ["case_id"]), 6)
+    return rounded(posterior.effective_size(weighted(spark, sf, noise=SHARP), ["case_id"]), 6)
 
 
 MEANS = f"SELECT case_id, day, avg(predicted) AS prior_mean, sum(predicted * weight) AS posterior_mean FROM ({PRED}) JOIN ({WEIGHTS}) USING (case_id, particle_id) GROUP BY case_id, day"
@@ -172,9 +175,11 @@ def fit_rmse(spark, sf):
     return rounded(metrics.fit_rmse(got, ["case_id"]), 7)
 
 
-PARAM = {"growth_rate": "(vec_id * 37 % 101) / 1024.0", "resistant_fraction": "(vec_id * 91 % 97) / 128.0", "drug_sensitivity.endocrine_agent": "embedding[{one}]"}
+#: One parameter that the measurements say nothing about, one that they bind (how far the path is off on the measured days), and one in between.
+OFF = " + ".join(f"pow(cast(embedding[{{one}} + {7 + 8 * k}] AS double) - 0.025, 2)" for k in range(8))
+PARAM = {"growth_rate": "(vec_id * 37 % 101) / 1024.0", "resistant_fraction": OFF, "drug_sensitivity.endocrine_agent": "embedding[{one} + 7]"}
 PARAM_SQL = " UNION ALL ".join(f"SELECT label AS case_id, vec_id AS particle_id, '{n}' AS param, ({e.format(one=1)})::DOUBLE AS value FROM embeddings" for n, e in PARAM.items())
-PW = f"SELECT * FROM ({PARAM_SQL}) JOIN ({WEIGHTS}) USING (case_id, particle_id)"
+PW = f"SELECT * FROM ({PARAM_SQL}) JOIN ({SHARP_WEIGHTS}) USING (case_id, particle_id)"
 CUM = f"SELECT *, sum(weight) OVER (PARTITION BY case_id, param ORDER BY value) AS cum, sum(weight) OVER (PARTITION BY case_id, param) AS tot FROM ({PW})"
 WIDTHS = f"""SELECT *, CASE WHEN prior_width_80 > 0 THEN posterior_width_80 / prior_width_80 ELSE 1 END AS width_ratio FROM (
   SELECT case_id, param, count(*) AS n, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS prior_width_80,
@@ -183,13 +188,13 @@ WIDTHS = f"""SELECT *, CASE WHEN prior_width_80 > 0 THEN posterior_width_80 / pr
 
 
 def params_long(spark, sf):
-    fields = F.array(*[F.struct(F.lit(n).alias("param"), F.expr(e.format(one=0).replace(".0", ".0D")).cast("double").alias("value")) for n, e in PARAM.items()])
+    fields = F.array(*[F.struct(F.lit(n).alias("param"), F.expr(e.format(one=0).replace("24.0", "24.0D").replace("0.025", "0.025D")).cast("double").alias("value")) for n, e in PARAM.items()])
     return table(spark, sf, "embeddings").select(F.col("label").alias("case_id"), F.col("vec_id").alias("particle_id"), F.explode(fields).alias("p")).select(
         "case_id", "particle_id", "p.*")
 
 
 def params_weighted(spark, sf):
-    return params_long(spark, sf).join(weighted(spark, sf), ["case_id", "particle_id"])
+    return params_long(spark, sf).join(weighted(spark, sf, noise=SHARP), ["case_id", "particle_id"])
 
 
 @query("weighted_quantile", f"""SELECT case_id, param, n, {R('prior_width_80')} AS prior_width_80, {R('posterior_width_80')} AS posterior_width_80, {R('value_range')} AS value_range, {R('width_ratio', 6)} AS width_ratio FROM ({WIDTHS})""")
@@ -211,7 +216,7 @@ CLASSED = f"""SELECT case_id, param, CASE WHEN inactive OR case_id = 3 THEN 'pri
 
 
 def classed(spark, sf):
-    w = materialize(weighted(spark, sf))
+    w = materialize(weighted(spark, sf, noise=SHARP))
     long = materialize(params_long(spark, sf).join(w, ["case_id", "particle_id"]))
     widths = posterior.parameter_widths(long, ["case_id", "param"])
     got = widths.join(posterior.effective_size(w, ["case_id"]), "case_id")
@@ -233,7 +238,7 @@ def class_counts(spark, sf):
 @query("posterior_health", f"""SELECT case_id, n_particles, {R('ess', 6)} AS ess, {R('ess_fraction', 6)} AS ess_fraction, low_ess, {R('c', 6)} AS mean_contraction, low_ess AND ess_fraction < 0.05 AS degenerate
   FROM ({ESS}) JOIN (SELECT case_id, avg(1 - width_ratio) AS c FROM ({WIDTHS}) GROUP BY case_id) USING (case_id)""")
 def posterior_health(spark, sf):
-    w = materialize(weighted(spark, sf))
+    w = materialize(weighted(spark, sf, noise=SHARP))
     widths = posterior.parameter_widths(materialize(params_long(spark, sf).join(w, ["case_id", "particle_id"])), ["case_id", "param"])
     return rounded(posterior.posterior_health(posterior.effective_size(w, ["case_id"]), widths, ["case_id"]), 6)
 

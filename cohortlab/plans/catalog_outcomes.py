@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators import curate, outcomes, posterior, symptoms, trends
 from cohortlab.plans import standins as S
 from cohortlab.plans.catalog_checks import LABEL, U
-from cohortlab.plans.catalog_ensemble import ESS, WIDTHS, params_long, weighted
+from cohortlab.plans.catalog_ensemble import ESS, SHARP, WIDTHS, params_long, weighted
 from cohortlab.plans.catalog_rules import SCOPED, facts
 from cohortlab.plans.registry import R, query, rounded, table
 from cohortlab.session import materialize
@@ -88,19 +88,24 @@ def rank_histogram(spark, sf):
     return rounded(outcomes.rank_histogram(outcomes.truth_ranks(df, truths, ["l_suppkey"], "l_extendedprice", "truth")))
 
 
-@query("uncertainty_components", f"""SELECT case_id, {R('ratio', 6)} AS mean_width_ratio, CASE WHEN score < 0.5 THEN 'low' WHEN score < 1 THEN 'moderate' ELSE 'high' END AS trajectory_uncertainty,
+UNSURE = f"""SELECT case_id, ratio, CASE WHEN score < 0.5 THEN 'low' WHEN score < 1 THEN 'moderate' ELSE 'high' END AS trajectory_uncertainty,
   CASE WHEN ratio < 0.35 THEN 'low' WHEN ratio < 0.55 THEN 'moderate' ELSE 'high' END AS parameter_uncertainty,
   CASE WHEN 1 - ess_fraction < 0.2 THEN 'low' WHEN 1 - ess_fraction < 0.5 THEN 'moderate' ELSE 'high' END AS data_quality_uncertainty,
   CASE WHEN case_id % 3 = 0 THEN 'low' WHEN case_id % 3 = 1 THEN 'moderate' ELSE 'high' END AS missing_data_uncertainty
-  FROM (SELECT case_id, avg(width_ratio) AS ratio, case_id / 8.0 AS score FROM ({WIDTHS}) GROUP BY case_id) JOIN ({ESS}) USING (case_id)""")
+  FROM (SELECT case_id, avg(width_ratio) AS ratio, case_id / 8.0 AS score FROM ({WIDTHS}) GROUP BY case_id) JOIN ({ESS}) USING (case_id)"""
+
+
+@query("uncertainty_components", f"""SELECT case_id, {R('ratio', 6)} AS mean_width_ratio, trajectory_uncertainty, parameter_uncertainty, data_quality_uncertainty, missing_data_uncertainty,
+  concat_ws(',', CASE WHEN trajectory_uncertainty = 'high' THEN 'trajectory' END, CASE WHEN parameter_uncertainty = 'high' THEN 'parameter' END,
+    CASE WHEN data_quality_uncertainty = 'high' THEN 'data_quality' END, CASE WHEN missing_data_uncertainty = 'high' THEN 'missing_data' END) AS top_drivers FROM ({UNSURE})""")
 def uncertainty_components(spark, sf):
-    w = materialize(weighted(spark, sf))
+    w = materialize(weighted(spark, sf, noise=SHARP))
     widths = posterior.parameter_widths(materialize(params_long(spark, sf).join(w, ["case_id", "particle_id"])), ["case_id", "param"])
     df = widths.groupBy("case_id").agg(F.avg("width_ratio").alias("mean_width_ratio")).join(posterior.effective_size(w, ["case_id"]), "case_id")
     df = df.withColumns({"uncertainty_score": F.col("case_id") / 8.0, "qc_share": F.col("ess_fraction"),
                          "completeness": F.when(F.col("case_id") % 3 == 0, 0.9).when(F.col("case_id") % 3 == 1, 0.6).otherwise(0.3)})
-    got = outcomes.uncertainty_components(df)
-    return rounded(got.select("case_id", "mean_width_ratio", *[f"{n}_uncertainty" for n in ("trajectory", "parameter", "data_quality", "missing_data")]), 6)
+    got = outcomes.uncertainty_components(df).withColumn("top_drivers", F.concat_ws(",", "top_drivers"))
+    return rounded(got.select("case_id", "mean_width_ratio", *[f"{n}_uncertainty" for n in ("trajectory", "parameter", "data_quality", "missing_data")], "top_drivers"), 6)
 
 
 @query("missing_value_rank", f"""SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, item)::INT AS rank, item, {R('value')} AS value FROM (

@@ -120,8 +120,8 @@ def scope_contract(spark, sf):
         "case_id", "contract_id", F.size("learnable").alias("n_learnable"), "scope_warning")
 
 
-@query("noise_kind", f"""SELECT case_id, noise_kind, CASE noise_kind WHEN 'diameter_derived_volume' THEN 0.35 WHEN 'low_qc_mri_volume' THEN 0.20 WHEN 'high_qc_mri_volume' THEN 0.08 ELSE 0.12 END::DOUBLE
-  AS log_scale_noise, NULL::VARCHAR AS noise_warning FROM ({S.FACTS})""")
+@query("noise_kind", f"""SELECT case_id, noise_kind, CASE noise_kind WHEN 'diameter_derived_volume' THEN 0.35 WHEN 'manual_volume' THEN 0.25 WHEN 'low_qc_mri_volume' THEN 0.20 WHEN 'high_qc_mri_volume' THEN 0.08 ELSE 0.12 END::DOUBLE
+  AS log_scale_noise, CASE WHEN noise_kind = 'manual_volume' THEN 'source_unknown' END AS noise_warning FROM ({S.FACTS})""")
 def noise_kind(spark, sf):
     return rules.noise_kind(S.customer_context(spark, sf), Context(), imaging=True).select("case_id", "noise_kind", "log_scale_noise", "noise_warning")
 

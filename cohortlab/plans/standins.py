@@ -44,7 +44,8 @@ def customer_rows(spark: SparkSession, sf: str) -> DataFrame:
         'registration_qc', CASE WHEN c_custkey % 9 = 0 THEN 'poor' ELSE 'good' END,
         'enhancement_std', (c_custkey % 50) / 100.0D,
         'low_enhancement_fraction', (c_custkey % 97) / 96.0D,
-        'volume_ml', CASE WHEN c_custkey % 17 <> 0 THEN 10.0D END, 'functional_tumor_volume_ml', CASE WHEN c_custkey % 17 <> 0 THEN cast(c_custkey % 13 AS double) END,
+        'volume_ml', CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 THEN 10.0D END,
+        'functional_tumor_volume_ml', CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 THEN cast(c_custkey % 13 AS double) END,
         'longest_diameter_cm', CASE WHEN c_custkey % 17 = 0 THEN 2.5D END))) AS json""")
 
 
@@ -53,10 +54,10 @@ def customer_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("case_id", F.parse_json("json").alias("context"))
 
 
-# customers of whom only a diameter is known: imaging rules do not hold for them
+# customers of whom only a diameter is known (imaging rules do not hold for them), and some without any size
 FACTS = """SELECT *, raw_segmentation_low AND NOT report_only AS segmentation_low, raw_registration_low AND NOT report_only AS registration_low,
   raw_enhancement_high AND NOT report_only AS enhancement_high, raw_low_enhancement AND NOT report_only AS low_enhancement_high, raw_mismatch AND NOT report_only AS ftv_mismatch,
-  CASE WHEN report_only THEN 'diameter_derived_volume' WHEN raw_segmentation_low THEN 'low_qc_mri_volume'
+  CASE WHEN report_only THEN 'diameter_derived_volume' WHEN c_custkey % 19 = 0 THEN 'manual_volume' WHEN raw_segmentation_low THEN 'low_qc_mri_volume'
     WHEN c_custkey % 10 = 8 THEN 'high_qc_mri_volume' ELSE 'medium_qc_mri_volume' END AS noise_kind FROM (
   SELECT c_custkey, c_custkey AS case_id, c_custkey AS k, c_custkey % 17 = 0 AS report_only,
   c_mktsegment IN ('BUILDING', 'MACHINERY') AS is_tnbc, c_nationkey % 4 IN (0, 1) AS is_chemo,
@@ -70,7 +71,7 @@ FACTS = """SELECT *, raw_segmentation_low AND NOT report_only AS segmentation_lo
   c_custkey % 4 = 1 AS repair_positive, c_custkey % 4 IN (2, 3) AS repair_missing,
   c_custkey % 10 IN (0, 2, 4) OR c_custkey % 4 = 1 AS raw_segmentation_low, c_custkey % 9 = 0 AS raw_registration_low,
   c_custkey % 50 >= 30 AS raw_enhancement_high, c_custkey % 97 >= 34 AS raw_low_enhancement,
-  c_custkey % 13 IN (0, 12) AS raw_mismatch FROM customer)"""
+  c_custkey % 13 IN (0, 12) AND c_custkey % 19 <> 0 AS raw_mismatch FROM customer)"""
 
 # ---- dose events: one schedule per user, one drug per event type -----------------------
 DOSES = """SELECT user_id AS schedule_id, event_type AS drug,

@@ -92,3 +92,23 @@ def test_bands_of_more_particles_than_are_gathered(spark, monkeypatch):
     for case, want in gathered.items():
         for b in priors.BANDS:
             assert selected[case][b] == pytest.approx(want[b], rel=1e-9)
+
+
+@pytest.mark.parametrize("rows_at_once", [1 << 20, 4])
+def test_weighted_quantiles_follow_the_definition(spark, skewed, monkeypatch, rows_at_once):
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", rows_at_once)
+    few = skewed.filter("k in (0, 7) OR k IS NULL").withColumn("m", F.when(F.col("k") == 7, 0.0).otherwise((F.pmod(F.xxhash64("v"), F.lit(9)) + 1) / 1024)).select("k", "v", "m").cache()
+    probs = {"a": 0.0, "b": 0.1, "c": 0.9, "d": 1.0}
+    got = {r["k"]: [r[f"v_{p}"] for p in probs] + [r["v_q"]] for r in ranks.quantiles(few, ["k"], {"v": F.col("v")}, {"q": 0.5}, weight=F.col("m"), weighted=probs).collect()}
+    alone = {r["k"]: [r[p] for p in probs] for r in ranks.weighted_quantiles(few.repartition(5), ["k"], "v", "m", probs).collect()}
+    for k in (0, 7, None):
+        rows = sorted((r["v"], r["m"]) for r in few.filter(F.col("k").eqNullSafe(F.lit(k))).collect() if r["v"] is not None)
+        total, want = sum(w for _, w in rows), []
+        for p in probs.values():
+            cum = 0.0
+            for v, w in rows:  # sums of 1024ths are exact
+                cum += w
+                if cum >= p * total:
+                    want.append(v)
+                    break
+        assert got[k][:4] == want == alone[k]
