@@ -9,6 +9,7 @@ from cohortlab.operators.ranks import weighted_quantiles
 from cohortlab.plans import standins as S
 from cohortlab.plans.registry import R, query, rounded, table
 from cohortlab.session import materialize
+from cohortlab.sources import stored
 
 # ---- long trajectories: line items by ship month --------------------------------------
 PATHS = """SELECT l_returnflag || l_linestatus AS case_id, date_trunc('month', l_shipdate)::DATE AS day, l_extendedprice AS volume_ml FROM lineitem"""
@@ -283,3 +284,15 @@ def near_equal_pairs(spark, sf):
         F.col("label").alias("case_id"), "vec_id", F.col("embedding").cast("array<double>").alias("path"),
         F.expr("array(vec_id * 37 % 101 / 128.0D, vec_id * 91 % 97 / 128.0D)").alias("params"))
     return rounded(pairs.near_equal(df, "case_id", "vec_id", "path", "params", PAIR_TOLERANCE))
+
+
+@query("stored_reweight", f"SELECT case_id, particle_id, n_obs, {R('loglik', 6)} AS loglik FROM ({LOGLIK.format(where='true', noise=SHARP)})")
+def stored_reweight(spark, sf):
+    """Predictions and observations stored by case; likelihoods from tables that meet where they lie."""
+    store = stored.CaseStore(spark, 8)
+    pred = predictions(spark, sf)
+    store.save(pred, "predictions")
+    store.save(observations(pred), "observed")
+    got = store.scored("predictions", "observed", F.expr(SHARP).cast("double"))
+    store.close()
+    return rounded(got.select("case_id", "particle_id", "n_obs", "loglik"), 6)

@@ -19,9 +19,10 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite
     writer.save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Write a table bucketed and sorted by the case key, so later joins need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Write a table bucketed and sorted by the case key, so later joins need no shuffle; at ``path``, else in the warehouse."""
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def status(metrics: DataFrame, name: str, summary: str, needs: str, report_path: str | None = None) -> DataFrame:

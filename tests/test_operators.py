@@ -244,3 +244,39 @@ def test_sweep_medians_count_runs_without_a_metric(spark):
     runs = spark.createDataFrame([("x", 1.0), ("x", None), ("x", 3.0), ("y", None)], "g string, ess double")
     got = {r["value"]: (r["n_runs"], r["median_ess"]) for r in metrics.sweep_medians(runs, {"by": "g"}, ("ess",)).collect()}
     assert got == {"x": (3, 2.0), "y": (1, None)}
+
+
+def test_exposure_over_stretches_of_decay(spark):
+    # a decay so fast, and a horizon so long, that the running sums are cut into many stretches
+    doses = [("s", "a", float(d), 1.0 + d % 3) for d in range(0, 4000, 11)] + [("s", "slow", 3.0, 2.0), ("s", "slow", 9000.0, 1.0), ("s", "unknown", 1.0, 1.0)]
+    df = spark.createDataFrame(doses, "schedule_id string, drug string, day double, relative_dose double")
+    decay = F.when(F.col("drug") == "a", 0.9).when(F.col("drug") == "slow", 0.0001)
+    got = {(r["drug"], r["grid_day"]): r["exposure"] for r in exposure.exposure(df, spark.createDataFrame([("s", 4001.0)], "schedule_id string, total_days double"), decay).collect()}
+    days = [float(d) for d in range(0, 4001, 7)] + [4001.0]
+    assert len(got) == 3 * len(days)
+    for g in days:
+        for drug, rate in (("a", 0.9), ("slow", 0.0001)):
+            want = sum(x * math.exp(-rate * (g - d)) for _, n, d, x in doses if n == drug and d <= g)
+            assert got[drug, g] == pytest.approx(want, rel=1e-9, abs=1e-12), (drug, g)
+        assert got["unknown", g] is None
+
+
+def test_interval_scores_and_horizons(spark):
+    df = spark.createDataFrame([("m", 1, 10.0, 10.0, 8.0, 12.0, 6.0, 14.0), ("m", 2, 15.0, 10.0, 8.0, 12.0, 6.0, 14.0)], "method string, horizon int, observed double, point double, lo80 double, hi80 double, lo95 double, hi95 double")
+    got = {(r["method"], r["horizon"]): r for r in metrics.leaderboard_rollup(df, ["method", "horizon"], intervals=True).collect()}
+    assert got["m", 1]["score_80"] == 4.0 and got["m", 2]["score_80"] == 4.0 + 10 * 3 and got["m", 2]["score_95"] == 8.0 + 40 * 1
+    assert got["m", None]["coverage_80"] == 0.5 and got[None, None]["n"] == 2
+
+
+def test_weights_of_likelihoods_far_apart(spark):
+    rows = [("a", i, -1e5 + 70.0 * i) for i in range(60)] + [("b", 0, -1e9), ("b", 1, -1e9), ("c", 0, 700.0)]
+    got = {(r["case_id"], r["p"]): r["weight"] for r in posterior.weights(spark.createDataFrame(rows, "case_id string, p int, loglik double"), ["case_id"]).collect()}
+    total = sum(math.exp(70.0 * (i - 59)) for i in range(60))
+    assert all(got["a", i] == pytest.approx(math.exp(70.0 * (i - 59)) / total, rel=1e-12, abs=1e-300) for i in range(60))
+    assert got["b", 0] == got["b", 1] == pytest.approx(0.5) and got["c", 0] == pytest.approx(1)
+
+
+def test_response_slope(spark):
+    df = spark.createDataFrame([(0.0, 10.0), (5.0, 20.0), (10.0, 0.0)], "day double, volume_ml double").withColumns({"baseline_volume_ml": F.lit(10.0), "baseline_day": F.lit(0.0)})
+    got = [r["response_slope"] for r in trends.change_features(df).collect()]
+    assert got[0] is None and got[1] == pytest.approx(math.log(2) / 5) and got[2] is None

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from cohortlab.functions import markers
 from cohortlab.functions.context import Context, stage
 from cohortlab.functions.gauss import COVS, MEANS
-from cohortlab.operators import priors, rules
+from cohortlab.operators import checks, priors, rules
+from cohortlab.sources import cohorts
 
 
 def contexts(spark, items):
@@ -120,3 +121,36 @@ def test_layers_fold_means_and_variances(spark):
     assert after["c11"] / base["c11"] == pytest.approx(1.05)
     assert after["c22"] / base["c22"] == pytest.approx(1.25)
     assert after["c02"] / base["c02"] == pytest.approx(math.sqrt(1.10 * 1.25))
+
+
+def test_traces_say_when_why_and_how(spark):
+    df = rules.with_facts(contexts(spark, [{"ki67_percent": 40, "volume_ml": 3.0, "segmentation_qc": 0.2}, {"diameter_cm": 2.0}]))
+    got = sorted(rules.with_trace(df.withColumn("noise_warning", F.lit("source_unknown")), [3, 4]).collect(), key=lambda r: r["update_mode"])
+    only, full = got
+    by_id = {h["rule_id"]: h for h in full["trace"]}
+    assert full["update_mode"] == "volume_update" and by_id["ki67_high_v1"]["condition"] == "ki67 >= 30"
+    assert by_id["low_segmentation_qc_v1"]["observation_noise"] == "low_qc_mri_volume" and by_id["ki67_high_v1"]["observation_noise"] is None
+    assert all(len(h["explanation"]) > 20 for h in full["trace"]) and set(rules.EXPLANATIONS) == {r.rule_id for r in rules.RULES}
+    assert only["update_mode"] == "report_only" and "diameter_only_report_only_v1" in only["rule_ids"]
+    assert full["warnings"][0] == "source_unknown" and only["warnings"] == ["source_unknown", "report_only"]
+
+
+def test_listed_sources_and_quality_flags_count(spark):
+    got = [r["noise_kind"] for r in rules.noise_kind(contexts(spark, [
+        {"source": ["DCE", "MRI"], "qc": ["motion", "artifact"]}, {"source": ["clinician", "entered"]}, {"source": "mri", "quality": ["good"]}, {"source": []}])).orderBy("case_id").collect()]
+    assert got == ["low_qc_mri_volume", "manual_volume", "high_qc_mri_volume", "manual_volume"]
+
+
+def test_header_and_particle_checks(spark):
+    docs = spark.createDataFrame([(1, '{"schedule_id": "a", "regimen_name": "r", "total_duration_days": 3, "events": []}'), (2, '{"regimen_name": "", "total_duration_days": -1}'),
+                                  (3, "no json"), (4, '{"schedule_id": "a", "regimen_name": "r", "total_duration_days": "x", "events": {}}')], "id int, js string")
+    got = {r["id"]: r["reasons"] for r in checks.header_reasons(cohorts.headers(docs, "js", ["id"])).collect()}
+    assert got == {1: [], 2: ["schedule_id_missing", "regimen_name_missing", "duration_negative", "events_missing"],
+                   3: ["schedule_id_missing", "regimen_name_missing", "duration_missing", "events_missing"], 4: ["duration_missing", "events_missing"]}
+
+
+def test_measurements_need_a_size_and_a_known_source(spark):
+    rows = [("a", 0.0, "manual", "x", 1.0, None, None), ("", -1.0, "phone", None, None, None, None), ("a", 1.0, "demo", "x", None, 2.0, -3.0)]
+    df = spark.createDataFrame(rows, "case_id string, day double, source string, confidence string, tumor_volume_ml double, longest_diameter_cm double, true_tumor_volume_ml double")
+    got = [r["reasons"] for r in checks.with_reasons(df, checks.measurement_constraints()).collect()]
+    assert got == [[], ["case_id_missing", "day_minimum", "source_enum", "confidence_missing", "any_of_volume_diameter"], ["true_tumor_volume_ml_minimum"]]

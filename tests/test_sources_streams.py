@@ -6,9 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlab.operators import posterior
 from cohortlab.plans import evaluation
 from cohortlab.session import materialize
-from cohortlab.sources import cohorts, sinks
+from cohortlab.sources import cohorts, sinks, stored
 from cohortlab.streaming import checkins, updates
 
 FLAT = {"case_id": "a", "subtype": "TNBC", "treatment_regimen": "AC-T", "baseline_volume_ml": 30.0, "early_day": 21, "early_volume_ml": 20.0,
@@ -102,3 +103,27 @@ def test_update_stream_equals_the_batch(spark, tmp_path):
     got = {(r["case_id"], r["particle_id"]): r["weight"] for r in updates.latest(spark.read.parquet(paths[1])).collect()}
     want = {(r["case_id"], r["particle_id"]): r["weight"] for r in updates.touched_weights(meas, traj, meas.select("case_id").distinct(), 0.12).collect()}
     assert got == pytest.approx(want)
+
+
+def test_stored_tables_meet_without_a_shuffle(spark):
+    pred = spark.range(4000).select((F.col("id") % 40).alias("case_id"), (F.col("id") % 7).alias("particle_id"), (F.col("id") % 3 * 7).cast("double").alias("day"), (F.col("id") % 11 + 5.0).alias("predicted"))
+    seen = pred.filter("day < 14").groupBy("case_id", "day").agg(F.avg("predicted").alias("observed"))
+    store = stored.CaseStore(spark, 8)
+    store.save(pred, "pred")
+    store.save(seen, "seen")
+    before = spark.conf.get(stored.PARTIAL_KEYS)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of any size
+    try:
+        with stored.by_case_alone(spark):
+            plan = store.log_likelihood("pred", "seen", F.lit(0.2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.conf.get(stored.PARTIAL_KEYS) == before
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    got = {(r["case_id"], r["particle_id"]): (r["loglik"], r["n_obs"]) for r in store.scored("pred", "seen", F.lit(0.2)).collect()}
+    want = posterior.log_likelihood(posterior.with_observed(pred, seen, ["case_id", "day"]), ["case_id"], ["particle_id"], F.lit(0.2)).collect()
+    assert len(got) == len(want) and all(got[r["case_id"], r["particle_id"]] == pytest.approx((r["loglik"], r["n_obs"])) for r in want)
+    tables = list(store.tables.values())
+    store.close()
+    assert not any(spark.catalog.tableExists(t) for t in tables)
