@@ -4,7 +4,52 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cohortlab.operators import scan
+from cohortlab.session import materialize
+
+#: Particles of a tile; a task compares two tiles at a time.
+TILE = 256
+#: Stretches of a path whose means are compared before the path itself.
+SEGMENTS = 8
+
+
+def segment_means(path: Column, segments: int = SEGMENTS) -> Column:
+    """Weighted means of ``segments`` stretches of a path: the distance of two such arrays is never above the RMSE of the paths."""
+    n = F.size(path)
+    start = lambda i: F.floor(n * i / segments).cast("int")
+    size = lambda i: start(i + 1) - start(i)
+    total = lambda i: F.aggregate(F.slice(path, start(i) + 1, size(i)), F.lit(0.0), _add)
+    return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.when(size(i) > 0, total(i) / F.sqrt(size(i) * n)).otherwise(0.0))
+
+
+def tiles(df: DataFrame, case: str, particle: str, path: str, params: str) -> DataFrame:
+    """Rows with their path's ``mean``, ``segments`` and ``tile``: about ``TILE`` particles of a case with neighbouring means."""
+    mean = F.aggregate(path, F.lit(0.0), _add) / F.size(path)
+    head = df.select(case, particle, path, params, mean.alias("mean"), segment_means(F.col(path)).alias("segments"))
+    rows = scan.ranged(head, [case], ["mean", particle])
+    place = F.row_number().over(Window.partitionBy(case, scan.PART).orderBy("mean", particle)) - 1
+    return materialize(rows.withColumn("tile", (F.col(scan.PART).cast("bigint") * (1 << 32) + F.floor(place / TILE)).cast("bigint")).drop(scan.PART))
+
+
+def tile_pairs(rows: DataFrame, case: str, tolerance: float) -> DataFrame:
+    """(case, i, j): tiles, i <= j, that may hold near-equal particles.
+
+    On a logarithmic scale of the mean, partners are at most one band apart, so only tiles with neighbouring bands meet; of these, those
+    whose boxes of segment means are further apart than the tolerance allows are left out.
+    """
+    width = math.log((1 + tolerance / 2) / (1 - tolerance / 2))
+    band = F.floor(F.when(F.col("mean") > 1, 1 + F.ln("mean")).otherwise(F.col("mean")) / width)
+    ends = lambda f, tag: [f(F.get("segments", F.lit(s))).alias(f"{tag}{s}") for s in range(SEGMENTS)]
+    boxes = rows.groupBy(case, "tile").agg(F.min(band).alias("low"), F.max(band).alias("high"), F.max("mean").alias("top"), *ends(F.min, "lo"), *ends(F.max, "hi"))
+    boxes = boxes.select(case, "tile", "low", "high", "top", *[F.array(*[f"{tag}{s}" for s in range(SEGMENTS)]).alias(tag) for tag in ("lo", "hi")])
+    side = lambda t, wide: boxes.select(case, F.explode(F.sequence(F.col("low") - wide, F.col("high") + wide)).alias("band"), *[F.col(c).alias(f"{t}_{c}") for c in ("tile", "top", "lo", "hi")])
+    met = side("a", 1).join(side("b", 0), [case, "band"]).filter("a_tile <= b_tile")
+    gap = lambda s: F.greatest(F.lit(0.0), F.get("b_lo", F.lit(s)) - F.get("a_hi", F.lit(s)), F.get("a_lo", F.lit(s)) - F.get("b_hi", F.lit(s)))
+    apart = F.sqrt(sum((gap(s) * gap(s) for s in range(SEGMENTS)), F.lit(0.0)))
+    scale = F.greatest((F.col("a_top") + F.col("b_top")) / 2.0, F.lit(1.0))
+    return met.filter(apart <= tolerance * scale * (1 + 1e-9)).select(case, F.col("a_tile").alias("i"), F.col("b_tile").alias("j")).distinct()
 
 
 def near_equal(df: DataFrame, case: str, particle: str, path: str, params: str,
@@ -17,27 +62,24 @@ def near_equal(df: DataFrame, case: str, particle: str, path: str, params: str,
     counts when the normalised RMSE of the paths is at most ``tolerance`` and the mean
     range-scaled parameter difference is at least ``gap``.
 
-    An RMSE is never below the difference of the path means. The means are therefore
-    put on a scale where partners are at most one band apart, and only particles of
-    neighbouring bands meet: no pair that qualifies is lost. A crowded band is split at run time
-    by the session's skew joins.
+    Particles lie in tiles by their mean, and tiles meet tiles (``tile_pairs``): no pair that qualifies is lost, and no task
+    holds more than two tiles, however many particles a band of means has. Two particles compare their segment means before
+    their paths.
     """
-    width = math.log((1 + tolerance / 2) / (1 - tolerance / 2))
     size = df.select(case, F.posexplode(params)).groupBy(case, "pos").agg((F.max("col") - F.min("col")).alias("r"))
     ranges = size.groupBy(case).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda e: F.greatest(e["r"], F.lit(1e-9))).alias("ranges"))
-    head = df.select(case, particle, path, params)
-    mean = F.aggregate(path, F.lit(0.0), lambda a, x: a + x) / F.size(path)
-    head = head.withColumn("mean", mean)
-    head = head.withColumn("band", F.floor(F.when(F.col("mean") > 1, 1 + F.ln("mean")).otherwise(F.col("mean")) / width))
-    a = head.select(case, F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"),
-                    *[F.col(c).alias(f"a_{c}") for c in (particle, path, params, "mean")])
-    b = head.select(case, "band", *[F.col(c).alias(f"b_{c}") for c in (particle, path, params, "mean")])
-    met = a.join(b, [case, "band"]).filter(F.col(f"a_{particle}") < F.col(f"b_{particle}"))
-    square = F.aggregate(F.zip_with(f"a_{path}", f"b_{path}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), _add)
+    rows = tiles(df, case, particle, path, params)
+    cells = materialize(tile_pairs(rows, case, tolerance))
+    held = rows.join(ranges, case)
+    columns = (particle, path, params, "mean", "segments")
+    a = cells.join(held.withColumnRenamed("tile", "i"), [case, "i"]).select(case, "i", "j", "ranges", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = cells.join(rows.withColumnRenamed("tile", "j"), [case, "j"]).select(case, "i", "j", *[F.col(c).alias(f"b_{c}") for c in columns])
+    met = a.join(b, [case, "i", "j"]).filter((F.col("i") != F.col("j")) | (F.col(f"a_{particle}") < F.col(f"b_{particle}")))
+    square = lambda c: F.aggregate(F.zip_with(f"a_{c}", f"b_{c}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), _add)
     scale = F.greatest((F.col("a_mean") + F.col("b_mean")) / 2.0, F.lit(1.0))
-    met = met.withColumn("rmse", F.sqrt(square / F.size(f"a_{path}")) / scale).filter(F.col("rmse") <= tolerance)
-    met = met.join(ranges, case)
+    met = met.filter(F.sqrt(square("segments")) <= tolerance * scale * (1 + 1e-9))
+    met = met.withColumn("rmse", F.sqrt(square(path) / F.size(f"a_{path}")) / scale).filter(F.col("rmse") <= tolerance)
     diffs = F.zip_with(F.zip_with(f"a_{params}", f"b_{params}", lambda x, y: F.abs(x - y)), "ranges", lambda d, r: d / r)
     met = met.withColumn("gap", F.aggregate(diffs, F.lit(0.0), _add) / F.size(f"a_{params}")).filter(F.col("gap") >= gap)
     side = lambda own, other: F.struct(F.col(f"{own}_{particle}").alias(particle), F.col("rmse"), F.col(f"{other}_{particle}").alias("partner"))

@@ -280,3 +280,36 @@ def test_response_slope(spark):
     df = spark.createDataFrame([(0.0, 10.0), (5.0, 20.0), (10.0, 0.0)], "day double, volume_ml double").withColumns({"baseline_volume_ml": F.lit(10.0), "baseline_day": F.lit(0.0)})
     got = [r["response_slope"] for r in trends.change_features(df).collect()]
     assert got[0] is None and got[1] == pytest.approx(math.log(2) / 5) and got[2] is None
+
+
+def test_tiles_lose_no_pair_and_bound_a_task(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 8)
+    r = random.Random(5)
+    shapes = [[r.random() * 4 for _ in range(13)] for _ in range(6)]
+    data = [(c, i, [x + r.random() * 0.05 for x in shapes[i % 6]], [r.random(), r.random()]) for c in (1, 2) for i in range(90 if c == 1 else 20)]
+    data += [(3, i, [float(i)] * 13, [0.0, float(i)]) for i in range(40)]
+    df = spark.createDataFrame(data, "case_id int, pid int, path array<double>, params array<double>")
+    rows = pairs.tiles(df, "case_id", "pid", "path", "params")
+    assert rows.groupBy("case_id", "tile").count().agg(F.max("count")).first()[0] <= 8
+    got = {(x["case_id"], x["pid"]): (x["n_partners"], x["closest"]) for x in pairs.near_equal(df, "case_id", "pid", "path", "params").collect()}
+    want = {}
+    for c in (1, 2, 3):
+        mine = [d for d in data if d[0] == c]
+        span = [max(max(d[3][k] for d in mine) - min(d[3][k] for d in mine), 1e-9) for k in range(2)]
+        for a in mine:
+            near = []
+            for b in mine:
+                rmse = math.sqrt(sum((x - y) ** 2 for x, y in zip(a[2], b[2])) / 13) / max((sum(a[2]) + sum(b[2])) / 26, 1.0)
+                if a[1] != b[1] and rmse <= 0.08 and sum(abs(x - y) / s for x, y, s in zip(a[3], b[3], span)) / 2 >= 0.25:
+                    near.append((rmse, b[1]))
+            if near:
+                want[c, a[1]] = (len(near), min(near)[1])
+    assert got == want and len(want) > 20
+    # tiles far apart never meet
+    met = pairs.tile_pairs(rows, "case_id", 0.08).filter("case_id = 3").count()
+    n = rows.filter("case_id = 3").select("tile").distinct().count()
+    assert met < n * (n + 1) / 2
+    lower = rows.alias("a").crossJoin(rows.limit(20).alias("b")).filter("a.case_id = b.case_id").select(
+        F.sqrt(F.aggregate(F.zip_with("a.segments", "b.segments", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda s, x: s + x)).alias("low"),
+        F.sqrt(F.aggregate(F.zip_with("a.path", "b.path", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda s, x: s + x) / 13).alias("rmse"))
+    assert lower.filter("low > rmse + 1e-9").count() == 0
