@@ -24,9 +24,9 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Words, and lower-case words without marks, whose ids a worker remembers; beyond it all are forgotten.
-MAX_WORDS, MAX_CORES = 600_000, 900_000
+MAX_WORDS, MAX_CORES = 250_000, 300_000
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-RUN = 1 << 22
+RUN = 1 << 21
 #: Marks that are a token of their own after a letter.
 MARKS = frozenset(".,;:!?")
 IS_MARK = np.isin(np.arange(256), [ord(m) for m in MARKS])
