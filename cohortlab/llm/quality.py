@@ -123,7 +123,8 @@ def judge(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
     """
     candidates = rules() if candidates is None else candidates
     own = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
-    order = ordered(measured(sampled(own.select("text"))).filter(~base_failed()), candidates)
+    tried = materialize(measured(sampled(own.select("text"))))  # a condition moved below the measures would hold all their expressions
+    order = ordered(tried.filter(~base_failed()), candidates)
     out = measured(own).withColumn("base_failed", base_failed())
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(out, order)))
     return out.withColumn("kept", F.col("rejected_by").isNull())
