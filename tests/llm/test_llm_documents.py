@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from cohortlab.llm import arrow, bpe, components, line_dedup, minhash, packing, quality, toxicity
 from cohortlab.llm.catalog import QUERIES
+from tests.llm.brute import check_packing, line_brute, plain_features
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, kept string, shard string, n_lines string, score string"
@@ -31,6 +32,11 @@ def none(spark):
     return spark.createDataFrame([], DOC)
 
 
+def F_text(column):
+    from pyspark.sql import functions as F
+    return F.concat(F.lit("text "), column).alias("text")
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
@@ -41,22 +47,6 @@ def rows_of(df, *cols):
 
 # Line dedup.
 
-def line_brute(rows, min_docs=3, min_chars=20):
-    space = " \t\n\x0b\x0c\r"
-    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(space))
-    held = defaultdict(set)
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            if len(key(x)) >= min_chars:
-                held[key(x)].add(i)
-    out = []
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if len(held[key(x)]) < min_docs or max(held[key(x)]) == i]
-        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out)
-
-
 def test_line_dedup_matches_brute_force(spark):
     r = random.Random(3)
     pool = [" ".join(r.choice(["Übel", "one", "TWO", "three", "vier"]) for _ in range(r.randint(1, 9))) for _ in range(25)]
@@ -171,6 +161,28 @@ def test_quality_order_follows_rejection_per_cost(spark):
     assert order[-1].name == "never"
 
 
+def test_quality_order_counts_cost_and_what_is_left(spark):
+    from pyspark.sql import functions as F
+    sample = spark.range(2000).select(F.repeat(F.lit("some Words! "), 40).alias("text"), (F.col("id") % 2 == 0).alias("even"), (F.col("id") % 4 < 3).alias("most"))
+    heavy = F.lit(0)
+    for i in range(25):
+        heavy = heavy + F.length(F.regexp_replace("text", f"(a|b|o)+{i}?[a-z]*", ""))
+    dear = quality.Rule("a_dear", F.col("even") & (heavy > -1))
+    cheap = quality.Rule("cheap", F.col("even"))
+    assert [r.name for r in quality.ordered(sample, [dear, cheap])] == ["cheap", "a_dear"]
+    # "same" rejects more than "rest" alone, but nothing that "most" leaves
+    same, rest = quality.Rule("same", F.col("most") & F.col("even")), quality.Rule("rest", ~F.col("most"))
+    order = [r.name for r in quality.ordered(sample, [same, rest, quality.Rule("most", F.col("most"))])]
+    assert order.index("rest") < order.index("same")
+
+
+def test_quality_sample_is_drawn_from_the_whole_table(spark):
+    docs_ = spark.range(20_000).select("id", F_text("id"))
+    got = [r["id"] for r in quality.sampled(docs_).collect()]
+    assert 800 < len(got) < 1200 and min(got) < 500 and max(got) > 19_500
+    assert quality.sampled(docs_.limit(10)).count() == 10
+
+
 # Packing.
 
 def brute_bins(items, capacity):
@@ -236,19 +248,6 @@ def test_fillings_are_the_undominated_ones():
         assert sorted(got) == sorted(undominated(has, capacity - top)) and got == sorted(got, key=lambda f: -sum(f))
 
 
-def check_packing(rows, capacity=2048):
-    by = defaultdict(list)
-    for r in rows:
-        by[r["sequence_id"]].append((r["offset"], r["length"]))
-    for places in by.values():
-        at = 0
-        for offset, length in sorted(places):
-            assert offset == at
-            at += length
-        assert at <= capacity
-    return len(by)
-
-
 def test_packing_query_against_the_library(spark):
     rows = QUERIES["op4_best_fit_packing"](spark, SF).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -370,6 +369,45 @@ def test_toxicity_features_stay_inside_their_row():
     assert one == alone and one[1] == []
 
 
+def plain_ftrl(rows, seed=3):
+    """Step by step with dictionaries: McMahan's per-coordinate update."""
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << toxicity.BITS
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    draw = np.random.Generator(np.random.PCG64(seed))
+    for _ in range(toxicity.EPOCHS):
+        for k in draw.permutation(len(rows)):
+            features, label = rows[k]
+            at = [*features, bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                rate = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - rate * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if abs(z[i]) > toxicity.L1}
+
+
+def test_toxicity_learns_and_scores_like_plain_python(spark):
+    r = random.Random(9)
+    words = ["nice", "day", "häßlich", "awful", "people", "stupid", "so", "green", "Tree's", "walking"]
+    texts = [(i, " ".join(r.choices(words, k=r.randint(0, 14)))) for i in range(160)] + [(200, None), (201, "")]
+    labels = [(i, int("stupid" in (t or "") or "awful" in (t or ""))) for i, t in texts]
+    table = docs(spark, texts)
+    weights = dict(toxicity.learn(table, spark.createDataFrame(labels, "doc_id long, toxic long")))
+    known = [(i, t, y) for (i, t), (_, y) in zip(texts, labels) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = plain_ftrl([(sorted(plain_features(t)), y) for _, t, y in sorted(known)])
+    assert set(weights) == set(want) and all(weights[i] == pytest.approx(want[i], rel=1e-9) for i in want) and len(want) > 5
+    scores = {x["doc_id"]: x["score"] for x in toxicity.score(table, list(weights.items())).collect()}
+    for i, t in texts:
+        total = sum(want.get(f, 0.0) for f in plain_features(t)) + want.get(1 << toxicity.BITS, 0.0)
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-5)
+
+
 def test_toxicity_edge_cases(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.learn(odd, empty) == [] and {r["score"] for r in toxicity.score(odd, []).collect()} == {0.0}

@@ -2,15 +2,20 @@
 
 import hashlib
 import random
+import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cohortlab.llm import chat, line_dedup, minhash, quality, sharding, topk, url_filter
+from cohortlab.llm import chat, sharding, topk, toxicity, url_filter
 from cohortlab.llm.catalog import PATTERNS, QUERIES, SITES
+from tests.llm.brute import check_packing, line_brute, plain_features
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,35 +177,92 @@ def test_chat_query_has_the_extra_conversation(spark):
 
 # Pipeline.
 
-def test_pipeline_stages_take_effect(spark, tmp_path):
+def quality_brute(text):
+    """Whether the rules keep a text, word by word."""
+    text = text or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(ws[i:i + 3]) for i in range(len(ws) - 2)]
+    often = Counter(windows)
+    repeated = len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)})
+    chars = sum(map(len, ws))
+    if len(ws) < 50 or 100 * repeated > 50 * len(ws):
+        return False
+    return not (sum(c in "#*$%&|<>" for c in text) * 10 > len(ws) or (len(lines) - len(set(lines))) * 2 > len(lines) or not 2 * len(ws) <= chars <= 15 * len(ws)
+                or sum(unicodedata.category(c) == "Lu" for c in text) * 10 > chars * 3 or text.count("!") * 10 > len(ws) * 3
+                or sum(unicodedata.category(c)[0] == "L" for c in text) * 2 < chars)
+
+
+def near_groups(rows, size, percent=80):
+    """Smallest id of each document's group, from every pair of sets."""
+    sets, root = [], {i: i for i, _ in rows}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
-        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        before = dict(rows)
         stage(spark, docs, SF).write.parquet(path := str(tmp_path / name))
         after = spark.read.parquet(path)
         if name != "packing":
             assert after.columns == corpus_pipeline.COLUMNS
             texts = {r["doc_id"]: r["text"] for r in after.collect()}
-        if name == "quality_rules":
-            judged = quality.judge(docs).collect()
-            assert texts == {r["doc_id"]: r["text"] for r in judged if r["kept"]} and len(texts) < len(before)
+        if name == "toxicity":
+            weights = dict(toxicity.learn(docs, labels))
+            chance = {i: 1 / (1 + np.exp(-sum(weights.get(f, 0.0) for f in plain_features(t)) - weights.get(1 << toxicity.BITS, 0.0))) for i, t in rows}
+            sure = {i for i, p in chance.items() if abs(p - 0.3) > 1e-5}
+            assert {i for i in texts if i in sure} == {i for i in sure if chance[i] < 0.3} and texts == {i: before[i] for i in texts}
+        elif name == "quality_rules":
+            assert texts == {i: t for i, t in rows if quality_brute(t)} and 0 < len(texts) < len(rows)
         elif name == "line_dedup":
-            assert texts == {r["doc_id"]: r["kept"] for r in line_dedup.dedup(docs).collect()} and set(texts) == set(before)
+            assert texts == {i: kept for i, _, _, kept in line_brute(rows)}
         elif name == "near_dedup":
-            near = minhash.near_duplicates(docs, 5).collect()
-            assert set(texts) == {r["doc_id"] for r in near if r["kept"]} == {r["component_id"] for r in near}
-            assert texts == {i: before[i] for i in texts}
-        elif name == "packing":
-            assert {r["doc_id"] for r in after.select("doc_id").distinct().collect()} == set(before)
-        kept[name] = after.count()
+            group = near_groups(rows, 5)
+            assert texts == {i: t for i, t in rows if group[i] == i}
+        else:
+            pieces = after.collect()
+            check_packing(pieces)
+            library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            library.no_truncation()
+            library.no_padding()
+            total = Counter()
+            for p in pieces:
+                total[p["doc_id"]] += p["length"]
+            assert total == {i: 1 + len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+            count = len(pieces)
         docs = after
-    assert corpus_pipeline.run(spark, SF).count() == kept["packing"]
+    assert corpus_pipeline.run(spark, SF).count() == count
 
 
 def test_pipeline_on_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "x " * 5000, None, "s", 9), (2, "x " * 5000, None, "s", 9)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, extra int")
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SF).collect()
-        stage(spark, docs.limit(0), SF).collect()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        if name == "quality_rules":
+            assert got == []  # none of them passes
+        elif name == "packing":
+            assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == {1: 1, None: 1, 2: 2}
+        elif name == "near_dedup":
+            assert Counter(r["doc_id"] for r in got) == {1: 1, None: 1, 2: 2}  # rows of one doc_id are one document
+        else:
+            assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter((r[0], r[1] or "") for r in rows)
+        assert stage(spark, docs.limit(0), SF).collect() == []
