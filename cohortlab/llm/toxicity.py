@@ -71,7 +71,7 @@ def train(rows: list[tuple[np.ndarray, int]], seed: int = 3) -> tuple[np.ndarray
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
             index, label = rows[i]
-            at = np.append(index, 1 << BITS)
+            at = np.append(index.astype(np.int64), 1 << BITS)
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             grown = n[at] + g * g
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> l
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("features").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
         rows.sort(key=lambda r: (r[0], r[2], r[1]))
-        at, w = train([(np.frombuffer(f, "<u4").astype(np.int64), y) for _, f, y in rows])
+        at, w = train([(np.frombuffer(f, "<u4"), y) for _, f, y in rows])  # no copies: the features stay as they came
         yield pa.record_batch({"at": pa.array(at, pa.int64()), "w": pa.array(w, pa.float64())})
 
     weights = {r["at"]: r["w"] for r in drawn.repartition(1).mapInArrow(fit, "at long, w double").collect()}
