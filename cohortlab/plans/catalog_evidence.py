@@ -34,15 +34,16 @@ def strata_points(spark, sf):
     return curate.stratum_forecast(df.filter(~train), curves, ["segment", "nation"], "day", 8, 6)
 
 
-@query("stratum_lattice", f"SELECT segment, nation, day_bin, mask, n_rows, {R('mean_ratio', 6)} AS mean_ratio FROM ({LATTICE})")
+@query("stratum_lattice", f"SELECT segment, nation::VARCHAR AS nation, day_bin, mask, n_rows, {R('mean_ratio', 6)} AS mean_ratio FROM ({LATTICE})")
 def stratum_lattice(spark, sf):
     train = curate.split_of(F.col("case_id")) == "train"
-    return rounded(curate.curve_lattice(strata(spark, sf), ["segment", "nation"], "day", 8, train), 6)
+    got = curate.curve_lattice(strata(spark, sf), ["segment", "nation"], "day", 8, train)
+    return rounded(got.withColumn("nation", F.col("nation").cast("string")), 6)
 
 
-@query("stratum_forecast", f"SELECT obs_id, level, used_bin, {R('point', 5)} AS point FROM ({STRATA_POINTS})")
+@query("stratum_forecast", f"SELECT obs_id, level, used_bin::VARCHAR AS used_bin, {R('point', 5)} AS point FROM ({STRATA_POINTS})")
 def stratum_forecast(spark, sf):
-    return rounded(strata_points(spark, sf).select("obs_id", "level", "used_bin", "point"), 5)
+    return rounded(strata_points(spark, sf).select("obs_id", "level", F.col("used_bin").cast("string").alias("used_bin"), "point"), 5)
 
 
 @query("leaderboard_strata", f"""SELECT 'stratum_curve' AS method, level, count(*) AS n, {R('avg(abs(point - observed))', 6)} AS mae_ml, {R('sqrt(avg(pow(point - observed, 2)))', 6)} AS rmse_ml,

@@ -134,13 +134,13 @@ def score_sql(lo: str, hi: str, miss: float) -> str:
     return f"avg({hi} - {lo} + {2 / miss}::DOUBLE * (greatest({lo} - observed, 0) + greatest(observed - {hi}, 0)))"
 
 
-@query("leaderboard_horizon", f"""SELECT method, horizon, grouping(method, horizon)::BIGINT AS level, count(*) AS n, {R('avg(abs(point - observed))')} AS mae_ml, {R('sqrt(avg((point - observed) * (point - observed)))')} AS rmse_ml,
+@query("leaderboard_horizon", f"""SELECT method, horizon::VARCHAR AS horizon, grouping(method, horizon)::BIGINT AS level, count(*) AS n, {R('avg(abs(point - observed))')} AS mae_ml, {R('sqrt(avg((point - observed) * (point - observed)))')} AS rmse_ml,
   {R('sqrt(avg(pow(ln(greatest(point, 1e-6)) - ln(observed), 2)))')} AS log_volume_rmse, {R('avg(CASE WHEN lo80 IS NOT NULL THEN (observed BETWEEN lo80 AND hi80)::INT END)')} AS coverage_80,
   {R('avg(CASE WHEN lo95 IS NOT NULL THEN (observed BETWEEN lo95 AND hi95)::INT END)')} AS coverage_95, {R('avg(hi80 - lo80)')} AS width_80_ml,
   {R(score_sql('lo80', 'hi80', 0.2), 6)} AS score_80, {R(score_sql('lo95', 'hi95', 0.05), 6)} AS score_95 FROM ({S.FORECASTS}) GROUP BY ROLLUP (method, horizon)""")
 def leaderboard_horizon(spark, sf):
     """Errors and interval scores by method and horizon, with the totals above them."""
-    got = metrics.leaderboard_rollup(S.forecasts(spark, sf), ["method", "horizon"], intervals=True)
+    got = metrics.leaderboard_rollup(S.forecasts(spark, sf), ["method", "horizon"], intervals=True).withColumn("horizon", F.col("horizon").cast("string"))
     return rounded(rounded(got, 6, ["score_80", "score_95"]), 8, ["mae_ml", "rmse_ml", "log_volume_rmse", "coverage_80", "coverage_95", "width_80_ml"])
 
 
