@@ -165,6 +165,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
         for batch in batches:
             for row, stop, data, rows in arrow.chunks(batch.column("text"), RUN):
                 yield cut(batch.column("doc_id").slice(row, stop - row), data, rows)
+        Words.kept.clear()  # a worker that goes on to other work holds no words
+        pa.default_memory_pool().release_unused()
 
     arrow.prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECE}")
