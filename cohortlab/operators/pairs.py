@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.operators import scan
 from cohortlab.session import materialize
 
-#: Particles of a tile; a task compares two tiles at a time.
-TILE = 256
+#: Particles of a tile; a task compares two tiles at a time, as matrices, so that each is sent to few others.
+TILE = 2048
+#: Particles of a tile that meet the other tile at once.
+STRIP = 256
 #: Stretches of a path whose means are compared before the path itself.
 SEGMENTS = 8
 
@@ -63,29 +69,95 @@ def near_equal(df: DataFrame, case: str, particle: str, path: str, params: str,
     range-scaled parameter difference is at least ``gap``.
 
     Particles lie in tiles by their mean, and tiles meet tiles (``tile_pairs``): no pair that qualifies is lost, and no task
-    holds more than two tiles, however many particles a band of means has. Two particles compare their segment means before
-    their paths.
+    holds more than two tiles at a time, however many particles a band of means has. Two tiles meet as matrices (``_meet``), and what
+    leaves their task is one row per particle with a partner there, not one per pair.
     """
     size = df.select(case, F.posexplode(params)).groupBy(case, "pos").agg((F.max("col") - F.min("col")).alias("r"))
     ranges = size.groupBy(case).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda e: F.greatest(e["r"], F.lit(1e-9))).alias("ranges"))
-    rows = tiles(df, case, particle, path, params)
+    # a path with a null or an endless value is near nothing, nor are parameters that miss one
+    finite = lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+    rows = tiles(df.filter(F.forall(path, finite)), case, particle, path, params)
     cells = materialize(tile_pairs(rows, case, tolerance))
-    held = rows.join(ranges, case)
-    columns = (particle, path, params, "mean", "segments")
-    a = cells.join(held.withColumnRenamed("tile", "i"), [case, "i"]).select(case, "i", "j", "ranges", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = cells.join(rows.withColumnRenamed("tile", "j"), [case, "j"]).select(case, "i", "j", *[F.col(c).alias(f"b_{c}") for c in columns])
-    met = a.join(b, [case, "i", "j"]).filter((F.col("i") != F.col("j")) | (F.col(f"a_{particle}") < F.col(f"b_{particle}")))
-    square = lambda c: F.aggregate(F.zip_with(f"a_{c}", f"b_{c}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), _add)
-    scale = F.greatest((F.col("a_mean") + F.col("b_mean")) / 2.0, F.lit(1.0))
-    met = met.filter(F.sqrt(square("segments")) <= tolerance * scale * (1 + 1e-9))
-    met = met.withColumn("rmse", F.sqrt(square(path) / F.size(f"a_{path}")) / scale).filter(F.col("rmse") <= tolerance)
-    diffs = F.zip_with(F.zip_with(f"a_{params}", f"b_{params}", lambda x, y: F.abs(x - y)), "ranges", lambda d, r: d / r)
-    met = met.withColumn("gap", F.aggregate(diffs, F.lit(0.0), _add) / F.size(f"a_{params}")).filter(F.col("gap") >= gap)
-    side = lambda own, other: F.struct(F.col(f"{own}_{particle}").alias(particle), F.col("rmse"), F.col(f"{other}_{particle}").alias("partner"))
-    both = met.select(case, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select(case, "s.*")
-    return both.groupBy(case, particle).agg(F.count("*").alias("n_partners"), F.min(F.struct("rmse", "partner")).alias("c")).select(
-        case, particle, "n_partners", F.col("c.partner").alias("closest"), F.col("c.rmse").alias("trajectory_normalized_rmse"))
+    sound = rows.join(ranges, case).filter(F.forall(params, lambda x: x.isNotNull()) & (F.size(params) == F.size("ranges")))
+    held = sound.select(case, "tile", F.col(particle).alias("id"), F.col("mean").alias("m"), F.col(path).alias("x"), F.col(params).alias("p"), "ranges")
+    side = lambda own: cells.join(held.withColumnRenamed("tile", own), [case, own]).select(
+        F.col(case).alias("c"), *[F.col(c).alias(c) for c in ("i", "j", "id", "m", "x", "p", "ranges")]).groupBy("c", "i", "j")
+    id_type = df.schema[particle].dataType.simpleString()
+    met = side("i").cogroup(side("j")).applyInArrow(partial(_meet, tolerance=tolerance, gap=gap),
+                                                    f"c {df.schema[case].dataType.simpleString()}, id {id_type}, n bigint, rmse double, partner {id_type}")
+    return met.groupBy(F.col("c").alias(case), F.col("id").alias(particle)).agg(F.sum("n").alias("n_partners"), F.min(F.struct("rmse", "partner")).alias("best")).select(
+        case, particle, "n_partners", F.col("best.partner").alias("closest"), F.col("best.rmse").alias("trajectory_normalized_rmse"))
+
+
+def _meet(left: pa.Table, right: pa.Table, tolerance: float, gap: float) -> pa.Table:
+    """Near-equal pairs of two tiles (or of one with itself), added up per particle.
+
+    A product of matrices tells, with room for its rounding, which pairs of paths may be near; these are compared point by point.
+    """
+    columns = ("c", "id", "n", "rmse", "partner")
+    out = pa.schema([left.schema.field("c"), left.schema.field("id"), pa.field("n", pa.int64()), pa.field("rmse", pa.float64()),
+                     left.schema.field("id").with_name("partner")])
+    if not left.num_rows or not right.num_rows:
+        return out.empty_table()
+    alone = left["i"][0].as_py() == left["j"][0].as_py()
+    ids = pa.chunked_array([*left["id"].chunks, *right["id"].chunks])
+    # equal ids share a number, and a null comes first, as in the order of the rows
+    order = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+    a_id, b_id, split = order[:left.num_rows], order[left.num_rows:], left.num_rows
+    of = {int(k): at for at, k in reversed(list(enumerate(order)))}  # a row that holds the id
+    ranges = np.asarray(left["ranges"][0].as_py(), dtype=float)
+    a_len, b_len = pc.list_value_length(left["x"]).to_numpy(), pc.list_value_length(right["x"]).to_numpy()
+    found = []
+    for width in np.intersect1d(a_len, b_len):
+        a_at, b_at = np.flatnonzero(a_len == width), np.flatnonzero(b_len == width)
+        block = lambda column, at, w: pc.list_flatten(column.take(pa.array(at))).to_numpy().reshape(len(at), w)
+        a, b = block(left["x"], a_at, width), block(right["x"], b_at, width)
+        a_p, b_p = block(left["p"], a_at, len(ranges)), block(right["p"], b_at, len(ranges))
+        a_m, b_m = left["m"].to_numpy()[a_at], right["m"].to_numpy()[b_at]
+        with np.errstate(all="ignore"):
+            a_sq, b_sq = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+            room = 8 * (width + 8) * np.finfo(float).eps
+            for low in range(0, len(a), STRIP):
+                strip = slice(low, low + STRIP)
+                far = a_sq[strip, None] + b_sq
+                scale = np.maximum((a_m[strip, None] + b_m) / 2.0, 1.0)
+                most = np.square(tolerance * scale) * (width * (1 + 1e-9)) + room * far
+                far -= 2.0 * (a[strip] @ b.T)
+                i, j = np.nonzero(~(far > most))  # what overflows is compared too
+                i += low
+                if alone:
+                    first = (a_id[a_at[i]] < b_id[b_at[j]]) & known[a_at[i]] & known[split + b_at[j]]
+                    i, j = i[first], j[first]
+                total = np.zeros(len(i))
+                for k in range(width):
+                    d = a[i, k] - b[j, k]
+                    total += d * d
+                rmse = np.sqrt(total / width) / np.maximum((a_m[i] + b_m[j]) / 2.0, 1.0)
+                near = rmse <= tolerance
+                i, j, rmse = i[near], j[near], rmse[near]
+                apart = np.zeros(len(i))
+                for k, r in enumerate(ranges):
+                    apart += np.abs(a_p[i, k] - b_p[j, k]) / r
+                apart /= len(ranges)
+                wide = ~(apart < gap)
+                own, other = a_id[a_at[i[wide]]], b_id[b_at[j[wide]]]
+                found.append(_per_particle(np.concatenate([own, other]), np.concatenate([other, own]), np.tile(rmse[wide], 2), np.ones(2 * wide.sum(), dtype=np.int64)))
+    if not found:
+        return out.empty_table()
+    own, other, rmse, n = _per_particle(*map(np.concatenate, zip(*found)))
+    taken = lambda x: ids.take(pa.array([of[int(k)] for k in x], type=pa.int64()))
+    case = left["c"].take(pa.array(np.zeros(len(own), dtype=np.int64)))
+    return pa.table(dict(zip(columns, (case, taken(own), pa.array(n), pa.array(rmse), taken(other)))), schema=out)
+
+
+def _per_particle(own: np.ndarray, other: np.ndarray, rmse: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per particle: the closest partner (ties: the smaller), its distance, and the sum of ``n``."""
+    by = np.lexsort((other, rmse, own))
+    own, other, rmse, n = own[by], other[by], rmse[by], n[by]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, dtype=np.int64)
+    return own[first], other[first], rmse[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _add(acc: Column, x: Column) -> Column:

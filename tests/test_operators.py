@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,34 @@ def test_near_equal_pairs_against_all_pairs(spark):
     assert want and got == want
 
 
+def test_tiles_meet_as_matrices_and_give_one_row_per_particle(monkeypatch):
+    monkeypatch.setattr(pairs, "STRIP", 7)
+    rnd, wide = random.Random(5), {"c": pa.string(), "i": pa.int64(), "j": pa.int64(), "id": pa.int32(), "m": pa.float64(), "x": pa.list_(pa.float64()), "p": pa.list_(pa.float64()), "ranges": pa.list_(pa.float64())}
+    paths = [[1 + rnd.uniform(-0.05, 0.05) for _ in range(4)] for _ in range(60)]
+    paths += [paths[3], [1e200] * 4, [1e200] * 4, [1.0, 1.0]]  # a copy, paths whose squares overflow, and a shorter one
+    params = [[rnd.random(), rnd.random() * 3] for _ in range(61)] + [[0.0, 0.0], [1.0, 3.0], [5.0, 5.0]]
+    rows = [{"c": "a", "i": 4, "j": 4, "id": k, "m": sum(x) / len(x), "x": x, "p": p, "ranges": [1.0, 3.0]} for k, (x, p) in enumerate(zip(paths, params))]
+    tile = lambda chosen, j: pa.Table.from_pylist([{**r, "j": j} for r in chosen], schema=pa.schema(list(wide.items())))
+
+    def near(a, b):
+        rmse = math.sqrt(sum((x - y) * (x - y) for x, y in zip(a["x"], b["x"])) / 4) / max((a["m"] + b["m"]) / 2, 1.0)
+        return rmse if len(a["x"]) == len(b["x"]) and a is not b and rmse <= 0.03 and sum(abs(x - y) / r for x, y, r in zip(a["p"], b["p"], (1.0, 3.0))) / 2 >= 0.25 else None
+
+    for left, right, j in ((rows, rows, 4), (rows[:25], rows[25:], 5)):
+        got = {r["id"]: (r["n"], r["partner"], pytest.approx(r["rmse"], abs=1e-15)) for r in pairs._meet(tile(left, j), tile(right, j), 0.03, 0.25).to_pylist()}
+        met = [(a["id"], near(a, b), b["id"]) for a in left for b in right if near(a, b) is not None]
+        met += [] if left is right else [(b, d, a) for a, d, b in met]
+        want = {k: (sum(x[0] == k for x in met), min(x[1:] for x in met if x[0] == k)[1], min(x[1:] for x in met if x[0] == k)[0]) for k in {x[0] for x in met}}
+        assert got == want and (j == 5 or {61, 62} <= set(got)) and len(met) > len(got)
+
+
+def test_paths_and_parameters_with_gaps_are_near_nothing(spark):
+    rows = [(1, 1, [1.0, 1.0], [0.0, 0.0]), (1, 2, [1.0, 1.01], [1.0, 1.0]), (1, 3, [1.0, None], [0.5, 0.0]), (1, 4, [1.0, float("nan")], [0.5, 0.5]), (1, 5, None, [0.5, 0.5]),
+            (1, 6, [1.0, 1.0], [1.0, None]), (1, 7, [1.0, 1.0], None), (None, 8, [1.0, 1.0], [0.0, 0.0]), (1, 9, [float("inf"), 1.0], [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "case_id int, pid int, path array<double>, params array<double>")
+    assert {(r["pid"], r["n_partners"], r["closest"]) for r in pairs.near_equal(df, "case_id", "pid", "path", "params").collect()} == {(1, 1, 2), (2, 1, 1)}
+
+
 def test_checks_split_accounts_for_every_row(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 0.0, 5.0, None, None, 2), ("b", -1.0, 2.0, 0.0, 5.0, None, None, 2), ("c", 1.0, 2.0, 5.0, 5.0, 1.0, None, 3)],
                                "case_id string, baseline_volume_ml double, final_volume_ml double, baseline_day double, final_day double, early_day double, early_volume_ml double, n_points int")
