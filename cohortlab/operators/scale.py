@@ -1,6 +1,6 @@
 """Operations on groups of any size: one key may hold a third of all rows.
 
-Nothing here looks at row counts: one path serves every size, and no job runs while a
+Nothing but ``few`` looks at row counts: one path serves every size, and no other job runs while a
 query is built.
 
 ``attach``          join per-group values back to the rows
@@ -8,6 +8,8 @@ query is built.
 ``exact_quantiles`` interpolated quantiles from the running totals
 ``weighted_quantiles``, ``order_statistic`` likewise
 ``first_rows``      first k rows per group
+``tasks_for``       how many tasks rows are dealt to
+``few``             a small table as one to broadcast
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fine slices of a coarse one, as a power of two.
 FINE_BITS = 20
+#: Rows a task holds at once where their number counts, not their bytes.
+TASK_ROWS = 250_000
+#: Rows of a table that goes to every task.
+FEW = 100_000
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -36,6 +42,23 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(one, on, "left").select(*df.columns, "c_vals.*")
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for ``rows`` rows of which a task holds about ``TASK_ROWS``; never fewer than a shuffle has.
+
+    Adaptive execution counts compressed bytes, and small numbers take many times these in memory.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def few(stats: DataFrame) -> DataFrame:
+    """``stats``, written once before, to be broadcast unless it has too many rows.
+
+    Left alone, a table of a few groups leaves most partitions of a shuffle empty, and adaptive execution then sorts
+    all rows of a group in one task.
+    """
+    return F.broadcast(stats) if stats.count() <= FEW else stats
+
+
 def _slice(value: Column) -> Column:
     """A whole number that never falls as the value rises: about a million slices for each thousandth of its logarithm."""
     x = value.cast("double")

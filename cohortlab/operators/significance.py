@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlab.operators.scale import attach, prefix_totals
+from cohortlab.operators.scale import attach, few, tasks_for
+from cohortlab.operators.scan import PART, earlier
+from cohortlab.session import materialize
 
 #: Terms of the series and of the continued fraction.
 TERMS = 200
+#: Labels of a row that one whole number holds.
+WORD = 60
 
 
 def chi_square_tail(x: Column, dof: int) -> Column:
@@ -46,20 +51,35 @@ def relabelled(row_id: Column, b: int) -> Column:
 def ks_permutation(df: DataFrame, keys: list[str], value: str, first: Column, row_id: Column, n: int = 20) -> DataFrame:
     """Per group: the two sample sizes, the KS gap, and its p-value among ``n`` relabellings of the same rows.
 
-    Relabelling ``b`` puts a row into the first sample where its hash is below that sample's share of the group. All of them are counted in the
-    same running totals by value, so one scan serves all. p is (1 + gaps at least as large) / (n + 1). Rows without a value are
-    left out; a group with one sample only has no row. ``row_id`` tells rows apart, whatever the partitioning.
+    Relabelling ``b`` puts a row into the first sample where its hash is below that sample's share of the group. p is (1 + gaps at least as
+    large) / (n + 1). Rows without a value are left out; a group with one sample only has no row. ``row_id`` tells rows apart,
+    whatever the partitioning.
+
+    A row carries its labels as bits. Rows are dealt to ranges of (group, value), equal values to one range; each range counts
+    on its own and starts from the totals of the ranges before it, so one scan serves all relabellings and no task's
+    memory grows with the table, unless a single value does.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("p_value_of"), F.coalesce(first, F.lit(False)).alias("p_first"), row_id.alias("p_id"))
-    share = rows.groupBy(*keys).agg(F.avg(F.col("p_first").cast("double")).alias("p_share"), F.count("*").alias("n"))
-    rows = attach(rows, share, keys)
-    sums = {"a": F.count_if("p_first"), "n": F.count(F.lit(1))}
-    sums |= {f"a{b}": F.count_if(relabelled(F.col("p_id"), b) < F.col("p_share")) for b in range(n)}
-    runs = prefix_totals(rows, keys, "p_value_of", sums)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + 0.0).alias("p_value_of"), F.coalesce(first, F.lit(False)).alias("p_first"), row_id.alias("p_id"))
+    share = materialize(rows.groupBy(*keys).agg(F.avg(F.col("p_first").cast("double")).alias("p_share"), F.count("*").alias("n")))
+    tasks = tasks_for(df, share.agg(F.sum("n")).first()[0] or 0)
+    labels = [F.col("p_first"), *[relabelled(F.col("p_id"), b) < F.col("p_share") for b in range(n)]]
+    bits = [F.when(label, F.lit(1 << k % WORD).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, label in enumerate(labels)]
+    words = {f"p_word{w}": reduce(Column.bitwiseOR, bits[w * WORD:(w + 1) * WORD]) for w in range(-(-len(bits) // WORD))}
+    placed = rows.repartitionByRange(tasks, *keys, "p_value_of").withColumn(PART, F.spark_partition_id())
+    held = materialize(attach(placed, few(share), keys).select(*keys, PART, "p_value_of", *[e.alias(w) for w, e in words.items()]))
+    bit = lambda k: F.shiftright(F.col(f"p_word{k // WORD}"), k % WORD).bitwiseAND(F.lit(1).cast("bigint"))
+    ones = {"n": F.lit(1).cast("bigint"), "a": bit(0), **{f"a{b}": bit(b + 1) for b in range(n)}}
+    totals = held.groupBy(*keys, PART).agg(*[F.sum(e).alias(s) for s, e in ones.items()])
+    ends = materialize(totals.select(*keys, PART, *[F.coalesce(F.sum(s).over(earlier(keys)), F.lit(0)).alias(f"off_{s}") for s in ones],
+                                     *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"all_{s}") for s in ones]))
+    upto = Window.partitionBy(*keys, PART).orderBy("p_value_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = held.repartitionByRange(tasks, PART).select(*keys, PART, *[F.sum(e).over(upto).alias(f"run_{s}") for s, e in ones.items()])
+    runs = attach(runs, few(ends), [*keys, PART])
+    cum = lambda s: F.col(f"off_{s}") + F.col(f"run_{s}")
 
     def gap(s: str) -> Column:
-        rest, all_rest = F.col("cum_n") - F.col(f"cum_{s}"), F.col("all_n") - F.col(f"all_{s}")
-        return F.max(F.when((F.col(f"all_{s}") > 0) & (all_rest > 0), F.abs(F.col(f"cum_{s}") / F.col(f"all_{s}") - rest / all_rest)))
+        rest, all_rest = cum("n") - cum(s), F.col("all_n") - F.col(f"all_{s}")
+        return F.max(F.when((F.col(f"all_{s}") > 0) & (all_rest > 0), F.abs(cum(s) / F.col(f"all_{s}") - rest / all_rest)))
 
     got = runs.groupBy(*keys).agg(F.max("all_a").alias("n_a"), F.max(F.col("all_n") - F.col("all_a")).alias("n_b"), gap("a").alias("ks"), F.array(*[gap(f"a{b}") for b in range(n)]).alias("null"))
     at_least = F.size(F.filter("null", lambda x: x >= F.col("ks")))

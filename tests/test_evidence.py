@@ -1,5 +1,6 @@
 """Curves with back-off, scenarios by particle, paths along edges, and significance, against plain Python."""
 
+import hashlib
 import math
 import random
 from collections import defaultdict
@@ -93,6 +94,36 @@ def test_one_sample_has_no_p_value_and_nulls_do_not_count(spark):
     assert set(got) == {2} and (got[2]["n_a"], got[2]["n_b"], got[2]["ks"]) == (1, 2, 0.5)
 
 
+def test_relabelled_gaps_cross_ranges_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(significance, "tasks_for", lambda df, rows: 13)
+    rows = [(g, i, None if i % 29 == 0 else float(i * 7 % 23 - 11) * (0.0 if i % 31 == 0 else 1.0) if i % 37 else float("nan"), i % 3 == 0) for g in ("x", None) for i in range(200)] + [("y", 1, 1.0, True), ("y", 2, 1.0, False)]
+    df = spark.createDataFrame(rows, "g string, id int, v double, first boolean")
+    n, got = 63, {}  # more labels than one word holds
+    for r in significance.ks_permutation(df, ["g"], "v", F.col("first"), F.col("id"), 63).collect():
+        got[r["g"]] = (r["n_a"], r["n_b"], r["ks"], r["p_value"])
+    want = {}
+    for g in ("x", None, "y"):
+        mine = [(i, math.inf if math.isnan(v) else v, f) for h, i, v, f in rows if h == g and v is not None]
+        share = sum(f for *_, f in mine) / len(mine)
+        drawn = lambda i, b: int(hashlib.md5(f"{i}:{b // 4}".encode()).hexdigest()[8 * (b % 4):8 * (b % 4) + 8], 16) / 4294967296 < share
+
+        def gap(labels):
+            a, rest = sum(labels), len(labels) - sum(labels)
+            cum = lambda top, side: sum(1 for (_, v, _), x in zip(mine, labels) if v <= top and x == side)
+            return max(abs(cum(t, True) / a - cum(t, False) / rest) for t in {v for _, v, _ in mine}) if a and rest else -1.0
+
+        ks = gap([f for *_, f in mine])
+        null = [gap([drawn(i, b) for i, *_ in mine]) for b in range(n)]
+        want[g] = (sum(f for *_, f in mine), sum(not f for *_, f in mine), ks, (1 + sum(x >= ks for x in null)) / (n + 1))
+    assert got == {g: pytest.approx(w, abs=1e-12) for g, w in want.items()}
+
+
+def test_a_shuffle_by_group_alone_is_gone(spark):
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), "id", F.col("id").cast("double").alias("v"), (F.col("id") % 3 == 0).alias("first"))
+    plan = significance.ks_permutation(df, ["g"], "v", F.col("first"), F.col("id"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "rangepartitioning" in plan
+
+
 def test_rank_histogram_counts_empty_bins(spark):
     ranks = spark.createDataFrame([("flat", i * 10 + 5, 99) for i in range(10)] * 3 + [("steep", 3, 99)] * 30, "k string, rank long, n_particles long")
     got = {r["k"]: r for r in significance.rank_histogram_test(ranks, ["k"]).collect()}

@@ -90,3 +90,12 @@ def test_results_do_not_depend_on_partitions(spark, skewed):
         got = scale.exact_quantiles(skewed.repartition(n), ["k"], "v", {"m": 0.5})
         out.append(sorted((r["k"], r["n"], r["m"]) for r in got.collect()))
     assert out[0] == out[1] == out[2]
+
+
+def test_few_rows_are_broadcast_and_tasks_follow_the_rows(spark, monkeypatch):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [scale.tasks_for(spark.range(1), n) for n in (0, 1, least * scale.TASK_ROWS, least * scale.TASK_ROWS + 1)] == [least, least, least, least + 1]
+    hinted = lambda: "broadcast" in scale.few(spark.range(3))._jdf.queryExecution().logical().toString().lower()
+    assert hinted()
+    monkeypatch.setattr(scale, "FEW", 2)
+    assert not hinted()
