@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlab.functions.numeric import CENTRAL_Z
 from cohortlab.operators.ranks import order_statistic, quantiles
-from cohortlab.operators.scale import attach, prefix_totals
+from cohortlab.operators.scale import attach, prefix_totals, tasks_for
 from cohortlab.session import materialize
 
 
@@ -163,14 +163,17 @@ def edge_rollup(genes: DataFrame, gene_pathway: DataFrame, pathway_phenotype: Da
     """Sum of signed weights along gene -> pathway -> phenotype per case.
 
     Genes without an edge are listed as missing drivers. Gene rows are first added up
-    per (case, gene), so repeats do not multiply along the chain. A gene or pathway may
-    occur in most cases: small edge tables are broadcast and large joins split at run time.
+    per (case, gene), so repeats do not multiply along the chain, in tasks whose number follows the rows; a gene's ways
+    to each phenotype are added up once for all cases, so a gene is counted without telling genes apart again.
+    A gene or pathway may occur in most cases: small edge tables are broadcast and large joins split at run time.
     """
-    g = genes.groupBy("case_id", "gene").agg(F.sum("effect").alias("effect"))
-    chain = g.join(gene_pathway, "gene", "left").join(pathway_phenotype, "pathway", "left")
-    shift = F.col("effect") * F.col("gene_weight") * F.col("pathway_weight")
+    dealt = genes.select("case_id", "gene", "effect").repartition(tasks_for(genes, genes.count()), "case_id", "gene")
+    g = dealt.groupBy("case_id", "gene").agg(F.sum("effect").alias("effect"))
+    ways = gene_pathway.join(pathway_phenotype, "pathway", "left").groupBy("gene", F.coalesce("phenotype", F.lit("missing_driver")).alias("phenotype")).agg(
+        F.sum(F.col("gene_weight") * F.col("pathway_weight")).alias("way"))
+    chain = g.join(ways, "gene", "left")
     return chain.groupBy("case_id", F.coalesce("phenotype", F.lit("missing_driver")).alias("phenotype")).agg(
-        F.coalesce(F.sum(shift), F.lit(0.0)).alias("shift"), F.count_distinct("gene").alias("n_genes"))
+        F.coalesce(F.sum(F.col("effect") * F.col("way")), F.lit(0.0)).alias("shift"), F.count("gene").alias("n_genes"))
 
 
 def output_audit(df: DataFrame, text: str, disclaimer: str, ranking: str, band: str, claims) -> DataFrame:

@@ -183,6 +183,18 @@ def test_paths_and_parameters_with_gaps_are_near_nothing(spark):
     assert {(r["pid"], r["n_partners"], r["closest"]) for r in pairs.near_equal(df, "case_id", "pid", "path", "params").collect()} == {(1, 1, 2), (2, 1, 1)}
 
 
+def test_edge_rollup_counts_a_gene_once_in_tasks_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(outcomes, "tasks_for", lambda df, rows: rows + 4)
+    genes = spark.createDataFrame([("a", 1, 0.5), ("a", 1, 0.25), ("a", 2, 1.0), ("a", None, 3.0), ("b", 9, 2.0), ("b", 3, None), (None, 2, 1.0)], "case_id string, gene int, effect double")
+    first = spark.createDataFrame([(1, 10, 2.0), (1, 11, 4.0), (1, 11, 1.0), (2, 11, 1.0), (2, 12, 5.0), (3, 10, 1.0)], "gene int, pathway int, gene_weight double")
+    second = spark.createDataFrame([(10, "p", 1.0), (11, "p", -1.0), (11, "q", 0.5)], "pathway int, phenotype string, pathway_weight double")
+    df = outcomes.edge_rollup(genes, first, second)
+    got = {(r["case_id"], r["phenotype"]): (r["shift"], r["n_genes"]) for r in df.collect()}
+    assert got == {("a", "p"): (0.75 * -3.0 - 1.0, 2), ("a", "q"): (0.75 * 2.5 + 0.5, 2), ("a", "missing_driver"): (0.0, 1), ("b", "missing_driver"): (0.0, 1),
+                   ("b", "p"): (0.0, 1), (None, "p"): (-1.0, 1), (None, "q"): (0.5, 1), (None, "missing_driver"): (0.0, 1)}
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_checks_split_accounts_for_every_row(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 0.0, 5.0, None, None, 2), ("b", -1.0, 2.0, 0.0, 5.0, None, None, 2), ("c", 1.0, 2.0, 5.0, 5.0, 1.0, None, 3)],
                                "case_id string, baseline_volume_ml double, final_volume_ml double, baseline_day double, final_day double, early_day double, early_volume_ml double, n_points int")
