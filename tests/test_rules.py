@@ -58,6 +58,26 @@ def test_first_present_key_wins_even_when_null_and_nested_wins(spark):
         ("NULL", None), ("NUMBER", 3.0), ("NUMBER", 2.0), ("NUMBER", 9.0)]
 
 
+def test_each_object_is_opened_once_however_many_keys_are_wanted(spark):
+    df = contexts(spark, [{"a": 1, "pathology": {"c": None, "d": [2]}, "mri_features": {"a": "x"}, "biomarkers": 5}, {"b": True, "biomarkers": {"c": 7}}, [1], None])
+    ctx = Context()
+    looked_up = lambda keys: stage(df, {k: ctx.get(k) for k in keys})[0].select(
+        "case_id", *[f"x_{k}" for k in keys])._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(")
+    assert looked_up("abcd") == looked_up("a")
+    df, x, _ = stage(df, {k: ctx.get(k) for k in "abcd"})
+    got = df.orderBy("case_id").select(*[x[k].kind for k in "abcd"], *[x[k].text for k in "abc"], x["d"].listed).collect()
+    assert [tuple(r) for r in got] == [("TEXT", None, "NULL", "OTHER", "x", None, None, "2"), (None, "BOOLEAN", "NUMBER", None, None, "true", "7", None),
+                                       (None,) * 8, (None,) * 8]
+
+
+def test_keys_that_differ_in_case_or_name_a_path(spark):
+    ctx = Context()
+    df, x, _ = stage(contexts(spark, [{"k": 1, "K": 2, "m": {"n": 3}, "pathology": {"K": 4}}, {"K": 5, "m.n": 6}]), {
+        "small": ctx.get("k"), "large": ctx.get("K"), "both": ctx.first(("k", "K")), "path": ctx.get("m.n")})
+    got = df.orderBy("case_id").select(*[x[n].number for n in ("small", "large", "both", "path")]).collect()
+    assert [tuple(r) for r in got] == [(1.0, 4.0, 1.0, 3.0), (None, 5.0, 5.0, None)]
+
+
 def test_scope(spark):
     df = rules.scope(contexts(spark, [
         {"subtype": "Triple_Negative", "treatment_regimen": "AC-T"}, {"subtype": "tnbc"}, {"subtype": "TNBC", "treatment_context": "unknown"},
