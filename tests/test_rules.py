@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from cohortlab.functions import markers
 from cohortlab.functions.context import Context, stage
 from cohortlab.functions.gauss import COVS, MEANS
 from cohortlab.operators import checks, priors, rules
+from cohortlab.plans.catalog_rules import trace_content
 from cohortlab.sources import cohorts
 
 
@@ -70,6 +72,21 @@ def test_each_object_is_opened_once_however_many_keys_are_wanted(spark):
                                        (None,) * 8, (None,) * 8]
 
 
+def test_no_generated_method_is_too_long_for_the_jvm_to_compile(spark):
+    df = rules.with_facts(contexts(spark, [{"ki67": "35%", "pathology": {"grade": 3}}]))
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_kinds_of_all_scalars(spark):
+    df = contexts(spark, [{"k": v} for v in (True, 7, 2.5, 1e300, 10**12, "x", "", None, [1], {"a": 1})] + [{}])
+    df, x, _ = stage(df, {"k": Context().get("k")})
+    got = df.orderBy("case_id").select(x["k"].kind, x["k"].text, x["k"].number).collect()
+    assert [r[0] for r in got] == ["BOOLEAN", "NUMBER", "NUMBER", "NUMBER", "NUMBER", "TEXT", "TEXT", "NULL", "OTHER", "OTHER", None]
+    assert [r[2] for r in got] == [None, 7.0, 2.5, 1e300, 1e12, None, None, None, None, None, None]
+
+
 def test_keys_that_differ_in_case_or_name_a_path(spark):
     ctx = Context()
     df, x, _ = stage(contexts(spark, [{"k": 1, "K": 2, "m": {"n": 3}, "pathology": {"K": 4}}, {"K": 5, "m.n": 6}]), {
@@ -155,6 +172,15 @@ def test_traces_say_when_why_and_how(spark):
     assert full["warnings"][0] == "source_unknown" and only["warnings"] == ["source_unknown", "report_only"]
 
 
+def test_traces_are_made_once_before_they_are_counted(spark, tmp_path):
+    spark.createDataFrame([(i, f"n{i}", i % 25, 10.0 * i, "BUILDING") for i in range(40)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+                          ).write.parquet(f"{tmp_path}/customer.parquet")
+    df = trace_content(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ki67_missing_v1") == 1
+    got = {r["rule_id"]: (r["n_cases"], r["observation_noise"], r["explained"]) for r in df.collect()}
+    assert got["ki67_missing_v1"] == (14, None, True) and got["low_segmentation_qc_v1"][1] == "low_qc_mri_volume"
+
+
 def test_listed_sources_and_quality_flags_count(spark):
     got = [r["noise_kind"] for r in rules.noise_kind(contexts(spark, [
         {"source": ["DCE", "MRI"], "qc": ["motion", "artifact"]}, {"source": ["clinician", "entered"]}, {"source": "mri", "quality": ["good"]}, {"source": []}])).orderBy("case_id").collect()]
