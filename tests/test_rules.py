@@ -79,6 +79,16 @@ def test_no_generated_method_is_too_long_for_the_jvm_to_compile(spark):
     assert sizes and max(sizes) < 8000
 
 
+def test_texts_of_markers_are_normalised_once_and_objects_opened_straight_from_the_context(spark):
+    items = [{"er_status": "Not_Detected", "pathology": {"tumor_grade": "Grade  3"}, "biomarkers": {"brca_status": "no_mutation", "hrd_status": None}, "mri_features": {"segmentation_qc": "Manual-Review", "registration_qc": 0.9}},
+             {"pathology": None, "mri_features": 3, "ki67": "35 %", "brca1_status": "PENDING"}]
+    df = rules.with_facts(contexts(spark, items))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 8 and "try_variant_get(try_variant_get(" not in plan
+    got = df.orderBy("case_id").select("er", "grade", "repair", "segmentation_level", "registration_level", "ki67").collect()
+    assert [tuple(r) for r in got] == [("negative", 3, ["negative"], "low", "high", None), (None, None, ["unknown"], None, None, 35.0)]
+
+
 def test_kinds_of_all_scalars(spark):
     df = contexts(spark, [{"k": v} for v in (True, 7, 2.5, 1e300, 10**12, "x", "", None, [1], {"a": 1})] + [{}])
     df, x, _ = stage(df, {"k": Context().get("k")})
