@@ -165,7 +165,7 @@ def particle_checks(spark, sf):
   UNION ALL SELECT layer, 'resistant_fraction', CASE WHEN resistant > 0.9 THEN 'hard' WHEN resistant BETWEEN 0 AND 0.65 THEN 'normal' WHEN resistant > 0.75 THEN 'high' ELSE 'outside_normal' END FROM p)
   GROUP BY layer, param, level""".replace(" FROM p\n", f" FROM ({particles_sql(PRIORS, 50, SEED)})\n").replace(" FROM p)", f" FROM ({particles_sql(PRIORS, 50, SEED)}))"))
 def bounds_levels(spark, sf):
-    got = priors.particles(evaluation.layered_priors(facts(spark, sf), ["case_id"]), 50, SEED, ["case_id", "layer"])
+    got = priors.particles(evaluation.layered_priors(facts(spark, sf, inside=True), ["case_id"]), 50, SEED, ["case_id", "layer"])
     long = got.select("layer", F.col("growth").alias("growth_rate_per_day"), F.col("sensitivity").alias("active_treatment_sensitivity"),
                       F.col("resistant").alias("resistant_fraction")).unpivot(["layer"], list(rules.LEARNABLE), "param", "value")
     return long.groupBy("layer", "param", checks.bound_level(F.col("param"), F.col("value")).alias("level")).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from cohortlab.functions import markers
 from cohortlab.functions.context import Context, stage
 from cohortlab.functions.gauss import COVS, MEANS
 from cohortlab.operators import checks, priors, rules
+from cohortlab.plans import evaluation
 from cohortlab.plans.catalog_rules import trace_content
 from cohortlab.sources import cohorts
 
@@ -89,6 +90,18 @@ def test_texts_of_markers_are_normalised_once_and_objects_opened_straight_from_t
     assert [tuple(r) for r in got] == [("negative", 3, ["negative"], "low", "high", None), (None, None, ["unknown"], None, None, 35.0)]
 
 
+def test_cases_out_of_scope_may_go_before_their_facts_are_read(spark):
+    tnbc = {"subtype": "TNBC", "treatment_regimen": "weekly_paclitaxel"}
+    df = contexts(spark, [tnbc, tnbc | {"ki67": 40}, {"subtype": "TNBC"}, {"subtype": "HR positive", "treatment_regimen": "taxane"}, None, tnbc | {"grade": "odd"}, tnbc])
+    df = df.withColumn("case_id", F.when(F.col("case_id") < 6, F.col("case_id")))
+    whole, inside = evaluation.scoped(df), evaluation.scoped(df, inside=True)
+    assert sorted(map(str, inside.collect())) == sorted(map(str, whole.filter("contract_id = 'tnbc_chemo'").collect())) and inside.count() == 4
+    priors_of = lambda d: sorted(map(str, evaluation.layered_priors(d, ["case_id"]).collect()))
+    assert priors_of(inside) == priors_of(whole) and len(priors_of(inside)) == 9
+    plan = inside._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ki67_percent") < plan.index("Filter (") < plan.index("schedule_type"), "facts are read above the filter, the scope below it"
+
+
 def test_kinds_of_all_scalars(spark):
     df = contexts(spark, [{"k": v} for v in (True, 7, 2.5, 1e300, 10**12, "x", "", None, [1], {"a": 1})] + [{}])
     df, x, _ = stage(df, {"k": Context().get("k")})
